@@ -36,7 +36,7 @@ def _clock(half_hour: Column) -> Column:
 def half_hour_label(ts: Column) -> Column:
     """'10:30-11:00' for any time in that half hour."""
     number = F.hour(ts) * 2 + F.floor(F.minute(ts) / 30)
-    return F.concat_ws("-", _clock(number), _clock(number + 1))
+    return F.concat(_clock(number), F.lit("-"), _clock(number + 1))
 
 
 def session_window(ts: Column, session: Column | None = None) -> Column:
