@@ -30,10 +30,12 @@ PCT_PLACES = 6
 
 def settle(frame: DataFrame, *sums: str, pct: tuple[str, ...] = ()) -> DataFrame:
     """Round sums to 3 places and percentages to 6."""
+    if not sums and not pct:
+        return frame
     return frame.withColumns(
         {
-            **{c: round_to(F.col(c), SUM_PLACES) for c in sums},
-            **{c: round_to(F.col(c), PCT_PLACES) for c in pct},
+            **{c: round_to(c, SUM_PLACES) for c in sums},
+            **{c: round_to(c, PCT_PLACES) for c in pct},
         }
     )
 
@@ -76,13 +78,13 @@ def queries() -> dict[str, Query]:
         "session_windows": _on_events(
             lambda ev: ev.select(
                 "event_id",
-                session_window(F.col("entry_ts"), F.col("session")).alias("entry_window"),
-                session_window(F.col("change_ts"), F.col("session")).alias("change_window"),
+                session_window("entry_ts", "session").alias("entry_window"),
+                session_window("change_ts", "session").alias("change_window"),
             )
         ),
         "broad_sessions": _on_events(
             lambda ev: ev.select(
-                "event_id", broad_session(F.col("entry_ts"), F.col("session")).alias("period")
+                "event_id", broad_session("entry_ts", "session").alias("period")
             )
         ),
         # Market overview
@@ -193,7 +195,7 @@ def queries() -> dict[str, Query]:
         "l4_conversion_funnel": _on_lives(lf.conversion_funnel),
         "l4_headline": _on_events(
             lambda ev: lf.funnel_headline(lf.conversion_funnel(lifecycle_table(ev))).select(
-                *[round_to(F.col(c), 2).alias(c) for c in ("pct_orders", "pct_lots")]
+                *[round_to(c, 2).alias(c) for c in ("pct_orders", "pct_lots")]
             )
         ),
         "l4_chart": _on_lives(lambda t: lf.funnel_chart(lf.conversion_funnel(t))),

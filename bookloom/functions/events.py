@@ -9,37 +9,37 @@ from bookloom import schema as S
 
 
 def is_regular() -> Column:
-    return F.col("order_cat") == S.REGULAR_ORDER
+    return F.expr(f"order_cat = {S.REGULAR_ORDER}")
 
 
 def is_new() -> Column:
-    return F.col("change_reason") == S.NEW
+    return F.expr(f"change_reason = {S.NEW}")
 
 
 def is_trade() -> Column:
-    return F.col("change_reason") == S.TRADE
+    return F.expr(f"change_reason = {S.TRADE}")
 
 
 def is_replace() -> Column:
-    return F.col("change_reason") == S.REPLACED
+    return F.expr(f"change_reason = {S.REPLACED}")
 
 
 def is_expiry() -> Column:
-    return F.col("change_reason") == S.EXPIRED
+    return F.expr(f"change_reason = {S.EXPIRED}")
 
 
 def is_cancel() -> Column:
-    return F.col("change_reason").isin(*S.CANCEL_CODES)
+    return F.expr(f"change_reason IN {S.CANCEL_CODES}")
 
 
 def is_iceberg() -> Column:
     """Shows less (or more) than its full size. NULL visible size: not hidden."""
-    return F.coalesce(F.col("visible_qty") != F.col("qty"), F.lit(False))
+    return F.expr("coalesce(visible_qty <> qty, false)")
 
 
 def cancel_type() -> Column:
-    return F.when(is_expiry(), F.lit("Expired (reason 19)")).otherwise(
-        F.lit("Other cancellations")
+    return F.expr(
+        f"if(change_reason = {S.EXPIRED}, 'Expired (reason 19)', 'Other cancellations')"
     )
 
 
@@ -49,31 +49,28 @@ def improves_queue_entry() -> Column:
     Needs prev_price and prev_qty. A buyer pays more, a seller asks less, or
     the size grows; nothing counts while the previous price is unknown.
     """
-    better_price = ((F.col("side") == S.BUY) & (F.col("price") > F.col("prev_price"))) | (
-        (F.col("side") == S.SELL) & (F.col("price") < F.col("prev_price"))
-    )
-    larger = F.col("qty") > F.col("prev_qty")
-    return F.when(
-        is_replace() & F.col("prev_price").isNotNull() & (better_price | larger), F.lit(1)
-    ).otherwise(F.lit(0))
+    return F.expr(f"""
+        if(change_reason = {S.REPLACED} AND prev_price IS NOT NULL
+           AND (side = '{S.BUY}' AND price > prev_price
+                OR side = '{S.SELL}' AND price < prev_price
+                OR qty > prev_qty), 1, 0)
+    """)
 
 
 def composite_id() -> Column:
-    return F.concat(F.col("order_id"), F.lit("_"), F.col("sub_order_number").cast("string"))
+    return F.expr("concat(order_id, '_', sub_order_number)")
 
 
-def reason_name(code: Column) -> Column:
+def reason_name(code: str) -> Column:
     """Name of an event code; reason_<n> for an unlisted one, 'nan' for none."""
-    names = F.create_map(*[F.lit(x) for pair in S.REASON_NAMES.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(names, code),
-        F.concat(F.lit("reason_"), code.cast("string")),
-        F.lit("nan"),
+    names = ", ".join(f"{n}, '{name}'" for n, name in S.REASON_NAMES.items())
+    return F.expr(
+        f"coalesce(try_element_at(map({names}), {code}), concat('reason_', {code}), 'nan')"
     )
 
 
-def side_name(side: Column) -> Column:
-    return F.when(side == S.BUY, F.lit("BUY (alis)")).otherwise(F.lit("SELL (satis)"))
+def side_name(side: str) -> Column:
+    return F.expr(f"if({side} = '{S.BUY}', 'BUY (alis)', 'SELL (satis)')")
 
 
 def change_text() -> Column:
@@ -82,52 +79,35 @@ def change_text() -> Column:
     Needs change_reason, side, price, prev_price, qty and prev_qty. Changes of
     at most 1e-9 count as none.
     """
-    price_gap = F.col("price") - F.col("prev_price")
-    qty_gap = F.col("qty") - F.col("prev_qty")
-    price_moved = F.abs(price_gap) > 1e-9
-    better = F.coalesce(
-        ((F.col("side") == S.BUY) & (price_gap > 0)) | ((F.col("side") == S.SELL) & (price_gap < 0)),
-        F.lit(False),
-    )
-    lots = qty_gap.cast("bigint")
-    gains = F.concat_ws(
-        ", ",
-        F.when(price_moved & better, F.format_string("price %+.4f (better)", price_gap)),
-        F.when(qty_gap > 1e-9, F.format_string("qty %+d", lots)),
-    )
-    losses = F.concat_ws(
-        ", ",
-        F.when(price_moved & ~better, F.format_string("price %+.4f (worse)", price_gap)),
-        F.when(qty_gap < -1e-9, F.format_string("qty %d (reduced)", lots)),
-    )
-    return (
-        F.when(~F.coalesce(is_replace(), F.lit(False)), F.lit("-"))
-        .when(F.col("prev_price").isNull(), F.lit("first row — nothing to compare"))
-        .when(
-            gains != "",
-            F.concat(
-                F.lit("IMPROVED: "),
-                gains,
-                F.when(losses != "", F.concat(F.lit("  |  also: "), losses)).otherwise(F.lit("")),
-            ),
-        )
-        .when(losses != "", F.concat(F.lit("no improvement — "), losses))
-        .otherwise(F.lit("no change"))
+    gap, lots = "(price - prev_price)", "(qty - prev_qty)"
+    moved = f"abs({gap}) > 1e-9D"
+    better = (
+        f"coalesce(side = '{S.BUY}' AND {gap} > 0D OR side = '{S.SELL}' AND {gap} < 0D, false)"
     )
-
-
-def versions_meaning(n: Column) -> Column:
+    gains = f"""concat_ws(', ',
+        if({moved} AND {better}, format_string('price %+.4f (better)', {gap}), NULL),
+        if({lots} > 1e-9D, format_string('qty %+d', cast({lots} AS bigint)), NULL))"""
+    losses = f"""concat_ws(', ',
+        if({moved} AND NOT {better}, format_string('price %+.4f (worse)', {gap}), NULL),
+        if({lots} < -1e-9D, format_string('qty %d (reduced)', cast({lots} AS bigint)), NULL))"""
+    return F.expr(f"""
+        CASE WHEN NOT coalesce(change_reason = {S.REPLACED}, false) THEN '-'
+             WHEN prev_price IS NULL THEN 'first row — nothing to compare'
+             WHEN {gains} <> '' THEN
+               concat('IMPROVED: ', {gains}, if({losses} <> '', concat('  |  also: ', {losses}), ''))
+             WHEN {losses} <> '' THEN concat('no improvement — ', {losses})
+             ELSE 'no change' END
+    """)
+
+
+def versions_meaning(n: str) -> Column:
     """Sentence for the number of times an order was improved."""
     # Wording of the distribution table.
-    return (
-        F.when(
-            n == 0,
-            F.lit(
-                "Order was never improved — placed and left as-is, "
-                "then cancelled/filled/expired"
-            ),
-        )
-        .when(n == 1, F.lit("One improvement: trader re-competed once, lost time priority once"))
-        .when(n == 2, F.lit("Two improvements: trader actively managed this order twice"))
-        .otherwise(F.format_string("%d improvements — highly active order management", n))
-    )
+    return F.expr(f"""
+        CASE {n}
+          WHEN 0 THEN
+            'Order was never improved — placed and left as-is, then cancelled/filled/expired'
+          WHEN 1 THEN 'One improvement: trader re-competed once, lost time priority once'
+          WHEN 2 THEN 'Two improvements: trader actively managed this order twice'
+          ELSE concat({n}, ' improvements — highly active order management') END
+    """)

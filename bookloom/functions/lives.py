@@ -45,73 +45,60 @@ PATIENT_SECONDS = 60.0
 FULL_FILL_FRACTION = 0.99
 
 
-def _flag(name: str) -> Column:
-    return F.col(name) == 1
-
-
-def _fill_lag() -> Column:
-    return F.col("time_to_first_fill_seconds")
-
-
-def _fast_fill() -> Column:
-    return _fill_lag() < FAST_FILL_SECONDS
+# SQL conditions on a lifecycle row, shared by the classes below.
+TRADED = "ever_traded = 1"
+CANCELLED = "ever_cancelled = 1"
+EXPIRED = "ever_expired = 1"
+FAST_FILL = f"time_to_first_fill_seconds < {FAST_FILL_SECONDS}D"
+HAS_FILL = "time_to_first_fill_seconds IS NOT NULL"
+FLEETING = f"(lifetime_seconds < {FLEETING_SECONDS}D AND {CANCELLED} AND NOT {TRADED})"
 
 
 def lifetime_bucket() -> Column:
     """Expired orders have their own bucket whatever their lifetime."""
-    life = F.col("lifetime_seconds")
-    label = F.when(_flag("ever_expired"), F.lit(EXPIRED_BUCKET)).when(
-        life.isNull() | (life < 0), F.lit(UNKNOWN_BUCKET)
-    )
-    for bound, name in LIFETIME_STEPS:
-        label = label.when(life < bound, F.lit(name))
-    return label.otherwise(F.lit(LONGEST_BUCKET))
+    steps = " ".join(f"WHEN lifetime_seconds < {b}D THEN '{name}'" for b, name in LIFETIME_STEPS)
+    return F.expr(f"""
+        CASE WHEN {EXPIRED} THEN '{EXPIRED_BUCKET}'
+             WHEN lifetime_seconds IS NULL OR lifetime_seconds < 0D THEN '{UNKNOWN_BUCKET}'
+             {steps} ELSE '{LONGEST_BUCKET}' END
+    """)
 
 
 def terminal_state() -> Column:
     """How the order ended. Expiry also sets the cancel flag, so it is tested first."""
-    traded, cancelled, expired = (
-        _flag("ever_traded"),
-        _flag("ever_cancelled"),
-        _flag("ever_expired"),
-    )
-    filled = F.col("traded_lots") >= F.col("original_qty") * FULL_FILL_FRACTION
-    return (
-        F.when(traded & filled, F.lit("1_fully_filled"))
-        .when(traded & (cancelled | expired), F.lit("2_partially_filled"))
-        .when(~traded & expired, F.lit("4_expired_no_fill"))
-        .when(~traded & cancelled, F.lit("3_cancelled_no_fill"))
-        .otherwise(F.lit("5_other_open"))
-    )
+    filled = f"traded_lots >= original_qty * {FULL_FILL_FRACTION}D"
+    return F.expr(f"""
+        CASE WHEN {TRADED} AND {filled} THEN '1_fully_filled'
+             WHEN {TRADED} AND ({CANCELLED} OR {EXPIRED}) THEN '2_partially_filled'
+             WHEN {TRADED} THEN '5_other_open'
+             WHEN {EXPIRED} THEN '4_expired_no_fill'
+             WHEN {CANCELLED} THEN '3_cancelled_no_fill'
+             ELSE '5_other_open' END
+    """)
 
 
 def is_fleeting() -> Column:
     """Cancelled within a second without a trade: fast-trader behaviour."""
-    return (
-        (F.col("lifetime_seconds") < FLEETING_SECONDS)
-        & _flag("ever_cancelled")
-        & ~_flag("ever_traded")
-    )
+    return F.expr(FLEETING)
 
 
 def behavior_class() -> Column:
-    patient = (F.col("lifetime_seconds") > PATIENT_SECONDS) & _fill_lag().isNotNull()
-    untouched = _flag("ever_expired") & ~_flag("ever_traded")
-    return (
-        F.when(_fast_fill(), F.lit("aggressive"))
-        .when(is_fleeting(), F.lit("likely_hft"))
-        .when(patient | untouched, F.lit("likely_passive"))
-        .otherwise(F.lit("mixed"))
-    )
+    return F.expr(f"""
+        CASE WHEN {FAST_FILL} THEN 'aggressive'
+             WHEN {FLEETING} THEN 'likely_hft'
+             WHEN lifetime_seconds > {PATIENT_SECONDS}D AND {HAS_FILL} THEN 'likely_passive'
+             WHEN {EXPIRED} AND NOT {TRADED} THEN 'likely_passive'
+             ELSE 'mixed' END
+    """)
 
 
 def liquidity_class() -> Column:
-    return (
-        F.when(_fast_fill(), F.lit("aggressive_took_liquidity"))
-        .when(_fill_lag().isNotNull(), F.lit("passive_provided_liquidity"))
-        .otherwise(F.lit("never_filled"))
-    )
+    return F.expr(f"""
+        CASE WHEN {FAST_FILL} THEN 'aggressive_took_liquidity'
+             WHEN {HAS_FILL} THEN 'passive_provided_liquidity'
+             ELSE 'never_filled' END
+    """)
 
 
 def fill_source() -> Column:
-    return F.when(_fast_fill(), F.lit("aggressive")).otherwise(F.lit("passive"))
+    return F.expr(f"if({FAST_FILL}, 'aggressive', 'passive')")

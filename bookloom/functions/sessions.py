@@ -1,61 +1,49 @@
-"""Trading-window labels of a timestamp."""
+"""Trading-window labels of a time column."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bookloom import schema as S
 
 
-def _matches(session: Column | None, patterns: tuple[str, ...], by_hour: Column) -> Column:
-    if session is None:
-        return by_hour
-    return reduce(or_, [session.like(p) for p in patterns]) | by_hour
-
+def _named(session: str | None, patterns: tuple[str, ...]) -> str:
+    return "".join(f"{session} LIKE '{p}' OR " for p in patterns) if session else ""
 
-def _in_opening(ts: Column, session: Column | None) -> Column:
-    return _matches(session, S.OPENING_SESSIONS, F.hour(ts) < S.CONTINUOUS_FROM_HOUR)
 
+def _opening(ts: str, session: str | None) -> str:
+    return _named(session, S.OPENING_SESSIONS) + f"hour({ts}) < {S.CONTINUOUS_FROM_HOUR}"
 
-def _in_closing(ts: Column, session: Column | None) -> Column:
-    return _matches(session, S.CLOSING_SESSIONS, F.hour(ts) >= S.CONTINUOUS_TO_HOUR)
 
-
-def _clock(half_hour: Column) -> Column:
-    """'HH:00' or 'HH:30' of a half-hour number of the day."""
-    hour = F.floor(half_hour / 2).cast("string")
-    return F.concat(
-        F.lpad(hour, 2, "0"), F.when(half_hour % 2 == 0, F.lit(":00")).otherwise(F.lit(":30"))
-    )
+def _closing(ts: str, session: str | None) -> str:
+    return _named(session, S.CLOSING_SESSIONS) + f"hour({ts}) >= {S.CONTINUOUS_TO_HOUR}"
 
 
-def half_hour_label(ts: Column) -> Column:
+def _half_hour(ts: str) -> str:
     """'10:30-11:00' for any time in that half hour."""
-    number = F.hour(ts) * 2 + F.floor(F.minute(ts) / 30)
-    return F.concat(_clock(number), F.lit("-"), _clock(number + 1))
+    hour, later = f"lpad(hour({ts}), 2, '0')", f"lpad(hour({ts}) + 1, 2, '0')"
+    return (
+        f"if(minute({ts}) < 30, concat({hour}, ':00-', {hour}, ':30'), "
+        f"concat({hour}, ':30-', {later}, ':00'))"
+    )
 
 
-def session_window(ts: Column, session: Column | None = None) -> Column:
+def session_window(ts: str, session: str | None = None) -> Column:
     """A_OPENING, Z_CLOSING or the half hour. Opening is tested first.
 
     Without a session name only the clock decides. A NULL time that no session
     name settles has no label.
     """
-    return (
-        F.when(_in_opening(ts, session), F.lit("A_OPENING"))
-        .when(_in_closing(ts, session), F.lit("Z_CLOSING"))
-        .when(ts.isNotNull(), half_hour_label(ts))
+    return F.expr(
+        f"CASE WHEN {_opening(ts, session)} THEN 'A_OPENING' "
+        f"WHEN {_closing(ts, session)} THEN 'Z_CLOSING' ELSE {_half_hour(ts)} END"
     )
 
 
-def broad_session(ts: Column, session: Column | None = None) -> Column:
+def broad_session(ts: str, session: str | None = None) -> Column:
     """1_Opening, 3_Closing, else 2_Midday (also for a NULL time)."""
-    return (
-        F.when(_in_opening(ts, session), F.lit("1_Opening"))
-        .when(_in_closing(ts, session), F.lit("3_Closing"))
-        .otherwise(F.lit("2_Midday"))
+    return F.expr(
+        f"CASE WHEN {_opening(ts, session)} THEN '1_Opening' "
+        f"WHEN {_closing(ts, session)} THEN '3_Closing' ELSE '2_Midday' END"
     )

@@ -24,7 +24,7 @@ NEEDED = (
 
 
 def _ever(condition: Column) -> Column:
-    return F.max(F.when(condition, 1).otherwise(0))
+    return F.coalesce(F.bool_or(condition), F.lit(False)).cast("int")
 
 
 def _fold(run: OrderRuns) -> DataFrame:
@@ -65,8 +65,8 @@ def _fold(run: OrderRuns) -> DataFrame:
         "ever_cancelled",
         "ever_expired",
         "traded_lots",
-        seconds_between(F.col("born_ts"), F.col("last_event_ts")).alias("lifetime_seconds"),
-        seconds_between(F.col("born_ts"), F.col("first_fill_ts")).alias(
+        seconds_between("born_ts", "last_event_ts").alias("lifetime_seconds"),
+        seconds_between("born_ts", "first_fill_ts").alias(
             "time_to_first_fill_seconds"
         ),
         "n_modifications",

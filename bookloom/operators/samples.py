@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
@@ -22,8 +22,7 @@ def sample_orders(events: DataFrame, fraction: float) -> DataFrame:
     n = one_in(fraction)
     if n == 1:
         return events
-    bucket = F.conv(F.substring(F.md5("order_id"), 1, 8), 16, 10).cast("bigint")
-    return events.where(bucket % n == 0)
+    return events.where(f"cast(conv(left(md5(order_id), 8), 16, 10) AS bigint) % {n} = 0")
 
 
 def lookup_order(events: DataFrame, order_id: str) -> DataFrame:
@@ -61,29 +60,23 @@ def modified_orders(events: DataFrame, min_replacements: int = 3, n: int = 5) ->
     )
 
 
-# The three groups of orders shown next to their raw events.
-def sample_conditions() -> dict[str, Column]:
-    traded, cancelled, expired = (
-        F.col("ever_traded") == 1,
-        F.col("ever_cancelled") == 1,
-        F.col("ever_expired") == 1,
-    )
-    return {
-        "TRADED": traded & (F.col("original_qty") > 0),
-        "CANCELLED, no fill": cancelled & ~traded & ~expired,
-        "EXPIRED, no fill": expired & ~traded,
-    }
+# The groups of orders shown next to their raw events. They
+# exclude each other.
+SAMPLE_GROUPS = {
+    "TRADED": "ever_traded = 1 AND original_qty > 0",
+    "CANCELLED, no fill": "ever_cancelled = 1 AND ever_traded = 0 AND ever_expired = 0",
+    "EXPIRED, no fill": "ever_expired = 1 AND ever_traded = 0",
+}
 
 
 def sample_lives(lives: DataFrame, n: int = 3) -> DataFrame:
     """The first n orders of each group, as lifecycle rows.
 
-    The groups exclude each other, so one pass labels them; every task keeps at
-    most n rows per group before the shuffle.
+    One pass labels them; every task keeps at most n rows per group before the
+    shuffle.
     """
-    label = F.coalesce(
-        *[F.when(condition, F.lit(name)) for name, condition in sample_conditions().items()]
-    )
+    whens = " ".join(f"WHEN {test} THEN '{name}'" for name, test in SAMPLE_GROUPS.items())
+    label = F.expr(f"CASE {whens} END")
     by_id = Window.partitionBy("sample").orderBy(F.col("order_id").asc_nulls_last())
     rows = (
         lives.withColumn("sample", label)
@@ -102,8 +95,8 @@ def sample_lives(lives: DataFrame, n: int = 3) -> DataFrame:
         "original_qty",
         "traded_lots",
         "event_count",
-        round_to(F.col("lifetime_seconds"), 3).alias("lifetime_s"),
-        round_to(F.col("time_to_first_fill_seconds"), 3).alias("fill_lag_s"),
+        round_to("lifetime_seconds", 3).alias("lifetime_s"),
+        round_to("time_to_first_fill_seconds", 3).alias("fill_lag_s"),
         "ever_traded",
         "ever_cancelled",
         "ever_expired",
@@ -124,7 +117,7 @@ def sample_raw_events(events: DataFrame, samples: DataFrame) -> DataFrame:
             "change_ts",
             "qty",
             "remaining",
-            round_to(F.col("price"), 4).alias("price"),
+            round_to("price", 4).alias("price"),
             "session",
         )
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
-from bookloom.functions.numbers import micros_between, round_to
+from bookloom.functions.numbers import round_to, seconds_between
 from bookloom.operators.runs import (
     HOT_ORDER_ROWS,
     OrderRuns,
@@ -66,7 +66,7 @@ def order_detail(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS)
     """Event by event: rounded prices and sizes, version, and what changed, in words."""
     rounded = {"price": 4, "prev_price": 4, "qty": 0, "prev_qty": 0}
     rows = versioned_events(events, hot_order_rows).withColumns(
-        {name: round_to(F.col(name), places) for name, places in rounded.items()}
+        {name: round_to(name, places) for name, places in rounded.items()}
     )
     return rows.select(
         "order_id",
@@ -82,10 +82,10 @@ def order_detail(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS)
         "qualifies",
         "sub_order_number",
         "composite_id",
-        E.reason_name(F.col("change_reason")).alias("event"),
+        E.reason_name("change_reason").alias("event"),
         E.change_text().alias("improvement"),
         F.when(F.col("qualifies") == 1, "YES").otherwise("").alias("qualified"),
-        E.side_name(F.col("side")).alias("side_full"),
+        E.side_name("side").alias("side_full"),
     )
 
 
@@ -108,17 +108,17 @@ def version_summary(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_RO
 
     def summarise(run: OrderRuns) -> DataFrame:
         numbered = number_versions(run)
-        first = E.is_new() & (F.col("sub_order_number") == 0)
-        starts = numbered.with_rows(numbered.rows.where((F.col("qualifies") == 1) | first))
+        first = E.is_new() & F.expr("sub_order_number = 0")
+        starts = numbered.with_rows(numbered.rows.where(F.expr("qualifies = 1") | first))
         ended = starts.neighbour({"version_end_ts": "change_ts"}, ahead=True)
-        seconds = micros_between(F.col("change_ts"), F.col("version_end_ts")) / F.lit(1e6)
+        seconds = seconds_between("change_ts", "version_end_ts")
         return ended.rows.select(
             "composite_id",
             "stock",
             "side",
             F.col("change_ts").alias("version_start_ts"),
-            round_to(F.col("price"), 4).alias("version_price"),
-            round_to(F.col("qty"), 0).alias("version_qty"),
+            round_to("price", 4).alias("version_price"),
+            round_to("qty", 0).alias("version_qty"),
             "version_end_ts",
             round_to(seconds, 2).alias("version_duration_s"),
         )

@@ -20,10 +20,6 @@ def _pct_of_all(column: str) -> Column:
     return _pct(F.col(column), F.sum(column).over(Window.partitionBy()))
 
 
-def _count_flag(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0))
-
-
 def _median(lives: DataFrame, column: str) -> Column:
     """Exact median over all rows, as a scalar subquery."""
     return exact_median(lives, column).scalar()
@@ -34,23 +30,19 @@ def _median(lives: DataFrame, column: str) -> Column:
 
 def lifecycle_summary(lives: DataFrame) -> DataFrame:
     """Totals, typical values, and counters of impossible or odd lives."""
-    traded, cancelled, expired = (
-        F.col("ever_traded") == 1,
-        F.col("ever_cancelled") == 1,
-        F.col("ever_expired") == 1,
-    )
-    overfilled = traded & (F.col("traded_lots") > F.col("original_qty") * 1.05)
+    open_ended = F.expr(f"NOT ({L.TRADED} OR {L.CANCELLED} OR {L.EXPIRED})")
+    overfilled = F.expr(f"{L.TRADED} AND traded_lots > original_qty * 1.05D")
     totals = lives.agg(
         F.count("*").alias("total_orders"),
         F.sum("ever_traded").alias("n_ever_traded"),
         F.sum("ever_cancelled").alias("n_ever_cancelled"),
         F.sum("ever_expired").alias("n_ever_expired"),
-        _count_flag(~traded & ~cancelled & ~expired).alias("n_no_terminal_event"),
+        F.count_if(open_ended).alias("n_no_terminal_event"),
         round_to(F.avg("lifetime_seconds"), 3).alias("avg_lifetime_s"),
         round_to(F.avg("event_count"), 2).alias("avg_events_per_order"),
-        _count_flag(F.col("lifetime_seconds") < 0).alias("sanity_neg_lifetime"),
-        _count_flag(F.col("time_to_first_fill_seconds") < 0).alias("sanity_neg_fill_lag"),
-        _count_flag(overfilled).alias("sanity_overfilled"),
+        F.count_if(F.expr("lifetime_seconds < 0")).alias("sanity_neg_lifetime"),
+        F.count_if(F.expr("time_to_first_fill_seconds < 0")).alias("sanity_neg_fill_lag"),
+        F.count_if(overfilled).alias("sanity_overfilled"),
     )
     return totals.withColumn(
         "median_lifetime_s", round_to(_median(lives, "lifetime_seconds"), 3)
@@ -159,7 +151,7 @@ def liquidity(lives: DataFrame) -> DataFrame:
 
 def traded_lots_source(lives: DataFrame) -> DataFrame:
     """Traded lots of orders filled at once and of resting ones."""
-    filled = (F.col("ever_traded") == 1) & F.col("time_to_first_fill_seconds").isNotNull()
+    filled = F.expr(f"{L.TRADED} AND {L.HAS_FILL}")
     return (
         lives.where(filled)
         .groupBy(L.fill_source().alias("source"))
@@ -241,10 +233,10 @@ def fleeting_by_window(lives: DataFrame) -> DataFrame:
     """Fast-trader-like share per birth window (clock only, no session name)."""
     return (
         lives.where(F.col("born_ts").isNotNull())
-        .groupBy(session_window(F.col("born_ts")).alias("time_window"))
+        .groupBy(session_window("born_ts").alias("time_window"))
         .agg(
             F.count("*").alias("total_orders"),
-            _count_flag(L.is_fleeting()).alias("hft_orders"),
+            F.count_if(L.is_fleeting()).alias("hft_orders"),
         )
         .withColumn("hft_pct", _pct(F.col("hft_orders"), F.col("total_orders")))
         .orderBy("time_window")

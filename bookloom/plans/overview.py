@@ -41,24 +41,22 @@ CLOSING = "Z_CLOSING"
 
 def facts(events: DataFrame) -> DataFrame:
     """Labels and measures of every regular event."""
-    traded = F.col("qty") - F.col("remaining")
-    session = F.col("session")
     return events.where(E.is_regular()).select(
         "stock",
         "side",
         "change_reason",
-        session_window(F.col("entry_ts"), session).alias("entry_window"),
-        session_window(F.col("change_ts"), session).alias("change_window"),
-        F.coalesce(F.col("order_type") == S.LIMIT_ORDER, F.lit(False)).alias("is_limit"),
+        session_window("entry_ts", "session").alias("entry_window"),
+        session_window("change_ts", "session").alias("change_window"),
+        F.expr(f"coalesce(order_type = {S.LIMIT_ORDER}, false) AS is_limit"),
         E.is_iceberg().alias("is_iceberg"),
-        F.coalesce(F.col("qty") > 0, F.lit(False)).alias("has_size"),
-        F.lit(1).cast("bigint").alias("n"),
-        F.col("qty").alias("lots"),
-        F.col("order_tl").alias("tl"),
-        F.col("remaining").alias("left_lots"),
-        (F.col("remaining") * F.col("price")).alias("left_tl"),
-        traded.alias("traded_lots"),
-        (traded * F.col("price")).alias("traded_tl"),
+        F.expr("coalesce(qty > 0, false) AS has_size"),
+        F.expr("1L AS n"),
+        F.expr("qty AS lots"),
+        F.expr("order_tl AS tl"),
+        F.expr("remaining AS left_lots"),
+        F.expr("remaining * price AS left_tl"),
+        F.expr("qty - remaining AS traded_lots"),
+        F.expr("(qty - remaining) * price AS traded_tl"),
     )
 
 
@@ -334,8 +332,8 @@ def cancel_rate(fact: DataFrame) -> DataFrame:
     )
     return sums.select(
         "*",
-        share_or_zero(F.col("cancel_lots"), F.col("new_lots")).alias("pct_lots"),
-        share_or_zero(F.col("cancel_tl"), F.col("new_tl")).alias("pct_tl"),
+        share_or_zero("cancel_lots", "new_lots").alias("pct_lots"),
+        share_or_zero("cancel_tl", "new_tl").alias("pct_tl"),
     )
 
 
@@ -461,7 +459,7 @@ def order_size(events: DataFrame) -> DataFrame:
     sized = (
         _new_events(events)
         .where(F.col("order_tl") > 0)
-        .select(broad_session(F.col("entry_ts"), F.col("session")).alias("period"), "order_tl")
+        .select(broad_session("entry_ts", "session").alias("period"), "order_tl")
     )
     spread = sized.groupBy("period").agg(
         F.count("*").alias("order_count"),
@@ -496,7 +494,7 @@ def order_size_chart(sizes: DataFrame) -> DataFrame:
 def largest_orders_windows(events: DataFrame, k: int = 100) -> DataFrame:
     """Windows of the k largest new orders (equal sizes in order of the id)."""
     columns = ["order_id", *(["event_id"] if "event_id" in events.columns else [])]
-    window = session_window(F.col("entry_ts"), F.col("session")).alias("time_window")
+    window = session_window("entry_ts", "session").alias("time_window")
     top = (
         _new_events(events)
         .where(F.col("qty") > 0)
@@ -534,7 +532,7 @@ def rolling_intensity(events: DataFrame, window_minutes: int = 30) -> DataFrame:
     minutes = (
         _new_events(events)
         .where(F.col("entry_ts").isNotNull())
-        .groupBy(minute_number(F.col("entry_ts")).alias("minute"))
+        .groupBy(minute_number("entry_ts").alias("minute"))
         .agg(
             F.count("*").alias("orders"),
             F.sum("qty").alias("lots"),
@@ -556,7 +554,7 @@ def rolling_intensity(events: DataFrame, window_minutes: int = 30) -> DataFrame:
         spread.select(
             "home",
             "block",
-            minute_start(minute).alias("minute_ts"),
+            minute_start("minute").alias("minute_ts"),
             F.sum("orders").over(trailing).alias("rolling_order_count"),
             F.sum("lots").over(trailing).alias("rolling_lots"),
             F.sum("tl").over(trailing).alias("rolling_tl"),

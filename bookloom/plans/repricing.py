@@ -36,7 +36,7 @@ def version_distribution(versions: DataFrame, rows: int = 15) -> DataFrame:
 
 
 def distribution_meaning(distribution: DataFrame) -> DataFrame:
-    return distribution.withColumn("meaning", E.versions_meaning(F.col("times_improved")))
+    return distribution.withColumn("meaning", E.versions_meaning("times_improved"))
 
 
 def repricing_by_stock(versions: DataFrame, min_orders: int = 10, k: int = 20) -> DataFrame:

@@ -21,74 +21,47 @@ def order_events(activity: DataFrame) -> DataFrame:
     shuffle, and adaptive execution may split its side of the join. Plans that
     need no column of the first event lose the join altogether.
     """
-    user, eid = F.col("user_id"), F.col("event_id")
     rows = activity.withColumn("day", F.to_date("ts"))
     first = (
         rows.groupBy("user_id", "day")
         .agg(F.min(F.struct("ts", "event_id")).alias("first"))
-        .select(
-            "user_id",
-            "day",
-            F.col("first.ts").alias("entry_ts"),
-            F.col("first.event_id").alias("first_event_id"),
-        )
+        .selectExpr("user_id", "day", "first.ts AS entry_ts", "first.event_id AS first_event_id")
     )
-    kind = F.col("event_type")
-    opens = eid == F.col("first_event_id")
-    resized = kind.isin("signup", "view")
-    k = F.get_json_object("props", "$.k").cast("int")
-    reason = (
-        F.when(opens, S.NEW)
-        .when(kind == "purchase", S.TRADE)
-        .when(resized, S.REPLACED)
-        .when(kind == "click", S.CANCELLED_BY_USER)
-        .when(eid % 3 == 0, 13)
-        .otherwise(S.EXPIRED)
+    joined = rows.join(first, ["user_id", "day"], "left").withColumns(
+        {
+            "opens": F.expr("event_id = first_event_id"),
+            "resized": F.expr("event_type IN ('signup', 'view')"),
+            "delay": F.floor(
+                micros_between("entry_ts", "ts") / F.expr("pow(10D, user_id % 7)")
+            ).cast("bigint"),
+        }
     )
-    lag = F.floor(
-        micros_between(F.col("entry_ts"), F.col("ts")) / F.pow(F.lit(10.0), user % 7)
-    ).cast("bigint")
-    desk = user % 23
-    hour = F.hour("entry_ts")
     return (
-        rows.join(first, ["user_id", "day"], "left")
-        .select(
+        joined.selectExpr(
             "event_id",
-            F.concat(F.lit("O"), user.cast("string"), F.lit("-"), F.col("day").cast("string")).alias(
-                "order_id"
-            ),
-            F.concat(
-                F.lit("STK"),
-                F.lpad(desk.cast("string"), 2, "0"),
-                F.when(desk < 19, ".E").otherwise(".V"),
-            ).alias("stock"),
-            F.when(user % 2 == 0, S.BUY).otherwise(S.SELL).alias("side"),
-            F.when(hour == 17, "PAY_KAPANIS")
-            .when(hour == 11, "PAY_ACS_EMR")
-            .otherwise("PAY_SUREKLI")
-            .alias("session"),
+            "concat('O', user_id, '-', cast(day AS string)) AS order_id",
+            "concat('STK', lpad(user_id % 23, 2, '0'), if(user_id % 23 < 19, '.E', '.V')) AS stock",
+            f"if(user_id % 2 = 0, '{S.BUY}', '{S.SELL}') AS side",
+            "CASE hour(entry_ts) WHEN 17 THEN 'PAY_KAPANIS' WHEN 11 THEN 'PAY_ACS_EMR' "
+            "ELSE 'PAY_SUREKLI' END AS session",
             "entry_ts",
-            F.timestamp_add("MICROSECOND", lag, F.col("entry_ts")).alias("change_ts"),
-            (
-                (user % 50 + 1).cast("double") * 100
-                + F.when(~opens & resized, k.cast("double") * 10).otherwise(0.0)
-            ).alias("qty"),
-            reason.alias("change_reason"),
-            F.when(eid % 37 == 0, F.lit(None)).otherwise(F.col("value")).alias("price"),
-            F.when(eid % 10 == 0, 2).otherwise(1).alias("order_type"),
-            F.lit(0).alias("exch_order_type"),
-            F.when(user % 29 == 0, 4).otherwise(1).alias("order_cat"),
+            "timestampadd(MICROSECOND, delay, entry_ts) AS change_ts",
+            "(user_id % 50 + 1) * 100D + if(NOT opens AND resized, "
+            "cast(get_json_object(props, '$.k') AS int) * 10D, 0D) AS qty",
+            f"CASE WHEN opens THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
+            f"WHEN resized THEN {S.REPLACED} WHEN event_type = 'click' THEN {S.CANCELLED_BY_USER} "
+            f"WHEN event_id % 3 = 0 THEN 13 ELSE {S.EXPIRED} END AS change_reason",
+            "if(event_id % 37 = 0, NULL, value) AS price",
+            "if(event_id % 10 = 0, 2, 1) AS order_type",
+            "0 AS exch_order_type",
+            "if(user_id % 29 = 0, 4, 1) AS order_cat",
         )
-        .select(
+        .selectExpr(
             "*",
-            F.when(F.col("change_reason") == S.NEW, F.col("qty"))
-            .otherwise(F.col("qty") * (eid % 4) / 4.0)
-            .alias("remaining"),
-            F.when(eid % 17 == 0, F.col("qty") / 10)
-            .when(eid % 5 == 0, F.lit(None))
-            .otherwise(F.col("qty"))
-            .alias("visible_qty"),
-            (F.col("qty") * F.col("price")).alias("order_tl"),
+            f"if(change_reason = {S.NEW}, qty, qty * (event_id % 4) / 4D) AS remaining",
+            "CASE WHEN event_id % 17 = 0 THEN qty / 10D WHEN event_id % 5 = 0 THEN NULL "
+            "ELSE qty END AS visible_qty",
+            "qty * price AS order_tl",
         )
         .select("event_id", *S.ENGINE_COLUMNS)
     )
