@@ -50,8 +50,13 @@ def _on_facts(
     return _on_events(lambda ev: settle(plan(overview.facts(ev)), *sums, pct=pct))
 
 
-def _on_lives(plan: Callable[[DataFrame], DataFrame], *, pct: tuple[str, ...] = ()) -> Query:
-    return _on_events(lambda ev: settle(plan(lifecycle_table(ev)), pct=pct))
+def _on_lives(
+    plan: Callable[[DataFrame], DataFrame],
+    *,
+    pct: tuple[str, ...] = (),
+    improvements: bool = False,
+) -> Query:
+    return _on_events(lambda ev: settle(plan(lifecycle_table(ev, improvements)), pct=pct))
 
 
 def _on_versions(plan: Callable[[DataFrame], DataFrame], *, pct: tuple[str, ...] = ()) -> Query:
@@ -65,7 +70,7 @@ def _longest_order(events: DataFrame) -> DataFrame:
 
 
 def _sample_with_events(events: DataFrame) -> DataFrame:
-    return samples.sample_raw_events(events, samples.sample_lives(lifecycle_table(events)))
+    return samples.sample_raw_events(events, samples.sample_lives(lifecycle_table(events, False)))
 
 
 def queries() -> dict[str, Query]:
@@ -194,7 +199,7 @@ def queries() -> dict[str, Query]:
         "l3_passive_share": _on_lives(lambda t: lf.passive_share(lf.traded_lots_source(t))),
         "l4_conversion_funnel": _on_lives(lf.conversion_funnel),
         "l4_headline": _on_events(
-            lambda ev: lf.funnel_headline(lf.conversion_funnel(lifecycle_table(ev))).select(
+            lambda ev: lf.funnel_headline(lf.conversion_funnel(lifecycle_table(ev, False))).select(
                 *[round_to(c, 2).alias(c) for c in ("pct_orders", "pct_lots")]
             )
         ),
@@ -207,8 +212,10 @@ def queries() -> dict[str, Query]:
         "l6_hft_intraday": _on_lives(lf.fleeting_by_window),
         "l6_peak": _on_lives(lambda t: lf.fleeting_peak(lf.fleeting_by_window(t))),
         "l6_chart": _on_lives(lambda t: lf.fleeting_chart(lf.fleeting_by_window(t))),
-        "order_versions": _on_lives(lf.order_versions),
+        "order_versions": _on_lives(lf.order_versions, improvements=True),
         "order_versions_headline": _on_lives(
-            lambda t: lf.improved_share(t, "n_qualifying_improvements"), pct=("pct_improved",)
+            lambda t: lf.improved_share(t, "n_qualifying_improvements"),
+            pct=("pct_improved",),
+            improvements=True,
         ),
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import seconds_between
-from bookloom.operators.runs import HOT_ORDER_ROWS, OrderRuns, union_results
+from bookloom.operators.runs import HOT_ORDER_ROWS, union_results
 from bookloom.operators.versions import mark_improvements, regular_runs
 
 NEEDED = (
@@ -27,12 +27,17 @@ def _ever(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False)).cast("int")
 
 
-def _fold(run: OrderRuns) -> DataFrame:
-    """Aggregate marked events; each order of the run is complete."""
-    traded = F.col("qty") - F.col("remaining")
+def _fold(marked: DataFrame, improvements: bool) -> DataFrame:
+    """Aggregate events per order; each order in the frame is complete."""
+    traded = F.expr("qty - remaining")
+    extra = (
+        # The last version number is the number of improvements.
+        [F.sum("qualifies").cast("int").alias("n_qualifying_improvements")]
+        if improvements
+        else []
+    )
     folded = (
-        mark_improvements(run)
-        .rows.groupBy("order_id")
+        marked.groupBy("order_id")
         .agg(
             F.max("stock").alias("stock"),
             F.max("side").alias("side"),
@@ -47,10 +52,9 @@ def _fold(run: OrderRuns) -> DataFrame:
             # qty - remaining is cumulative, so the largest one is the total.
             F.coalesce(F.max(F.when(E.is_trade(), traded)), F.lit(0.0)).alias("traded_lots"),
             F.count_if(E.is_replace()).alias("n_modifications"),
-            # The last version number is the number of improvements.
-            F.sum("qualifies").cast("int").alias("n_qualifying_improvements"),
+            *extra,
         )
-        .where(F.col("born_ts").isNotNull())
+        .where("born_ts IS NOT NULL")
     )
     return folded.select(
         "order_id",
@@ -66,21 +70,26 @@ def _fold(run: OrderRuns) -> DataFrame:
         "ever_expired",
         "traded_lots",
         seconds_between("born_ts", "last_event_ts").alias("lifetime_seconds"),
-        seconds_between("born_ts", "first_fill_ts").alias(
-            "time_to_first_fill_seconds"
-        ),
+        seconds_between("born_ts", "first_fill_ts").alias("time_to_first_fill_seconds"),
         "n_modifications",
-        "n_qualifying_improvements",
+        *(["n_qualifying_improvements"] if improvements else []),
     )
 
 
 def lifecycle_table(
-    events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS
+    events: DataFrame,
+    improvements: bool = True,
+    hot_order_rows: int | None = HOT_ORDER_ROWS,
 ) -> DataFrame:
     """Life of every regular order that has a NEW event with a time.
 
-    Previous-row lookup and aggregation share one shuffle on order_id.
+    Previous-row lookup and aggregation share one shuffle on order_id. Without
+    ``improvements`` there is no lookup and no column for it: events are then
+    combined before the shuffle, however many an order has.
     """
+    if not improvements:
+        return _fold(events.where(E.is_regular()), improvements=False)
     ties = ["event_id"] if "event_id" in events.columns else []
     slim = events.where(E.is_regular()).select("order_cat", *NEEDED, *ties)
-    return union_results([_fold(r) for r in regular_runs(slim, hot_order_rows)])
+    runs = regular_runs(slim, hot_order_rows)
+    return union_results([_fold(mark_improvements(r).rows, improvements=True) for r in runs])

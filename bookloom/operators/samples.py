@@ -32,7 +32,8 @@ def lookup_order(events: DataFrame, order_id: str) -> DataFrame:
 
 def events_of(events: DataFrame, orders: DataFrame) -> DataFrame:
     """Events whose order_id is listed; the ids stay in Spark."""
-    return events.join(orders.select("order_id"), "order_id", "left_semi")
+    listed = orders.select("order_id")
+    return events.join(listed, "order_id", "left_semi").select(*events.columns)
 
 
 def modified_orders(events: DataFrame, min_replacements: int = 3, n: int = 5) -> DataFrame:
