@@ -22,6 +22,8 @@ from bookloom.operators.staging import stage
 HOT_ORDER_ROWS = 4_000_000
 # Most pieces one call makes; beyond it the pieces grow, and the sort spills.
 MOST_PIECES = 20_000
+# Most hash buckets used to rule out hot orders.
+MOST_BUCKETS = 1 << 20
 
 KEY = "order_id"
 PIECE = "_piece"
@@ -122,6 +124,34 @@ def _join_pieces(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(side), match, "left").drop("_key", "_part")
 
 
+def _hot_orders(events: DataFrame, limit: int) -> DataFrame | None:
+    """Orders with more rows than the limit, with their number of rows.
+
+    Three steps, each only if the one before leaves room for a hot order: all
+    rows are counted; rows are counted per hash bucket of the order id, which
+    bounds every order in it from above; rows per order are counted in the
+    crowded buckets. There is at most one hot order per ``limit`` rows.
+    """
+    rows = events.count()
+    if rows <= limit:
+        return None
+    buckets = min(MOST_BUCKETS, max(1024, 8 * rows // limit))
+    bucket = F.pmod(F.xxhash64(KEY), F.lit(buckets))
+    crowded = (
+        events.groupBy(bucket.alias("_bucket")).count().where(F.col("count") > limit)
+    ).select("_bucket")
+    if crowded.isEmpty():
+        return None
+    hot = stage(
+        events.withColumn("_bucket", bucket)
+        .join(F.broadcast(crowded), "_bucket", "left_semi")
+        .groupBy(F.col(KEY).alias("_hot"))
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > limit)
+    )
+    return None if hot.isEmpty() else hot
+
+
 def order_runs(
     events: DataFrame,
     tie_break: Sequence[Column] | None = None,
@@ -129,25 +159,17 @@ def order_runs(
 ) -> list[OrderRuns]:
     """Split events into ordinary orders and, if there are any, hot ones.
 
-    Counting rows comes first, since a table no larger than the limit cannot
-    hold a hot order; then rows per order are counted with partial sums before
-    the shuffle. ``hot_order_rows=None`` skips both for callers who know that no
-    order is that large.
+    ``hot_order_rows=None`` skips the search for callers who know that no order
+    is that large. The search reads the order ids of the events, so keep events
+    in a columnar table, not in text files.
     """
     order = event_order(events, tie_break)
-    whole = [OrderRuns(events, order)]
-    if hot_order_rows is None or events.count() <= hot_order_rows:
-        return whole
-    # One row per hot order, so at most rows / hot_order_rows of them.
-    hot = stage(
-        events.groupBy(F.col(KEY).alias("_hot")).count().where(F.col("count") > hot_order_rows)
-    )
-    hot_rows = hot.agg(F.sum("count")).first()[0]
-    if hot_rows is None:
-        return whole
+    hot = None if hot_order_rows is None else _hot_orders(events, hot_order_rows)
+    if hot is None:
+        return [OrderRuns(events, order)]
     listed = F.broadcast(hot.select("_hot"))
     same = F.col(KEY).eqNullSafe(F.col("_hot"))
-    pieces = min(MOST_PIECES, max(2, -(-hot_rows // hot_order_rows)))
+    pieces = min(MOST_PIECES, 1 + hot.agg(F.sum("_rows")).first()[0] // hot_order_rows)
     # Range borders are sampled, so the piece numbers are fixed by writing them.
     cut = stage(
         events.join(listed, same, "left_semi")
