@@ -68,7 +68,9 @@ def enrich_to_parquet(spark: SparkSession, folder: str) -> None:
 
 
 def enrich_files(spark: SparkSession, folder: str) -> None:
-    events = files(spark, folder)
+    """Text files to enriched text files, parsing the input once."""
+    files(spark, folder).write.mode("overwrite").parquet(f"{folder}/parsed")
+    events = spark.read.parquet(f"{folder}/parsed")
     frame = enrich_events(events, keep=raw_columns(events))
     frame.write.mode("overwrite").option("sep", ";").option("header", True).csv(
         f"{folder}/enriched_csv"

@@ -29,19 +29,32 @@ def value_slot(x: Column) -> Column:
     return (F.signum(x) * F.floor(size)).cast("bigint")
 
 
+def value_counts(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Columns ``by``, ``value`` and ``times``: how often each non-NULL value occurs."""
+    return (
+        frame.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).alias("value"))
+        .agg(F.count("*").alias("times"))
+    )
+
+
 def exact_median(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Columns ``by`` plus ``median`` of the non-NULL values of each group.
+    """Columns ``by`` plus ``median`` of the non-NULL values of each group."""
+    return median_of_counts(value_counts(frame, value, by), by)
+
 
-    With an even number of values: the mean of the two in the middle. Equal
-    values are counted before the shuffle. The slot that holds the middle is
-    found from the slot counts, and only its distinct values are sorted.
+def median_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Median of counted values; with an even number, the mean of the two in the middle.
+
+    The slot that holds the middle is found from the slot counts, and only its
+    distinct values are sorted.
     """
     by = list(by)
-    counted = (
-        frame.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_slot", value_slot(F.col("_v")))
+    counted = counts.select(
+        *by,
+        F.col("value").alias("_v"),
+        F.col("times").alias("_n"),
+        value_slot(F.col("value")).alias("_slot"),
     )
     up = Window.partitionBy(*by).orderBy("_slot")
     middle = (

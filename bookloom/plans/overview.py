@@ -23,7 +23,7 @@ from bookloom.functions.numbers import (
     share_or_zero,
 )
 from bookloom.functions.sessions import broad_session, session_window
-from bookloom.operators.ranks import exact_median, largest, total_before
+from bookloom.operators.ranks import largest, median_of_counts, total_before, value_counts
 
 LABELS = (
     "stock",
@@ -461,13 +461,16 @@ def order_size(events: DataFrame) -> DataFrame:
         .where(F.col("order_tl") > 0)
         .select(broad_session("entry_ts", "session").alias("period"), "order_tl")
     )
-    spread = sized.groupBy("period").agg(
-        F.count("*").alias("order_count"),
-        F.avg("order_tl").alias("avg_order_tl"),
-        F.min("order_tl").alias("min_order_tl"),
-        F.max("order_tl").alias("max_order_tl"),
+    # Mean and median both come from the counted values: one pass over the events.
+    counts = value_counts(sized, "order_tl", ["period"])
+    value, times = F.col("value"), F.col("times")
+    spread = counts.groupBy("period").agg(
+        F.sum(times).alias("order_count"),
+        ratio(F.sum(value * times), F.sum(times)).alias("avg_order_tl"),
+        F.min(value).alias("min_order_tl"),
+        F.max(value).alias("max_order_tl"),
     )
-    middle = exact_median(sized, "order_tl", ["period"])
+    middle = median_of_counts(counts, ["period"])
     return _by_label(
         spread.join(middle, "period").select(
             "period",

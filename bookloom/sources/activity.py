@@ -27,17 +27,13 @@ def order_events(activity: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("ts", "event_id")).alias("first"))
         .selectExpr("user_id", "day", "first.ts AS entry_ts", "first.event_id AS first_event_id")
     )
-    joined = rows.join(first, ["user_id", "day"], "left").withColumns(
-        {
-            "opens": F.expr("event_id = first_event_id"),
-            "resized": F.expr("event_type IN ('signup', 'view')"),
-            "delay": F.floor(
-                micros_between("entry_ts", "ts") / F.expr("pow(10D, user_id % 7)")
-            ).cast("bigint"),
-        }
-    )
+    opens, resized = "event_id = first_event_id", "event_type IN ('signup', 'view')"
+    delay = F.floor(micros_between("entry_ts", "ts") / F.expr("pow(10D, user_id % 7)"))
+    # Later lines refer to columns named on earlier ones.
     return (
-        joined.selectExpr(
+        rows.join(first, ["user_id", "day"], "left")
+        .withColumn("delay", delay)
+        .selectExpr(
             "event_id",
             "concat('O', user_id, '-', cast(day AS string)) AS order_id",
             "concat('STK', lpad(user_id % 23, 2, '0'), if(user_id % 23 < 19, '.E', '.V')) AS stock",
@@ -46,29 +42,32 @@ def order_events(activity: DataFrame) -> DataFrame:
             "ELSE 'PAY_SUREKLI' END AS session",
             "entry_ts",
             "timestampadd(MICROSECOND, delay, entry_ts) AS change_ts",
-            "(user_id % 50 + 1) * 100D + if(NOT opens AND resized, "
-            "cast(get_json_object(props, '$.k') AS int) * 10D, 0D) AS qty",
-            f"CASE WHEN opens THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
-            f"WHEN resized THEN {S.REPLACED} WHEN event_type = 'click' THEN {S.CANCELLED_BY_USER} "
+            f"CASE WHEN {opens} THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
+            f"WHEN {resized} THEN {S.REPLACED} "
+            f"WHEN event_type = 'click' THEN {S.CANCELLED_BY_USER} "
             f"WHEN event_id % 3 = 0 THEN 13 ELSE {S.EXPIRED} END AS change_reason",
+            f"(user_id % 50 + 1) * 100D + if(change_reason <> {S.NEW} AND {resized}, "
+            "cast(get_json_object(props, '$.k') AS int) * 10D, 0D) AS qty",
+            f"if(change_reason = {S.NEW}, qty, qty * (event_id % 4) / 4D) AS remaining",
+            "CASE WHEN event_id % 17 = 0 THEN qty / 10D WHEN event_id % 5 = 0 THEN NULL "
+            "ELSE qty END AS visible_qty",
             "if(event_id % 37 = 0, NULL, value) AS price",
             "if(event_id % 10 = 0, 2, 1) AS order_type",
             "0 AS exch_order_type",
             "if(user_id % 29 = 0, 4, 1) AS order_cat",
-        )
-        .selectExpr(
-            "*",
-            f"if(change_reason = {S.NEW}, qty, qty * (event_id % 4) / 4D) AS remaining",
-            "CASE WHEN event_id % 17 = 0 THEN qty / 10D WHEN event_id % 5 = 0 THEN NULL "
-            "ELSE qty END AS visible_qty",
             "qty * price AS order_tl",
         )
-        .select("event_id", *S.ENGINE_COLUMNS)
     )
 
 
+# Columns of the activity table.
+ACTIVITY_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
+
 def load_order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return order_events(spark.read.schema(ACTIVITY_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def raw_text(events: DataFrame) -> DataFrame:
