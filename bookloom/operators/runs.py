@@ -124,14 +124,17 @@ def _join_pieces(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(side), match, "left").drop("_key", "_part")
 
 
-def _hot_orders(events: DataFrame, limit: int) -> DataFrame | None:
-    """Orders with more rows than the limit, with their number of rows.
+def hot_orders(events: DataFrame, limit: int | None) -> DataFrame | None:
+    """Orders with more rows than the limit (``_hot``, ``_rows``), None if there are none.
 
     Three steps, each only if the one before leaves room for a hot order: all
     rows are counted; rows are counted per hash bucket of the order id, which
     bounds every order in it from above; rows per order are counted in the
-    crowded buckets. There is at most one hot order per ``limit`` rows.
+    crowded buckets. There is at most one hot order per ``limit`` rows, so the
+    result is small enough to broadcast. No limit: no search.
     """
+    if limit is None:
+        return None
     rows = events.count()
     if rows <= limit:
         return None
@@ -152,6 +155,13 @@ def _hot_orders(events: DataFrame, limit: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def split_hot(events: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the hot orders, and all others. The order id may be NULL."""
+    listed = F.broadcast(hot.select("_hot"))
+    same = F.col(KEY).eqNullSafe(F.col("_hot"))
+    return events.join(listed, same, "left_semi"), events.join(listed, same, "left_anti")
+
+
 def order_runs(
     events: DataFrame,
     tie_break: Sequence[Column] | None = None,
@@ -164,22 +174,18 @@ def order_runs(
     in a columnar table, not in text files.
     """
     order = event_order(events, tie_break)
-    hot = None if hot_order_rows is None else _hot_orders(events, hot_order_rows)
+    hot = hot_orders(events, hot_order_rows)
     if hot is None:
         return [OrderRuns(events, order)]
-    listed = F.broadcast(hot.select("_hot"))
-    same = F.col(KEY).eqNullSafe(F.col("_hot"))
+    large, rest = split_hot(events, hot)
     pieces = min(MOST_PIECES, 1 + hot.agg(F.sum("_rows")).first()[0] // hot_order_rows)
     # Range borders are sampled, so the piece numbers are fixed by writing them.
     cut = stage(
-        events.join(listed, same, "left_semi")
-        .repartitionByRange(pieces, F.col(KEY).asc(), *order)
-        .withColumn(PIECE, F.spark_partition_id())
+        large.repartitionByRange(pieces, F.col(KEY).asc(), *order).withColumn(
+            PIECE, F.spark_partition_id()
+        )
     )
-    return [
-        OrderRuns(events.join(listed, same, "left_anti"), order),
-        OrderRuns(cut, order, cut=True),
-    ]
+    return [OrderRuns(rest, order), OrderRuns(cut, order, cut=True)]
 
 
 def union_results(frames: Sequence[DataFrame]) -> DataFrame:

@@ -6,43 +6,72 @@ rows over every code, window and class; FIXTURES.md lists them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookloom import schema as S
 from bookloom.functions.numbers import micros_between
+from bookloom.operators.runs import HOT_ORDER_ROWS, hot_orders, split_hot
 
 
-def order_events(activity: DataFrame) -> DataFrame:
+def _opened(rows: DataFrame) -> DataFrame:
+    """Add entry_ts and opens, from the first row of each order."""
+    by_time = Window.partitionBy("order_id").orderBy(
+        F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()
+    )
+    return rows.select(
+        "*",
+        F.first("ts").over(by_time).alias("entry_ts"),
+        (F.row_number().over(by_time) == 1).alias("opens"),
+    )
+
+
+def _opened_hot(rows: DataFrame) -> DataFrame:
+    """The same for orders too large for one task; there are few of them."""
+    first = rows.groupBy(F.col("order_id").alias("_order")).agg(
+        F.min(F.struct(F.col("ts").isNull(), "ts", "event_id")).alias("_first")
+    )
+    same = F.col("order_id").eqNullSafe(F.col("_order"))
+    return rows.join(F.broadcast(first), same).selectExpr(
+        *rows.columns,
+        "_first.ts AS entry_ts",
+        "ts <=> _first.ts AND event_id <=> _first.event_id AS opens",
+    )
+
+
+def order_events(activity: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS) -> DataFrame:
     """Typed order events (with event_id as extra column).
 
-    The first event of each order comes from an aggregate joined back, not from
-    a window: an order that holds much of the table is then combined before the
-    shuffle, and adaptive execution may split its side of the join. Plans that
-    need no column of the first event lose the join altogether.
+    The first event of each order is found on rows shuffled by order_id, so
+    later operators on the order need no shuffle of their own. Orders with more
+    rows than the limit are combined before the shuffle instead.
     """
-    rows = activity.withColumn("day", F.to_date("ts"))
-    first = (
-        rows.groupBy("user_id", "day")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first"))
-        .selectExpr("user_id", "day", "first.ts AS entry_ts", "first.event_id AS first_event_id")
+    rows = activity.withColumn(
+        "order_id", F.expr("concat('O', user_id, '-', cast(cast(ts AS date) AS string))")
     )
-    opens, resized = "event_id = first_event_id", "event_type IN ('signup', 'view')"
+    hot = hot_orders(rows, hot_order_rows)
+    if hot is None:
+        return _typed(_opened(rows))
+    large, rest = split_hot(rows, hot)
+    return _typed(_opened(rest).unionByName(_opened_hot(large)))
+
+
+def _typed(opened: DataFrame) -> DataFrame:
+    resized = "event_type IN ('signup', 'view')"
     delay = F.floor(micros_between("entry_ts", "ts") / F.expr("pow(10D, user_id % 7)"))
     # Later lines refer to columns named on earlier ones.
     return (
-        rows.join(first, ["user_id", "day"], "left")
-        .withColumn("delay", delay)
+        opened.withColumn("delay", delay)
         .selectExpr(
             "event_id",
-            "concat('O', user_id, '-', cast(day AS string)) AS order_id",
+            "order_id",
             "concat('STK', lpad(user_id % 23, 2, '0'), if(user_id % 23 < 19, '.E', '.V')) AS stock",
             f"if(user_id % 2 = 0, '{S.BUY}', '{S.SELL}') AS side",
             "CASE hour(entry_ts) WHEN 17 THEN 'PAY_KAPANIS' WHEN 11 THEN 'PAY_ACS_EMR' "
             "ELSE 'PAY_SUREKLI' END AS session",
             "entry_ts",
             "timestampadd(MICROSECOND, delay, entry_ts) AS change_ts",
-            f"CASE WHEN {opens} THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
+            f"CASE WHEN opens THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
             f"WHEN {resized} THEN {S.REPLACED} "
             f"WHEN event_type = 'click' THEN {S.CANCELLED_BY_USER} "
             f"WHEN event_id % 3 = 0 THEN 13 ELSE {S.EXPIRED} END AS change_reason",

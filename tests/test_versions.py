@@ -18,7 +18,7 @@ from bookloom.operators.versions import (
     versioned_events,
 )
 from bookloom.plans import repricing
-from bookloom.sources.activity import load_order_events
+from bookloom.sources.activity import load_order_events, order_events
 
 
 def same(one, other):
@@ -179,6 +179,21 @@ def test_hot_repricing(skewed):
     assert same(plain, repricing.max_versions(skewed, hot_order_rows=LIMIT))
 
 
+def test_hot_activity_gives_the_same_events(spark, sf_dir):
+    activity = spark.read.parquet(f"{sf_dir}/events.parquet")
+    one_user = F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id"))
+    one_day = F.expr(
+        "CASE WHEN event_id % 3 = 0 THEN timestamp_ntz'2024-01-05 10:00:00' "
+        "+ make_dt_interval(0, 0, event_id % 50) ELSE ts END"
+    )
+    crowded = activity.withColumns({"user_id": one_user, "ts": one_day})
+    plain = order_events(crowded, hot_order_rows=None)
+    split = order_events(crowded, hot_order_rows=200)
+    assert "Union" in split._jdf.queryExecution().analyzed().toString()
+    assert "Union" not in plain._jdf.queryExecution().analyzed().toString()
+    assert same(plain, split)
+
+
 def test_no_hot_orders_no_cut(skewed):
     assert [r.cut for r in order_runs(skewed, hot_order_rows=900)] == [False]
 
@@ -186,8 +201,9 @@ def test_no_hot_orders_no_cut(skewed):
 def test_one_shuffle_for_versions_and_lives(spark, tmp_path, sf_dir):
     path = str(tmp_path / "events")
     load_order_events(spark, sf_dir).write.parquet(path)
-    table = spark.read.parquet(path)
-    for frame in (lifecycle_table(table), enrich_events(table), version_summary(table)):
+    operators = (lifecycle_table, enrich_events, version_summary)
+    tables = (spark.read.parquet(path), load_order_events(spark, sf_dir))
+    for frame in [operator(table) for operator in operators for table in tables]:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
         assert "Python" not in plan and "Arrow" not in plan
