@@ -97,12 +97,9 @@ def write_validation(
 ) -> str:
     """History of some often modified orders, and versions over a sample of orders."""
     chosen = samples.events_of(events, stage(samples.modified_orders(events)))
-    detail = versions.order_detail(chosen)
     tops = stage(repricing.max_versions(events, fraction))
     results = {
-        "order_detail": detail,
-        "order_detail_header": versions.order_detail_header(detail),
-        "version_summary": versions.version_summary_display(versions.version_summary(chosen)),
+        **history(chosen),
         "version_distribution": repricing.distribution_meaning(
             repricing.version_distribution(tops)
         ),
@@ -111,6 +108,24 @@ def write_validation(
     return write_results(results, base, fmt, now)
 
 
+def history(events: DataFrame) -> dict[str, DataFrame]:
+    """Event by event and version by version, for a few orders."""
+    detail = versions.order_detail(events)
+    summary = versions.version_summary(events)
+    return {
+        "order_detail": detail.orderBy("order_id", "change_ts"),
+        "order_detail_header": versions.order_detail_header(detail),
+        "version_summary": versions.version_summary_display(
+            summary.orderBy("stock", "version_start_ts")
+        ),
+    }
+
+
+def lookup(events: DataFrame, order_id: str) -> dict[str, DataFrame]:
+    """History of one order; empty frames if there is none of that id."""
+    return history(samples.lookup_order(events, order_id))
+
+
 def write_enriched(
     events: DataFrame, path: str, keep: list[str] | None = None, fmt: str = "parquet"
 ) -> None:

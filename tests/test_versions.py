@@ -17,7 +17,7 @@ from bookloom.operators.versions import (
     version_summary_display,
     versioned_events,
 )
-from bookloom.plans import repricing
+from bookloom.plans import repricing, reports
 from bookloom.sources.activity import load_order_events, order_events
 
 
@@ -99,8 +99,17 @@ def test_detail_and_header(spark):
 
 def test_lookup(spark):
     frame = repriced().event("Z", 6).frame(spark)
-    assert order_detail(samples.lookup_order(frame, "X")).count() == 6
-    assert order_detail(samples.lookup_order(frame, "none")).isEmpty()
+    found = reports.lookup(frame, "X")
+    assert [r.event for r in found["order_detail"].collect()][0] == "NEW"
+    assert found["order_detail"].count() == 6 and found["version_summary"].count() == 3
+    assert all(f.isEmpty() for f in reports.lookup(frame, "none").values())
+
+
+def test_lookup_reaches_the_scan(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "events")
+    load_order_events(spark, sf_dir).write.parquet(path)
+    frame = order_detail(samples.lookup_order(spark.read.parquet(path), "O6-2024-01-04"))
+    assert "EqualTo(order_id,O6-2024-01-04)" in frame._jdf.queryExecution().toString()
 
 
 def test_modified_orders(spark):
