@@ -4,7 +4,8 @@ Most orders have few events, so one shuffle on order_id and one sort serve all
 window functions on them. An order with very many events would put all of them
 into one task; such orders are cut into consecutive pieces by a range shuffle
 on (order_id, time, ...). Functions then run per piece, and what crosses a
-piece border (one row per order and piece) is added from a small side table.
+piece border is added from a side table with one row per order and piece. There
+are at most as many of those as pieces plus hot orders, so it fits a broadcast.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from bookloom.operators.staging import stage
 
 # Events of one order that one task sorts without trouble (about 0.5 GB).
 HOT_ORDER_ROWS = 4_000_000
-# Most pieces one call makes; beyond it the pieces grow, and the sort spills.
+# Pieces hold a quarter of that, so that tasks can share them out evenly. With
+# more than this many the pieces grow instead, and the sort spills.
+PIECES_PER_LIMIT = 4
 MOST_PIECES = 20_000
 # Most hash buckets used to rule out hot orders.
 MOST_BUCKETS = 1 << 20
 
 KEY = "order_id"
 PIECE = "_piece"
+PLACE = "_at"
 
 
 def event_order(events: DataFrame, tie_break: Sequence[Column] | None = None) -> list[Column]:
@@ -55,7 +59,11 @@ def event_order(events: DataFrame, tie_break: Sequence[Column] | None = None) ->
 
 @dataclass(frozen=True)
 class OrderRuns:
-    """Rows of some orders, each order entire. ``cut`` rows carry a piece number."""
+    """Rows of some orders, each order entire.
+
+    Rows of ``cut`` runs carry their place in the order of all rows (``_at``)
+    and the number of their piece; there ``order`` is the place.
+    """
 
     rows: DataFrame
     order: Sequence[Column]
@@ -70,23 +78,27 @@ class OrderRuns:
 
     def neighbour(self, columns: Mapping[str, str], ahead: bool = False) -> OrderRuns:
         """Add, under new names, columns of the previous (or next) row of the order."""
-        step, back = (F.lead, F.lag) if ahead else (F.lag, F.lead)
+        step = F.lead if ahead else F.lag
         w = self._window()
         rows = self.rows.select("*", *[step(old).over(w).alias(new) for new, old in columns.items()])
         if not self.cut:
             return self.with_rows(rows)
-        # The border row of a piece is the one the next piece looks at.
-        border = (
-            self.rows.select("*", back(F.lit(1)).over(w).isNull().alias("_border"))
-            .where("_border")
-            .select(KEY, PIECE, F.struct(*columns.values()).alias("_side"))
+        # Looking back, the first row of a piece needs the last one of the piece
+        # before; looking ahead, the last row needs the first one of the next.
+        taker, giver = (F.max, F.min) if ahead else (F.min, F.max)
+        ends = self.rows.groupBy(KEY, PIECE).agg(
+            taker(PLACE).alias("_taker"), giver(PLACE).alias(PLACE)
         )
         across = Window.partitionBy(KEY).orderBy(PIECE)
-        carried = border.select(KEY, PIECE, step("_side").over(across).alias("_carry"))
-        edge = step(F.lit(1)).over(w).isNull()
-        joined = _join_pieces(rows.withColumn("_edge", edge), carried)
+        handed = (
+            self.rows.select(PLACE, F.struct(*columns.values()).alias("_row"))
+            .join(F.broadcast(ends), PLACE)
+            .select(F.col("_taker").alias(PLACE), step("_row").over(across).alias("_row"))
+            .withColumn("_border", F.lit(True))
+        )
+        joined = rows.join(F.broadcast(handed), PLACE, "left")
         filled = [
-            F.when(F.col("_edge"), F.col(f"_carry.{old}")).otherwise(F.col(new)).alias(new)
+            F.when(F.col("_border"), F.col(f"_row.{old}")).otherwise(F.col(new)).alias(new)
             for new, old in columns.items()
         ]
         return self.with_rows(joined.select(*self.rows.columns, *filled))
@@ -100,28 +112,22 @@ class OrderRuns:
         earlier = (
             Window.partitionBy(KEY).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
         )
-        carried = (
+        before = (
             self.rows.groupBy(KEY, PIECE)
             .agg(F.sum(column).alias("_sum"))
-            .select(KEY, PIECE, F.sum("_sum").over(earlier).alias("_carry"))
+            .select(
+                F.col(KEY).alias("_key"),
+                F.col(PIECE).alias("_part"),
+                F.sum("_sum").over(earlier).alias("_before"),
+            )
         )
-        joined = _join_pieces(rows, carried)
-        total = F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))
-        return self.with_rows(joined.withColumn(name, total).drop("_carry"))
+        here = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col(PIECE) == F.col("_part"))
+        total = F.col(name) + F.coalesce(F.col("_before"), F.lit(0))
+        joined = rows.join(F.broadcast(before), here, "left").withColumn(name, total)
+        return self.with_rows(joined.drop("_key", "_part", "_before"))
 
     def result(self) -> DataFrame:
-        return self.rows.drop(PIECE)
-
-
-def _join_pieces(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Bring one carried row per (order, piece) to the rows.
-
-    There are at most as many as pieces plus hot orders, so they fit a broadcast.
-    The order id may be NULL, which counts as one order.
-    """
-    side = carried.withColumnsRenamed({KEY: "_key", PIECE: "_part"})
-    match = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col(PIECE) == F.col("_part"))
-    return rows.join(F.broadcast(side), match, "left").drop("_key", "_part")
+        return self.rows.drop(PIECE, PLACE)
 
 
 def hot_orders(events: DataFrame, limit: int | None) -> DataFrame | None:
@@ -178,14 +184,18 @@ def order_runs(
     if hot is None:
         return [OrderRuns(events, order)]
     large, rest = split_hot(events, hot)
-    pieces = min(MOST_PIECES, 1 + hot.agg(F.sum("_rows")).first()[0] // hot_order_rows)
-    # Range borders are sampled, so the piece numbers are fixed by writing them.
-    cut = stage(
-        large.repartitionByRange(pieces, F.col(KEY).asc(), *order).withColumn(
-            PIECE, F.spark_partition_id()
-        )
+    hot_rows = hot.agg(F.sum("_rows")).first()[0]
+    pieces = min(MOST_PIECES, 1 + PIECES_PER_LIMIT * hot_rows // hot_order_rows)
+    by_order = [F.col(KEY).asc(), *order]
+    # Range borders are sampled, so places and pieces are fixed by writing them.
+    placed = stage(
+        large.repartitionByRange(pieces, *by_order)
+        .sortWithinPartitions(*by_order)
+        .withColumn(PLACE, F.monotonically_increasing_id())
     )
-    return [OrderRuns(rest, order), OrderRuns(cut, order, cut=True)]
+    # The upper bits of the place are the number of the range it was made in.
+    cut = placed.withColumn(PIECE, F.shiftright(PLACE, 33).cast("int"))
+    return [OrderRuns(rest, order), OrderRuns(cut, [F.col(PLACE)], cut=True)]
 
 
 def union_results(frames: Sequence[DataFrame]) -> DataFrame:
