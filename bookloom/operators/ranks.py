@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 SLOTS_PER_DOUBLING = 4096
 # Values this small are told apart by the slots: a microsecond, a millionth.
 UNITS = 1e6
+# Beyond every slot of a finite double.
+LAST_SLOT = 10_000_000
 
 
 def value_slot(x: Column) -> Column:
     """Slot number of a double; monotone, negative for negative values.
 
     A value of n units shares its slot with fewer than n / 5000 + 2 other whole
-    units, whatever the number of rows.
+    units, whatever the number of rows. Infinite values share one slot at either
+    end; NaN comes last, as in a sort.
     """
     size = F.log2(F.abs(x) * F.lit(UNITS) + F.lit(1.0)) * F.lit(float(SLOTS_PER_DOUBLING))
-    return (F.signum(x) * F.floor(size)).cast("bigint")
+    bounded = F.least(F.floor(size), F.lit(LAST_SLOT - 1))
+    return F.when(F.isnan(x), LAST_SLOT).otherwise((F.signum(x) * bounded).cast("bigint"))
 
 
 def value_counts(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

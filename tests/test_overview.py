@@ -140,7 +140,8 @@ def test_cube_answers_like_facts(question, spark, sf_dir, cube):
 @pytest.mark.parametrize(
     "values",
     [[1.0], [1.0, 2.0], [5.0, -3.0, 5.0, 0.0], [-1.5, -2.5, -2.5], [1e-6, 2e-6, 4e-6], [0.0] * 7,
-     [1e9, 1e9 + 1, 1e9 + 2, None]],
+     [1e9, 1e9 + 1, 1e9 + 2, None], [float("inf"), 1.0, 2.0], [float("nan"), 3.0, 1.0, -1e300, 7.0],
+     [float("-inf"), 1e308, 4.0]],
 )
 def test_median(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "x double")
