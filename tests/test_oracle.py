@@ -6,9 +6,10 @@ import pytest
 from compare import differences, kinds
 
 import __spark_entry__ as entry_points
+from bookloom import catalog, oracle
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = oracle.all_sql()
 
 
 def test_every_query_has_an_oracle():
@@ -26,3 +27,8 @@ def test_query(name, spark, sf_dir, oracle):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_entry_points_hold_the_catalog():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
