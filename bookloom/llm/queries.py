@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import decontamination, line_dedup, packing, pii, quality, simhash, url_filter
+from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, simhash, url_filter
 from bookloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_texts(spark, sf_dir))
+
+
 # Verdict, host and start of the path.
 URL_RULES = (
     ("allow", "com", "/"),
@@ -83,6 +87,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op4_pii": op4_pii,
         "op6_quality": op6_quality,
