@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, simhash, url_filter
+from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, simhash, substring_dedup, url_filter
 from bookloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeated_spans(_texts(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_texts(spark, sf_dir))
     counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_pii": op4_pii,
         "op6_quality": op6_quality,
         "op7_packing": op7_packing,
