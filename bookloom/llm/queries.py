@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, simhash, substring_dedup, url_filter
+from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, search, simhash, substring_dedup, url_filter
 from bookloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 as a query, against all documents."""
+    docs = _texts(spark, sf_dir)
+    return search.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     held_out = fold("doc_id", 4) == 2
@@ -96,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": op2_url_filter,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_pii": op4_pii,
+        "op5_search": op5_search,
         "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from bookloom.llm.common import byte_rows, slices, stored
 from bookloom.llm.suffix_automaton import SuffixAutomaton
+from bookloom.llm.word_hashes import hashes, mix
 
 WINDOW = 13
 ANCHOR = 7
@@ -46,20 +47,7 @@ HOT = 2000
 HOT_IN_BLOCK = 4
 MOST_HOT = 1_000_000
 
-_rng = np.random.Generator(np.random.PCG64(3))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_ODD = 0x9E3779B97F4A7C15
-_BACK = pow(_ODD, -1, 1 << 64)
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(base), np.uint64))])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+_PLACE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def _runs_of(words: np.ndarray, n: int) -> np.ndarray:
@@ -68,7 +56,7 @@ def _runs_of(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(many, np.uint64)
     for j in range(n):
         total += words[j : j + many] * _PLACE[j]
-    return _mix(total)
+    return mix(total)
 
 
 class Words:
@@ -84,10 +72,7 @@ class Words:
         counts = np.array([len(x) for x in lists], np.int64)
         self.text_starts = np.cumsum(counts) - counts
         self.text_of = np.repeat(np.arange(len(texts)), counts)
-        raw = np.frombuffer(self.joined, np.uint8)
-        power, back = _powers(len(raw), _ODD), _powers(len(raw), _BACK)
-        summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * power[:-1])])
-        self.hashes = _mix((summed[self.ends] - summed[self.starts]) * back[self.starts])
+        self.hashes = hashes(np.frombuffer(self.joined, np.uint8), self.starts, self.ends)
 
     def pieces(self, window: int, anchor: int) -> tuple[np.ndarray, ...]:
         """Runs of windows with one anchor: its hash and place, first and last window."""
