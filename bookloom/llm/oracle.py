@@ -33,5 +33,94 @@ FROM judged GROUP BY doc_id
 """
 
 
+SUBSTRING_DEDUP = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+placed AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
+),
+windows AS (
+    SELECT doc_id, pos, string_agg(word, ' ') OVER following AS window_text, count(*) OVER following AS n
+    FROM placed
+    WINDOW following AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+),
+firsts AS (
+    SELECT window_text, min(doc_id) AS first_doc FROM windows WHERE n = 13 GROUP BY window_text
+),
+gone AS (
+    SELECT DISTINCT w.doc_id, w.pos + step.step AS pos
+    FROM windows w JOIN firsts f USING (window_text), range(13) AS step(step)
+    WHERE w.n = 13 AND f.first_doc < w.doc_id
+),
+judged AS (
+    SELECT p.doc_id, p.word, p.pos, g.pos IS NOT NULL AS removed
+    FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos
+),
+summed AS (
+    SELECT doc_id, count(*) FILTER (removed) AS n_removed,
+           string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed) AS kept
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN summed s USING (doc_id)
+"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _windows(table: str, key: str, size: int) -> str:
+    """Runs of ``size`` consecutive words."""
+    return f"""
+    SELECT {key}, pos, {size} AS size, string_agg(word, ' ') OVER following AS window_text,
+           count(*) OVER following AS n
+    FROM {table}
+    WINDOW following AS (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)
+    QUALIFY n = {size}"""
+
+
+_SIZES = range(1, 14)
+
+DECONTAMINATION = f"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '{_WORD}') AS words
+    FROM documents
+),
+items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '{_WORD}') AS words
+    FROM benchmark
+),
+doc_words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+item_words AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM items),
+item_windows AS (
+    SELECT DISTINCT w.item_id, w.size, window_text
+    FROM ({" UNION ALL ".join(_windows("item_words", "item_id", n) for n in _SIZES)}) w
+    JOIN items i ON w.item_id = i.item_id AND w.size = least(13, len(i.words))
+),
+doc_windows AS ({" UNION ALL ".join(_windows("doc_words", "doc_id", n) for n in _SIZES)}),
+hits AS (
+    SELECT d.doc_id, d.pos, d.size, i.item_id
+    FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.window_text = i.window_text
+),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT pos + step.step) AS n_hit
+    FROM hits, range(13) AS step(step) WHERE step.step < size GROUP BY doc_id
+),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op10_line_dedup": LINE_DEDUP}
+    return {
+        "op3_substring_dedup": SUBSTRING_DEDUP,
+        "op8_decontamination": DECONTAMINATION,
+        "op10_line_dedup": LINE_DEDUP,
+    }

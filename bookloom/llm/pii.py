@@ -3,9 +3,9 @@
 Base spans come from strict patterns and always stay. Wider patterns propose
 further spans. Labelers of three sorts (regex, gazetteer, context) vote on every
 span; expectation-maximisation estimates how reliable each labeler is for each
-kind, from how often votes coincide; the posteriors train a naive Bayes
-classifier on the shape and neighbourhood of spans, which decides on the further
-ones. DataFrame functions throughout.
+kind, from how often votes coincide; the posteriors train a classifier, the votes'
+log-odds plus the mean log-odds of a span's shape and neighbours, which decides on
+the further ones. DataFrame functions throughout.
 
 Texts are read once, in the tasks that hold them; only spans are shuffled, and
 only counts of vote patterns and of features, both of bounded number, meet.
@@ -180,13 +180,12 @@ def _by_kind(choices: dict[str, Column]) -> Column:
 
 
 def votes() -> Column:
-    """One 0 or 1 per labeler: three regexes, two gazetteers, two of context."""
+    """One 0 or 1 per labeler: two regexes, two gazetteers, two of context."""
     s, number = F.col("s"), digits(F.col("s"))
     n = F.length(number)
     raw = F.col("raw")
     tail = F.lower(F.regexp_extract(raw, r"([A-Za-z]+)$", 1))
     near, after = F.lower(F.col("before")), F.lower(F.col("after"))
-    strict = F.col("is_base")
     shape = _by_kind({
         "email": raw.rlike(r"^[A-Za-z0-9]"),
         "ip": n >= 4,
@@ -208,10 +207,10 @@ def votes() -> Column:
     })
     speaks = _by_kind({k: near.rlike(NEAR[k]) | after.rlike(NEAR[k]) for k in KINDS})
     clear = ~near.rlike(AGAINST)
-    return F.array(*[c.cast("int") for c in (strict, shape, whole, listed, written, speaks, clear)])
+    return F.array(*[c.cast("int") for c in (shape, whole, listed, written, speaks, clear)])
 
 
-LABELERS = 7
+LABELERS = 6
 
 
 def _posterior(state: Column, fired: Column) -> Column:
@@ -231,7 +230,7 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """How often each labeler fires on personal data and on other spans, per kind.
 
     ``patterns`` has one row per kind and vote pattern with its count ``n``: at
-    most 4 * 2^7 rows. Expectation-maximisation for a fixed number of rounds,
+    most 4 * 2^6 rows. Expectation-maximisation for a fixed number of rounds,
     from labelers that are right more often than not; counts are smoothed.
     """
     start = F.struct(
@@ -295,29 +294,20 @@ def _more_spans(spans: DataFrame) -> DataFrame:
     posteriors = learned.select("kind", "state", F.explode("_patterns").alias("p")).select(
         "kind", F.col("p.v").alias("votes"), _posterior(F.col("state"), F.col("p.v")).alias("q")
     )
-    # At most 512 rows.
+    # At most 256 rows.
     judged = spans.join(F.broadcast(posteriors), ["kind", "votes"])
     sums = [F.sum(F.floor(F.col("q") * 1e6)) / 1e6, F.sum(F.floor((1 - F.col("q")) * 1e6)) / 1e6]
-    prior = judged.groupBy("kind").agg(sums[0].alias("yes"), sums[1].alias("no"))
-    weight = judged.select("kind", "q", F.explode("features").alias("key")).groupBy("kind", "key").agg(
-        sums[0].alias("f_yes"), sums[1].alias("f_no")
+    weights = judged.select("q", F.explode("features").alias("key")).groupBy("key").agg(
+        F.log((sums[0] + 1) / (sums[1] + 1)).alias("w")
     )
     # A few rows per kind and feature: the bounds are in features().
-    weights = weight.join(F.broadcast(prior), "kind").select(
-        "key",
-        (F.log((F.col("f_yes") + 0.5) / (F.col("yes") + 1)) - F.log((F.col("f_no") + 0.5) / (F.col("no") + 1))).alias("w"),
-    )
-    priors = prior.select(
-        F.col("kind").cast("string").alias("key"), F.log((F.col("yes") + 1) / (F.col("no") + 1)).alias("w")
-    )
-    table = stored(weights.union(priors), "pii-weights")
+    table = stored(weights, "pii-weights")
     lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "w")))).scalar()
-    more = spans.where(~F.col("is_base")).withColumn("_w", lookup)
-    score = F.aggregate(
-        F.array_append("features", F.col("kind").cast("string")),
-        F.lit(0.0),
-        lambda total, key: total + F.coalesce(F.try_element_at("_w", key), F.lit(0.0)),
+    more = judged.where(~F.col("is_base")).withColumn("_w", lookup)
+    learned_odds = F.aggregate(
+        "features", F.lit(0.0), lambda total, key: total + F.coalesce(F.try_element_at("_w", key), F.lit(0.0))
     )
+    score = F.log(F.col("q") / (1 - F.col("q"))) + learned_odds / F.size("features")
     # What fails the base check of its kind is never taken, whatever its neighbours.
     sound = _by_kind({k: _valid(k, F.col("s")) if k != "ip" else F.lit(True) for k in KINDS})
     return more.where((score > 0) & sound).groupBy("_h1", "_h2").agg(F.collect_set(F.struct("kind", "a", "b")).alias("_more"))
