@@ -18,6 +18,7 @@ from bookloom.functions.sessions import broad_session, session_window
 from bookloom.operators import samples, versions
 from bookloom.operators.lifecycle import lifecycle_table
 from bookloom.operators.ranks import largest
+from bookloom.operators.runs import hot_orders
 from bookloom.plans import lives, overview, repricing
 from bookloom.sources.activity import load_order_events, raw_text
 from bookloom.sources.order_files import typed_events
@@ -26,6 +27,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SUM_PLACES = 3
 PCT_PLACES = 6
+# Rows of the printed version tables; the full tables are registered as well.
+FIRST_ROWS = 15
+# An order of the test table, looked up by its id.
+KNOWN_ORDER = "O7-2024-01-05"
+# Events of an order above which the split path is exercised.
+CUT_ABOVE = 3
 
 
 def settle(frame: DataFrame, *sums: str, pct: tuple[str, ...] = ()) -> DataFrame:
@@ -63,6 +70,11 @@ def _on_versions(plan: Callable[[DataFrame], DataFrame], *, pct: tuple[str, ...]
     return _on_events(lambda ev: settle(plan(repricing.max_versions(ev)), pct=pct))
 
 
+def _on_cut(plan: Callable[..., DataFrame]) -> Query:
+    """The plan with every order of more than a few events cut into pieces."""
+    return _on_events(lambda ev: plan(ev, hot=hot_orders(ev, CUT_ABOVE)))
+
+
 def _longest_order(events: DataFrame) -> DataFrame:
     """Detail of the order with most events, found by the query itself."""
     counts = events.where(E.is_regular()).groupBy("order_id").agg(F.count("*").alias("n"))
@@ -167,16 +179,24 @@ def queries() -> dict[str, Query]:
             lambda ev: versions.order_detail_header(versions.order_detail(ev))
         ),
         "order_lookup": _on_events(_longest_order),
+        "order_lookup_by_id": _on_events(
+            lambda ev: versions.order_detail(samples.lookup_order(ev, KNOWN_ORDER))
+        ),
         "version_summary": _on_events(versions.version_summary),
         "version_summary_display": _on_events(
             lambda ev: versions.version_summary_display(versions.version_summary(ev))
         ),
-        "version_distribution": _on_versions(repricing.version_distribution),
+        "version_distribution": _on_versions(
+            lambda v: repricing.version_distribution(v, rows=FIRST_ROWS)
+        ),
+        "version_distribution_full": _on_versions(repricing.version_distribution),
         "version_distribution_headline": _on_versions(
             lambda v: lf.improved_share(v, "max_version"), pct=("pct_improved",)
         ),
         "version_distribution_meaning": _on_versions(
-            lambda v: repricing.distribution_meaning(repricing.version_distribution(v))
+            lambda v: repricing.distribution_meaning(
+                repricing.version_distribution(v, rows=FIRST_ROWS)
+            )
         ),
         "repricing_by_stock": _on_versions(repricing.repricing_by_stock),
         # Samples
@@ -212,7 +232,15 @@ def queries() -> dict[str, Query]:
         "l6_hft_intraday": _on_lives(lf.fleeting_by_window),
         "l6_peak": _on_lives(lambda t: lf.fleeting_peak(lf.fleeting_by_window(t))),
         "l6_chart": _on_lives(lambda t: lf.fleeting_chart(lf.fleeting_by_window(t))),
-        "order_versions": _on_lives(lf.order_versions, improvements=True),
+        "order_versions": _on_lives(
+            lambda t: lf.order_versions(t, rows=FIRST_ROWS), improvements=True
+        ),
+        "order_versions_full": _on_lives(lf.order_versions, improvements=True),
+        # The same with orders of a few events treated as too large for one task
+        "enrich_events_cut": _on_cut(versions.enrich_events),
+        "order_detail_cut": _on_cut(versions.order_detail),
+        "version_summary_cut": _on_cut(versions.version_summary),
+        "lifecycle_table_cut": _on_cut(lifecycle_table),
         "order_versions_headline": _on_lives(
             lambda t: lf.improved_share(t, "n_qualifying_improvements"),
             pct=("pct_improved",),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import seconds_between
-from bookloom.operators.runs import HOT_ORDER_ROWS, union_results
+from bookloom.operators.runs import union_results
 from bookloom.operators.versions import mark_improvements, regular_runs
 
 NEEDED = (
@@ -79,7 +79,7 @@ def _fold(marked: DataFrame, improvements: bool) -> DataFrame:
 def lifecycle_table(
     events: DataFrame,
     improvements: bool = True,
-    hot_order_rows: int | None = HOT_ORDER_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Life of every regular order that has a NEW event with a time.
 
@@ -91,5 +91,5 @@ def lifecycle_table(
         return _fold(events.where(E.is_regular()), improvements=False)
     ties = ["event_id"] if "event_id" in events.columns else []
     slim = events.where(E.is_regular()).select("order_cat", *NEEDED, *ties)
-    runs = regular_runs(slim, hot_order_rows)
+    runs = regular_runs(slim, hot)
     return union_results([_fold(mark_improvements(r).rows, improvements=True) for r in runs])

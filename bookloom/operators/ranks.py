@@ -47,13 +47,19 @@ def exact_median(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     return median_of_counts(value_counts(frame, value, by), by)
 
 
-def median_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def median_of_counts(
+    counts: DataFrame, by: Sequence[str] = (), few_groups: bool | None = None
+) -> DataFrame:
     """Median of counted values; with an even number, the mean of the two in the middle.
 
+    ``few_groups`` promises that ``by`` has a fixed handful of values (without
+    ``by`` there is one group): the middle slots then travel to the counts.
+
     The slot that holds the middle is found from the slot counts, and only its
     distinct values are sorted.
     """
     by = list(by)
+    few_groups = not by if few_groups is None else few_groups
     counted = counts.select(
         *by,
         F.col("value").alias("_v"),
@@ -76,8 +82,8 @@ def median_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .where("_below <= _high and _below + _in_slot > _low")
         .select(*by, "_slot", "_below", "_low", "_high")
     )
-    if not by:
-        middle = F.broadcast(middle)  # one or two rows
+    if few_groups:
+        middle = F.broadcast(middle)  # one or two rows per group
     inside = Window.partitionBy(*by, "_slot").orderBy("_v")
     keys = [*by, "_slot"]
     narrowed = counted.alias("c").join(

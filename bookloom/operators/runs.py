@@ -6,6 +6,7 @@ into one task; such orders are cut into consecutive pieces by a range shuffle
 on (order_id, time, ...). Functions then run per piece, and what crosses a
 piece border is added from a side table with one row per order and piece. There
 are at most as many of those as pieces plus hot orders, so it fits a broadcast.
+Which orders are hot is given by the caller, as a frame.
 """
 
 from __future__ import annotations
@@ -19,14 +20,8 @@ from pyspark.sql import functions as F
 from bookloom import schema as S
 from bookloom.operators.staging import stage
 
-# Events of one order that one task sorts without trouble (about 0.5 GB).
-HOT_ORDER_ROWS = 4_000_000
-# Pieces hold a quarter of that, so that tasks can share them out evenly. With
-# more than this many the pieces grow instead, and the sort spills.
-PIECES_PER_LIMIT = 4
-MOST_PIECES = 20_000
-# Most hash buckets used to rule out hot orders.
-MOST_BUCKETS = 1 << 20
+# Events of one order that one task sorts without trouble.
+HOT_ORDER_ROWS = 1_000_000
 
 KEY = "order_id"
 PIECE = "_piece"
@@ -130,35 +125,19 @@ class OrderRuns:
         return self.rows.drop(PIECE, PLACE)
 
 
-def hot_orders(events: DataFrame, limit: int | None) -> DataFrame | None:
-    """Orders with more rows than the limit (``_hot``, ``_rows``), None if there are none.
+def hot_orders(events: DataFrame, limit: int = HOT_ORDER_ROWS) -> DataFrame:
+    """Orders with more rows than the limit (``_hot``, ``_rows``).
 
-    Three steps, each only if the one before leaves room for a hot order: all
-    rows are counted; rows are counted per hash bucket of the order id, which
-    bounds every order in it from above; rows per order are counted in the
-    crowded buckets. There is at most one hot order per ``limit`` rows, so the
-    result is small enough to broadcast. No limit: no search.
+    Nothing runs until the frame is used. Counts are combined before the shuffle,
+    and there is at most one hot order per ``limit`` rows, so the result is small
+    enough to broadcast. Keep it with the stored events (``write_event_table``
+    does) instead of counting for every question.
     """
-    if limit is None:
-        return None
-    rows = events.count()
-    if rows <= limit:
-        return None
-    buckets = min(MOST_BUCKETS, max(1024, 8 * rows // limit))
-    bucket = F.pmod(F.xxhash64(KEY), F.lit(buckets))
-    crowded = (
-        events.groupBy(bucket.alias("_bucket")).count().where(F.col("count") > limit)
-    ).select("_bucket")
-    if crowded.isEmpty():
-        return None
-    hot = stage(
-        events.withColumn("_bucket", bucket)
-        .join(F.broadcast(crowded), "_bucket", "left_semi")
-        .groupBy(F.col(KEY).alias("_hot"))
+    return (
+        events.groupBy(F.col(KEY).alias("_hot"))
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > limit)
     )
-    return None if hot.isEmpty() else hot
 
 
 def split_hot(events: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,23 +150,21 @@ def split_hot(events: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
 def order_runs(
     events: DataFrame,
     tie_break: Sequence[Column] | None = None,
-    hot_order_rows: int | None = HOT_ORDER_ROWS,
+    hot: DataFrame | None = None,
 ) -> list[OrderRuns]:
-    """Split events into ordinary orders and, if there are any, hot ones.
+    """Ordinary orders and, if hot ones are named, those in pieces.
 
-    ``hot_order_rows=None`` skips the search for callers who know that no order
-    is that large. The search reads the order ids of the events, so keep events
-    in a columnar table, not in text files.
+    ``hot`` lists orders too large for one task (column ``_hot``, see
+    ``hot_orders``). Without it nothing runs before the result is used; with it
+    the places of hot rows are written first, as range borders are sampled. There
+    are as many pieces as shuffle partitions.
     """
     order = event_order(events, tie_break)
-    hot = hot_orders(events, hot_order_rows)
     if hot is None:
         return [OrderRuns(events, order)]
     large, rest = split_hot(events, hot)
-    hot_rows = hot.agg(F.sum("_rows")).first()[0]
-    pieces = min(MOST_PIECES, 1 + PIECES_PER_LIMIT * hot_rows // hot_order_rows)
     by_order = [F.col(KEY).asc(), *order]
-    # Range borders are sampled, so places and pieces are fixed by writing them.
+    pieces = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
         large.repartitionByRange(pieces, *by_order)
         .sortWithinPartitions(*by_order)

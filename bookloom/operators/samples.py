@@ -106,7 +106,7 @@ def sample_lives(lives: DataFrame, n: int = 3) -> DataFrame:
 
 def sample_raw_events(events: DataFrame, samples: DataFrame) -> DataFrame:
     """Events of the sampled orders (a row per group an order was picked for)."""
-    picked = F.broadcast(samples.select("sample", "order_id"))  # n rows per group
+    picked = samples.select("sample", "order_id")
     return (
         events.where(E.is_regular())
         .join(picked, "order_id")

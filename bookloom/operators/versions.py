@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to, seconds_between
-from bookloom.operators.runs import (
-    HOT_ORDER_ROWS,
-    OrderRuns,
-    order_runs,
-    union_results,
-)
+from bookloom.operators.runs import OrderRuns, event_order, order_runs, union_results
 
 PREVIOUS = {"prev_price": "price", "prev_qty": "qty"}
 
@@ -34,23 +29,23 @@ def number_versions(run: OrderRuns) -> OrderRuns:
 
 
 def regular_runs(
-    events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS
+    events: DataFrame, hot: DataFrame | None = None
 ) -> list[OrderRuns]:
-    return order_runs(events.where(E.is_regular()), hot_order_rows=hot_order_rows)
+    return order_runs(events.where(E.is_regular()), hot=hot)
 
 
 def versioned_events(
-    events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS
+    events: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Regular events with previous values, qualifies, version and composite id."""
-    runs = regular_runs(events, hot_order_rows)
+    runs = regular_runs(events, hot)
     return union_results([number_versions(r).result() for r in runs])
 
 
 def enrich_events(
     events: DataFrame,
     keep: list[str] | None = None,
-    hot_order_rows: int | None = HOT_ORDER_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every regular event with its columns plus sub_order_number, composite_id.
 
@@ -58,14 +53,23 @@ def enrich_events(
     raw files pass the raw columns to leave the typed ones out.
     """
     carried = events.columns if keep is None else keep
-    numbered = versioned_events(events, hot_order_rows)
+    numbered = versioned_events(events, hot)
     return numbered.select(*[f"`{c}`" for c in carried], "sub_order_number", "composite_id")
 
 
-def order_detail(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS) -> DataFrame:
-    """Event by event: rounded prices and sizes, version, and what changed, in words."""
+def order_detail(
+    events: DataFrame, hot: DataFrame | None = None, sort: bool = False
+) -> DataFrame:
+    """Event by event: rounded prices and sizes, version, and what changed, in words.
+
+    ``sort`` puts the rows in the order in which versions were numbered, for the
+    few orders of a history.
+    """
     rounded = {"price": 4, "prev_price": 4, "qty": 0, "prev_qty": 0}
-    rows = versioned_events(events, hot_order_rows).withColumns(
+    rows = versioned_events(events, hot)
+    if sort:
+        rows = rows.orderBy(F.col("order_id").asc_nulls_last(), *event_order(events))
+    rows = rows.withColumns(
         {name: round_to(name, places) for name, places in rounded.items()}
     )
     return rows.select(
@@ -99,12 +103,16 @@ def order_detail_header(detail: DataFrame) -> DataFrame:
     )
 
 
-def version_summary(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS) -> DataFrame:
+def version_summary(
+    events: DataFrame, hot: DataFrame | None = None, sort: bool = False
+) -> DataFrame:
     """One row per version: what started it, and how long until the next one.
 
     Version 0 starts with the NEW event (none: no version 0), later ones with
-    the improvement. The last version has no end.
+    the improvement. The last version has no end. ``sort`` puts the rows by order
+    and version number.
     """
+    by_number = ["_order", "_number"]
 
     def summarise(run: OrderRuns) -> DataFrame:
         numbered = number_versions(run)
@@ -113,6 +121,8 @@ def version_summary(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_RO
         ended = starts.neighbour({"version_end_ts": "change_ts"}, ahead=True)
         seconds = seconds_between("change_ts", "version_end_ts")
         return ended.rows.select(
+            F.col("order_id").alias("_order"),
+            F.col("sub_order_number").alias("_number"),
             "composite_id",
             "stock",
             "side",
@@ -123,7 +133,10 @@ def version_summary(events: DataFrame, hot_order_rows: int | None = HOT_ORDER_RO
             round_to(seconds, 2).alias("version_duration_s"),
         )
 
-    return union_results([summarise(r) for r in regular_runs(events, hot_order_rows)])
+    rows = union_results([summarise(r) for r in regular_runs(events, hot)])
+    if sort:
+        rows = rows.orderBy(*[F.col(c).asc_nulls_last() for c in by_number], "version_start_ts")
+    return rows.drop(*by_number)
 
 
 def version_summary_display(summary: DataFrame) -> DataFrame:

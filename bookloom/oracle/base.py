@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Codes of cancelled events.
 CANCELS = "1, 9, 10, 13, 15, 19, 20, 34, 41, 42, 43, 115, 116, 117, 118, 119, 120, 121, 122, 123, 124"
 
 EVENTS = """
@@ -55,8 +56,9 @@ stepped AS (
 marked AS (
   SELECT *,
          CAST(coalesce(change_reason = 5 AND prev_price IS NOT NULL
-                       AND ((price - prev_price) * if(side = 'A', 1, -1) > 0
-                            OR qty - prev_qty > 0), false) AS INTEGER) AS qualifies
+                       AND ((side = 'A' AND price > prev_price)
+                            OR (side = 'S' AND price < prev_price)
+                            OR qty > prev_qty), false) AS INTEGER) AS qualifies
   FROM stepped
 )
 """
@@ -98,13 +100,18 @@ lives AS (
          date_diff('microsecond', born_ts, first_fill_ts) / 1e6 AS time_to_first_fill_seconds
   FROM folded WHERE born_ts IS NOT NULL
 ),
+-- Fixed values: seconds from and below, label.
+lifetime_buckets(low, high, label) AS (
+  VALUES (0e0, 0.1e0, '1_sub_0.1s'), (0.1e0, 1e0, '2_0.1-1s'), (1e0, 5e0, '3_1-5s'),
+         (5e0, 30e0, '4_5-30s'), (30e0, 300e0, '5_30s-5min'), (300e0, 1800e0, '6_5-30min'),
+         (1800e0, 'infinity'::DOUBLE, '7_gt30min')
+),
 classed AS (
   SELECT *,
          CASE WHEN ever_expired = 1 THEN '8_eod'
               WHEN coalesce(lifetime_seconds, -1) < 0 THEN '0_unknown'
-              ELSE ['1_sub_0.1s', '2_0.1-1s', '3_1-5s', '4_5-30s', '5_30s-5min', '6_5-30min',
-                    '7_gt30min'][1 + len(list_filter([0.1e0, 1e0, 5e0, 30e0, 300e0, 1800e0],
-                                                     lambda b: b <= lifetime_seconds))]
+              ELSE (SELECT label FROM lifetime_buckets
+                    WHERE low <= lifetime_seconds AND lifetime_seconds < high)
          END AS bucket,
          CASE WHEN ever_traded = 1 AND traded_lots >= original_qty * 0.99e0 THEN '1_fully_filled'
               WHEN ever_traded = 1 AND ever_cancelled + ever_expired > 0 THEN '2_partially_filled'

@@ -212,7 +212,17 @@ SELECT count(*) AS total_orders,
        round(100e0 * count(*) FILTER (n_qualifying_improvements > 0) / count(*), 6)
          AS pct_improved
 FROM lives
+""",
+        LIVES,
+    ),
+    "order_versions_full": query(
+        """
+SELECT n_qualifying_improvements AS versions_created, count(*) AS n_orders,
+       round(100e0 * count(*) / (SELECT count(*) FROM lives), 2) AS pct_of_orders
+FROM lives GROUP BY versions_created
 """,
         LIVES,
     ),
 }
+# Cutting large orders changes how rows are shared out, not the result.
+SQL["lifecycle_table_cut"] = SQL["lifecycle_table"]

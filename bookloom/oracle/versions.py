@@ -24,7 +24,7 @@ rounded AS (
 ),
 gaps AS (
   SELECT *, price - prev_price AS dp, qty - prev_qty AS dq,
-         coalesce((price - prev_price) * if(side = 'A', 1, -1) > 0, false) AS better
+         coalesce((price - prev_price) * CASE side WHEN 'A' THEN 1 WHEN 'S' THEN -1 END > 0, false) AS better
   FROM rounded
 ),
 worded AS (
@@ -68,11 +68,12 @@ tops AS (
   SELECT order_id, max(stock) AS stock, max(sub_order_number) AS max_version
   FROM numbered GROUP BY order_id
 ),
-distribution AS (
+every_number AS (
   SELECT max_version AS times_improved, count(*) AS n_orders,
          round(100e0 * count(*) / (SELECT count(*) FROM tops), 2) AS pct_of_orders
-  FROM tops GROUP BY max_version ORDER BY max_version LIMIT 15
-)
+  FROM tops GROUP BY max_version
+),
+distribution AS (SELECT * FROM every_number ORDER BY times_improved LIMIT 15)
 """
 MODIFIED = """
 replaced AS (
@@ -126,6 +127,9 @@ FROM detail GROUP BY order_id
     "order_lookup": query(
         "SELECT d.* FROM detail d SEMI JOIN longest USING (order_id)", NUMBERED, DETAIL, LONGEST
     ),
+    "order_lookup_by_id": query(
+        "SELECT * FROM detail WHERE order_id = 'O7-2024-01-05'", NUMBERED, DETAIL
+    ),
     "version_summary": query("SELECT * FROM summary", NUMBERED, SUMMARY),
     "version_summary_display": query(
         """
@@ -139,6 +143,7 @@ FROM summary
         SUMMARY,
     ),
     "version_distribution": query("SELECT * FROM distribution", NUMBERED, VERSIONS),
+    "version_distribution_full": query("SELECT * FROM every_number", NUMBERED, VERSIONS),
     "version_distribution_headline": query(
         """
 SELECT count(*) AS total_orders, count(*) FILTER (max_version > 0) AS improved_orders,
@@ -200,3 +205,7 @@ FROM reg JOIN (SELECT sample, order_id FROM picks) USING (order_id)
         PICKS,
     ),
 }
+# Cutting large orders changes how rows are shared out, not the result.
+SQL |= {
+    f"{name}_cut": SQL[name] for name in ("enrich_events", "order_detail", "version_summary")
+}

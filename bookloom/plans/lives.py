@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bookloom.functions import lives as L
 from bookloom.functions.numbers import ratio, round_to, share
 from bookloom.functions.sessions import session_window
-from bookloom.operators.ranks import exact_median, largest
+from bookloom.operators.ranks import largest, median_of_counts
 
 
 def _pct(part: Column, whole: Column, places: int = 2) -> Column:
@@ -20,9 +20,27 @@ def _pct_of_all(column: str) -> Column:
     return _pct(F.col(column), F.sum(column).over(Window.partitionBy()))
 
 
-def _median(lives: DataFrame, column: str) -> Column:
-    """Exact median over all rows, as a scalar subquery."""
-    return exact_median(lives, column).scalar()
+def _counted(lives: DataFrame, *keys: Column) -> DataFrame:
+    """Orders per lifetime (``value``) and further keys (``times``).
+
+    Totals and the median are both taken from this frame. What they don't need is
+    a key here, so it stays in the shuffled rows, and both read the same shuffle:
+    the orders are folded once.
+    """
+    return lives.groupBy(F.col("lifetime_seconds").alias("value"), *keys).agg(
+        F.count("*").alias("times")
+    )
+
+
+def _median_lifetime(counted: DataFrame) -> Column:
+    """Exact median lifetime, as a scalar subquery."""
+    counts = counted.where(F.col("value").isNotNull())
+    return median_of_counts(counts.groupBy("value").agg(F.sum("times").alias("times"))).scalar()
+
+
+def _mean_lifetime() -> Column:
+    known = F.when(F.col("value").isNotNull(), F.col("times"))
+    return ratio(F.sum(F.col("value") * F.col("times")), F.sum(known))
 
 
 # Checks
@@ -32,20 +50,39 @@ def lifecycle_summary(lives: DataFrame) -> DataFrame:
     """Totals, typical values, and counters of impossible or odd lives."""
     open_ended = F.expr(f"NOT ({L.TRADED} OR {L.CANCELLED} OR {L.EXPIRED})")
     overfilled = F.expr(f"{L.TRADED} AND traded_lots > original_qty * 1.05D")
-    totals = lives.agg(
-        F.count("*").alias("total_orders"),
-        F.sum("ever_traded").alias("n_ever_traded"),
-        F.sum("ever_cancelled").alias("n_ever_cancelled"),
-        F.sum("ever_expired").alias("n_ever_expired"),
-        F.count_if(open_ended).alias("n_no_terminal_event"),
-        round_to(F.avg("lifetime_seconds"), 3).alias("avg_lifetime_s"),
-        round_to(F.avg("event_count"), 2).alias("avg_events_per_order"),
-        F.count_if(F.expr("lifetime_seconds < 0")).alias("sanity_neg_lifetime"),
-        F.count_if(F.expr("time_to_first_fill_seconds < 0")).alias("sanity_neg_fill_lag"),
-        F.count_if(overfilled).alias("sanity_overfilled"),
+    flags = ["ever_traded", "ever_cancelled", "ever_expired"]
+    odd = {
+        "n_no_terminal_event": open_ended,
+        "sanity_neg_fill_lag": F.expr("time_to_first_fill_seconds < 0"),
+        "sanity_overfilled": overfilled,
+    }
+    counted = _counted(
+        lives, *[F.col(c) for c in flags], "event_count", *[c.alias(n) for n, c in odd.items()]
     )
-    return totals.withColumn(
-        "median_lifetime_s", round_to(_median(lives, "lifetime_seconds"), 3)
+    times = F.col("times")
+
+    def orders(condition: Column) -> Column:
+        return F.sum(F.when(condition, times).otherwise(0))
+
+    return counted.agg(
+        F.sum(times).alias("total_orders"),
+        *[F.sum(F.col(c) * times).alias(f"n_{c}") for c in flags],
+        orders(F.col("n_no_terminal_event")).alias("n_no_terminal_event"),
+        round_to(_mean_lifetime(), 3).alias("avg_lifetime_s"),
+        round_to(ratio(F.sum(F.col("event_count") * times), F.sum(times)), 2).alias(
+            "avg_events_per_order"
+        ),
+        orders(F.col("value") < 0).alias("sanity_neg_lifetime"),
+        *[orders(F.col(c)).alias(c) for c in ("sanity_neg_fill_lag", "sanity_overfilled")],
+    ).withColumns(
+        {
+            # Counts of no orders are 0.
+            **{
+                c: F.coalesce(c, F.lit(0))
+                for c in ("total_orders", "sanity_neg_lifetime", *odd)
+            },
+            "median_lifetime_s": round_to(_median_lifetime(counted), 3),
+        }
     )
 
 
@@ -83,9 +120,9 @@ def lifetime_buckets(lives: DataFrame) -> DataFrame:
 
 def lifetime_stats(lives: DataFrame) -> DataFrame:
     """Mean and median lifetime and how far they are apart (median of at least 1 ms)."""
-    mean = round_to(F.avg("lifetime_seconds"), 2)
-    stats = lives.agg(mean.alias("mean_lifetime_s")).withColumn(
-        "median_lifetime_s", round_to(_median(lives, "lifetime_seconds"), 2)
+    counted = _counted(lives)
+    stats = counted.agg(round_to(_mean_lifetime(), 2).alias("mean_lifetime_s")).withColumn(
+        "median_lifetime_s", round_to(_median_lifetime(counted), 2)
     )
     gap = ratio(F.col("mean_lifetime_s"), F.greatest(F.col("median_lifetime_s"), F.lit(0.001)))
     return stats.withColumn("mean_to_median", gap)
@@ -254,9 +291,13 @@ def fleeting_chart(windows: DataFrame) -> DataFrame:
     return windows.where(~F.col("time_window").isin("A_OPENING", "Z_CLOSING"))
 
 
-def order_versions(lives: DataFrame, rows: int = 15) -> DataFrame:
-    """Orders per number of improvements, the first rows of the table."""
-    return version_counts(lives, "n_qualifying_improvements", "versions_created").limit(rows)
+def order_versions(lives: DataFrame, rows: int | None = None) -> DataFrame:
+    """Orders per number of improvements; the first rows of the table if so asked."""
+    return _first(version_counts(lives, "n_qualifying_improvements", "versions_created"), rows)
+
+
+def _first(frame: DataFrame, rows: int | None) -> DataFrame:
+    return frame if rows is None else frame.limit(rows)
 
 
 def version_counts(frame: DataFrame, number: str, name: str) -> DataFrame:

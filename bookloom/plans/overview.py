@@ -470,7 +470,7 @@ def order_size(events: DataFrame) -> DataFrame:
         F.min(value).alias("min_order_tl"),
         F.max(value).alias("max_order_tl"),
     )
-    middle = median_of_counts(counts, ["period"])
+    middle = median_of_counts(counts, ["period"], few_groups=True)  # three periods
     return _by_label(
         spread.join(middle, "period").select(
             "period",

@@ -6,11 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from bookloom import schema as S
 from bookloom.operators import samples, versions
 from bookloom.operators.lifecycle import lifecycle_table
 from bookloom.operators.staging import stage
 from bookloom.plans import lives, overview, repricing
-from bookloom.sources.sinks import WRITERS, run_folder, write_results
+from bookloom.sources.order_files import raw_columns
+from bookloom.sources.sinks import WRITERS, finish_run, run_folder, write_results
 
 
 def overview_results(events: DataFrame, fact: DataFrame) -> dict[str, DataFrame]:
@@ -58,26 +60,30 @@ def write_overview(
     events: DataFrame, base: str, fmt: str = "parquet", now: datetime | None = None
 ) -> str:
     """All market questions. One pass over the events serves the additive ones."""
+    folder = run_folder(base, now)
     cube = stage(overview.fact_cube(events))
-    return write_results(overview_results(events, cube), base, fmt, now)
+    write_results(overview_results(events, cube), folder, fmt)
+    return finish_run(events.sparkSession, folder, {"report": "overview"})
 
 
 def write_lifecycle(
     events: DataFrame,
     base: str,
-    fraction: float = 0.01,
+    fraction: float = 1.0,
     fmt: str = "parquet",
     now: datetime | None = None,
+    hot: DataFrame | None = None,
 ) -> str:
-    """The lifecycle table of a sample (1.0: all orders), its checks and questions.
+    """The lifecycle table of all orders, its checks and questions.
 
-    The table is written first and every question reads it from there.
+    The table is written first and every question reads it from there. A sample
+    of the orders is taken only when a smaller fraction is asked for; the run's
+    settings, next to the results, say which. ``hot``: see ``order_runs``.
     """
     folder = run_folder(base, now)
     path = f"{folder}/order_lifecycle"
-    lifecycle_table(samples.sample_orders(events, fraction)).write.mode("errorifexists").parquet(
-        path
-    )
+    lives_of = lifecycle_table(samples.sample_orders(events, fraction), hot=hot)
+    lives_of.write.mode("errorifexists").parquet(path)
     table = events.sparkSession.read.parquet(path)
     picked = samples.sample_lives(table)
     results = {
@@ -85,19 +91,22 @@ def write_lifecycle(
         "sample_orders_lifecycle": picked,
         "sample_orders_raw_events": samples.sample_raw_events(events, picked),
     }
-    return write_results(results, base, fmt, now)
+    write_results(results, folder, fmt)
+    return finish_run(events.sparkSession, folder, {"report": "lifecycle", "fraction": fraction})
 
 
 def write_validation(
     events: DataFrame,
     base: str,
-    fraction: float = 0.01,
+    fraction: float = 1.0,
     fmt: str = "parquet",
     now: datetime | None = None,
+    hot: DataFrame | None = None,
 ) -> str:
-    """History of some often modified orders, and versions over a sample of orders."""
-    chosen = samples.events_of(events, stage(samples.modified_orders(events)))
-    tops = stage(repricing.max_versions(events, fraction))
+    """History of some often modified orders, and versions over all orders (or a sample)."""
+    folder = run_folder(base, now)
+    chosen = stage(samples.events_of(events, samples.modified_orders(events)))
+    tops = stage(repricing.max_versions(events, fraction, hot))
     results = {
         **history(chosen),
         "version_distribution": repricing.distribution_meaning(
@@ -105,18 +114,21 @@ def write_validation(
         ),
         "repricing_by_stock": repricing.repricing_by_stock(tops),
     }
-    return write_results(results, base, fmt, now)
+    write_results(results, folder, fmt)
+    return finish_run(events.sparkSession, folder, {"report": "validation", "fraction": fraction})
 
 
 def history(events: DataFrame) -> dict[str, DataFrame]:
-    """Event by event and version by version, for a few orders."""
-    detail = versions.order_detail(events)
-    summary = versions.version_summary(events)
+    """Event by event and version by version, for a few orders.
+
+    Events are in the order in which versions are numbered, versions by number.
+    """
+    detail = versions.order_detail(events, sort=True)
     return {
-        "order_detail": detail.orderBy("order_id", "change_ts"),
+        "order_detail": detail,
         "order_detail_header": versions.order_detail_header(detail),
         "version_summary": versions.version_summary_display(
-            summary.orderBy("stock", "version_start_ts")
+            versions.version_summary(events, sort=True)
         ),
     }
 
@@ -127,7 +139,16 @@ def lookup(events: DataFrame, order_id: str) -> dict[str, DataFrame]:
 
 
 def write_enriched(
-    events: DataFrame, path: str, keep: list[str] | None = None, fmt: str = "parquet"
+    events: DataFrame,
+    path: str,
+    keep: list[str] | None = None,
+    fmt: str = "parquet",
+    hot: DataFrame | None = None,
 ) -> None:
-    """Every regular event with its version; tasks write their own files."""
-    WRITERS[fmt](versions.enrich_events(events, keep), path)
+    """Every regular event with its version; tasks write their own files.
+
+    By default the columns of the raw file, where the frame has them, else all.
+    """
+    if keep is None and set(S.RAW_COLUMNS) <= set(events.columns):
+        keep = [c for c in raw_columns(events) if c != "trade_date"]
+    WRITERS[fmt](versions.enrich_events(events, keep, hot), path)

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to, share
-from bookloom.operators.runs import HOT_ORDER_ROWS, union_results
+from bookloom.operators.runs import union_results
 from bookloom.operators.samples import sample_orders
 from bookloom.operators.versions import mark_improvements, regular_runs
 from bookloom.plans.lives import version_counts
 
 
 def max_versions(
-    events: DataFrame, fraction: float = 1.0, hot_order_rows: int | None = HOT_ORDER_ROWS
+    events: DataFrame, fraction: float = 1.0, hot: DataFrame | None = None
 ) -> DataFrame:
     """Last version number of each regular order (the number of its improvements)."""
-    runs = regular_runs(sample_orders(events, fraction), hot_order_rows)
+    runs = regular_runs(sample_orders(events, fraction), hot)
     return union_results(
         [
             mark_improvements(run)
@@ -31,8 +31,10 @@ def max_versions(
     )
 
 
-def version_distribution(versions: DataFrame, rows: int = 15) -> DataFrame:
-    return version_counts(versions, "max_version", "times_improved").limit(rows)
+def version_distribution(versions: DataFrame, rows: int | None = None) -> DataFrame:
+    """Orders per number of improvements; the first rows of the table if so asked."""
+    counts = version_counts(versions, "max_version", "times_improved")
+    return counts if rows is None else counts.limit(rows)
 
 
 def distribution_meaning(distribution: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bookloom import schema as S
 from bookloom.functions.numbers import micros_between
-from bookloom.operators.runs import HOT_ORDER_ROWS, hot_orders, split_hot
+from bookloom.operators.runs import hot_orders, split_hot
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -39,19 +39,19 @@ def _opened_hot(rows: DataFrame) -> DataFrame:
     )
 
 
-def order_events(activity: DataFrame, hot_order_rows: int | None = HOT_ORDER_ROWS) -> DataFrame:
+def order_events(activity: DataFrame, hot_order_rows: int | None = None) -> DataFrame:
     """Typed order events (with event_id as extra column).
 
     The first event of each order is found on rows shuffled by order_id, so
-    later operators on the order need no shuffle of their own. Orders with more
-    rows than the limit are combined before the shuffle instead.
+    later operators on the order need no shuffle of their own. With a limit, orders
+    of more rows are combined before the shuffle instead.
     """
     rows = activity.withColumn(
         "order_id", F.expr("concat('O', user_id, '-', cast(cast(ts AS date) AS string))")
     )
-    hot = hot_orders(rows, hot_order_rows)
-    if hot is None:
+    if hot_order_rows is None:
         return _typed(_opened(rows))
+    hot = hot_orders(rows, hot_order_rows)
     large, rest = split_hot(rows, hot)
     return _typed(_opened(rest).unionByName(_opened_hot(large)))
 

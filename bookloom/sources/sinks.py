@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def run_folder(base: str, now: datetime | None = None) -> str:
-    """Folder of this run; stamped to the minute, so runs never share one."""
-    return f"{base.rstrip('/')}/run={(now or datetime.now()):%Y%m%d_%H%M}"
+    """Folder of a run: stamped to the second, with a part no other run has.
+
+    Ask for it once per run and hand it on.
+    """
+    return f"{base.rstrip('/')}/run={(now or datetime.now()):%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
 
 
 def write_parquet(frame: DataFrame, path: str) -> None:
@@ -35,14 +39,16 @@ def write_csv(frame: DataFrame, path: str) -> None:
 WRITERS = {"parquet": write_parquet, "csv": write_csv}
 
 
-def write_results(
-    results: Mapping[str, DataFrame],
-    base: str,
-    fmt: str = "parquet",
-    now: datetime | None = None,
-) -> str:
-    """Write every named result as one table below this run's folder."""
-    folder = run_folder(base, now)
+def write_results(results: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> str:
+    """Write every named result as one table below a run's folder."""
     for name, frame in results.items():
         WRITERS[fmt](frame, f"{folder}/{name}")
     return folder
+
+
+def finish_run(spark: SparkSession, folder: str, settings: Mapping[str, object]) -> str:
+    """Write last what the run was made with (``_complete``): its presence marks success."""
+    rows = [(name, str(value)) for name, value in settings.items()]
+    frame = spark.createDataFrame(rows, "setting string, value string").coalesce(1)
+    frame.write.mode("errorifexists").json(f"{folder}/_complete")
+    return folder

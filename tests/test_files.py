@@ -83,14 +83,14 @@ def test_raw_text_files_round_trip(spark, sf_dir, tmp_path):
 
 def test_run_folder():
     now = datetime(2026, 6, 26, 14, 30, 59)
-    assert sinks.run_folder("/out/", now) == "/out/run=20260626_1430"
+    first, second = sinks.run_folder("/out/", now), sinks.run_folder("/out/", now)
+    assert first.startswith("/out/run=20260626_143059_") and first != second
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_results_are_never_overwritten(spark, tmp_path, fmt):
     frame = spark.createDataFrame([("both", ["A.E", "B.E"])], "category string, stocks array<string>")
-    now = datetime(2026, 6, 26, 14, 30)
-    folder = sinks.write_results({"overlap": frame}, str(tmp_path), fmt, now)
+    folder = sinks.write_results({"overlap": frame}, str(tmp_path / "run"), fmt)
     back = (
         spark.read.parquet(f"{folder}/overlap")
         if fmt == "parquet"
@@ -98,22 +98,53 @@ def test_results_are_never_overwritten(spark, tmp_path, fmt):
     )
     assert back.first().stocks == (["A.E", "B.E"] if fmt == "parquet" else "A.E,B.E")
     with pytest.raises(AnalysisException, match="already exists"):
-        sinks.write_results({"overlap": frame}, str(tmp_path), fmt, now)
+        sinks.write_results({"overlap": frame}, str(tmp_path / "run"), fmt)
 
 
 def test_reports(spark, sf_dir, tmp_path):
     events = load_order_events(spark, sf_dir)
-    now = datetime(2026, 6, 26, 14, 30)
-    first = reports.write_overview(events, str(tmp_path / "o"), now=now)
+    first = reports.write_overview(events, str(tmp_path / "o"))
     total = spark.read.parquet(f"{first}/q01_new_orders").first()
     assert total[0] == overview.new_orders(overview.facts(events)).count()
-    second = reports.write_lifecycle(events, str(tmp_path / "l"), fraction=1.0, now=now)
+    second = reports.write_lifecycle(events, str(tmp_path / "l"))
     orders = spark.read.parquet(f"{second}/order_lifecycle")
     assert orders.count() == lifecycle_table(events).count()
     assert spark.read.parquet(f"{second}/sample_orders_raw_events").count() > 0
-    third = reports.write_validation(events, str(tmp_path / "v"), fraction=1.0, fmt="csv", now=now)
+    third = reports.write_validation(events, str(tmp_path / "v"), fmt="csv")
     shown = spark.read.option("sep", ";").option("header", True).csv(f"{third}/order_detail")
     assert shown.select("order_id").distinct().count() == 5
+    for base, folder, table in (("o", first, "q16_top100"), ("l", second, "l5_resting_vs_outcome"), ("v", third, "repricing_by_stock")):
+        # One folder per run, whatever the clock does meanwhile; the marker comes last.
+        assert [str(p) for p in (tmp_path / base).iterdir()] == [folder]
+        written = {p.name: p.stat().st_mtime for p in (tmp_path / base).glob("run=*/*")}
+        assert table in written and max(written, key=written.get) == "_complete"
+    settings = {r.setting: r.value for r in spark.read.json(f"{second}/_complete").collect()}
+    assert settings["fraction"] == "1.0"
+
+
+def test_a_sample_is_named_as_such(spark, sf_dir, tmp_path):
+    events = load_order_events(spark, sf_dir)
+    folder = reports.write_lifecycle(events, str(tmp_path / "s"), fraction=0.5)
+    settings = {r.setting: r.value for r in spark.read.json(f"{folder}/_complete").collect()}
+    assert settings["fraction"] == "0.5"
+    table = spark.read.parquet(f"{folder}/order_lifecycle")
+    assert 0 < table.count() < lifecycle_table(events).count()
+
+
+def test_history_follows_the_numbering(spark):
+    """Equal times and two orders of one stock: rows by order, then as numbered."""
+    from book import Book
+
+    book = Book()
+    for name in ("B", "A"):
+        book.event(name, 6, 0.0, qty=100.0)
+        for k in range(1, 5):
+            book.event(name, 5, 5.0, qty=100.0 + 10 * k)
+    tables = reports.history(book.frame(spark))
+    ids = [r.composite_id for r in tables["order_detail"].collect()]
+    assert ids == [f"{o}_{k}" for o in "AB" for k in range(5)]
+    ids = [r.composite_id for r in tables["version_summary"].collect()]
+    assert ids == [f"{o}_{k}" for o in "AB" for k in range(5)]
 
 
 def test_enriched_rows(spark, sf_dir, tmp_path):
@@ -126,3 +157,9 @@ def test_enriched_rows(spark, sf_dir, tmp_path):
     first = back.where("change_reason = 6").select("sub_order_number").distinct().collect()
     assert [r[0] for r in first] == [0]
     assert enrich_events(events).columns == back.columns
+
+
+def test_enriched_raw_files_have_two_more_columns(spark, raw_file, tmp_path):
+    reports.write_enriched(read_events(spark, raw_file), str(tmp_path / "e"))
+    back = spark.read.parquet(str(tmp_path / "e"))
+    assert back.columns == [*S.RAW_COLUMNS, "EK ALAN", "sub_order_number", "composite_id"]

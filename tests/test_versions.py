@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bookloom.operators import samples
 from bookloom.operators.lifecycle import lifecycle_table
-from bookloom.operators.runs import order_runs
+from bookloom.operators.runs import hot_orders, order_runs
 from bookloom.operators.versions import (
     enrich_events,
     order_detail,
@@ -161,7 +161,7 @@ LIMIT = 40
 
 
 def test_hot_orders_are_cut(skewed):
-    runs = order_runs(skewed, hot_order_rows=LIMIT)
+    runs = order_runs(skewed, hot=hot_orders(skewed, LIMIT))
     assert [r.cut for r in runs] == [False, True]
     sizes = runs[1].rows.groupBy("order_id", "_piece").count()
     assert runs[1].rows.select("order_id").distinct().count() == 2
@@ -171,21 +171,21 @@ def test_hot_orders_are_cut(skewed):
 
 @pytest.mark.parametrize("operator", [versioned_events, enrich_events, version_summary, order_detail])
 def test_hot_orders_give_the_same_rows(skewed, operator):
-    plain = operator(skewed, hot_order_rows=None)
-    cut = operator(skewed, hot_order_rows=LIMIT)
+    plain = operator(skewed)
+    cut = operator(skewed, hot=hot_orders(skewed, LIMIT))
     assert cut.columns == plain.columns
     assert plain.count() > 0 and same(plain, cut)
 
 
 def test_hot_lifecycle(skewed):
-    plain = lifecycle_table(skewed, hot_order_rows=None)
-    cut = lifecycle_table(skewed, hot_order_rows=LIMIT)
+    plain = lifecycle_table(skewed)
+    cut = lifecycle_table(skewed, hot=hot_orders(skewed, LIMIT))
     assert plain.where("order_id IS NULL").count() == 1 and same(plain, cut)
 
 
 def test_hot_repricing(skewed):
-    plain = repricing.max_versions(skewed, hot_order_rows=None)
-    assert same(plain, repricing.max_versions(skewed, hot_order_rows=LIMIT))
+    plain = repricing.max_versions(skewed)
+    assert same(plain, repricing.max_versions(skewed, hot=hot_orders(skewed, LIMIT)))
 
 
 def test_hot_activity_gives_the_same_events(spark, sf_dir):
@@ -196,15 +196,33 @@ def test_hot_activity_gives_the_same_events(spark, sf_dir):
         "+ make_dt_interval(0, 0, event_id % 50) ELSE ts END"
     )
     crowded = activity.withColumns({"user_id": one_user, "ts": one_day})
-    plain = order_events(crowded, hot_order_rows=None)
+    plain = order_events(crowded)
     split = order_events(crowded, hot_order_rows=200)
     assert "Union" in split._jdf.queryExecution().analyzed().toString()
     assert "Union" not in plain._jdf.queryExecution().analyzed().toString()
     assert same(plain, split)
 
 
-def test_no_hot_orders_no_cut(skewed):
-    assert [r.cut for r in order_runs(skewed, hot_order_rows=900)] == [False]
+def test_no_hot_orders_named_no_cut(skewed):
+    assert [r.cut for r in order_runs(skewed)] == [False]
+
+
+def test_a_list_without_orders_changes_nothing(skewed):
+    none = hot_orders(skewed, 10**9)
+    assert same(versioned_events(skewed), versioned_events(skewed, hot=none))
+
+
+def test_nothing_runs_while_plans_are_built(spark, sf_dir):
+    from bookloom import catalog
+
+    context = spark.sparkContext
+    for name, query in catalog.queries().items():
+        if name.endswith("_cut"):
+            continue
+        context.setJobGroup(f"build {name}", name)
+        query(spark, sf_dir)
+        assert context.statusTracker().getJobIdsForGroup(f"build {name}") == [], name
+    context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_one_shuffle_for_versions_and_lives(spark, tmp_path, sf_dir):
