@@ -20,8 +20,8 @@ from bookloom.operators.lifecycle import lifecycle_table
 from bookloom.operators.ranks import largest
 from bookloom.operators.runs import hot_orders
 from bookloom.plans import lives, overview, repricing
-from bookloom.sources.activity import load_order_events, raw_text
-from bookloom.sources.order_files import typed_events
+from bookloom.sources.activity import load_order_events, raw_lines, raw_text
+from bookloom.sources.order_files import REJECTED, parse_lines, scan_losses, typed_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def _on_versions(plan: Callable[[DataFrame], DataFrame], *, pct: tuple[str, ...]
     return _on_events(lambda ev: settle(plan(repricing.max_versions(ev)), pct=pct))
 
 
+def _parsed(events: DataFrame) -> DataFrame:
+    """The events written as delimited lines and parsed again."""
+    return parse_lines(raw_lines(events), S.RAW_COLUMNS)
+
+
 def _on_cut(plan: Callable[..., DataFrame]) -> Query:
     """The plan with every order of more than a few events cut into pieces."""
     return _on_events(lambda ev: plan(ev, hot=hot_orders(ev, CUT_ABOVE)))
@@ -92,6 +97,12 @@ def queries() -> dict[str, Query]:
         "scan_typed_events": _on_events(
             lambda ev: typed_events(raw_text(ev)).select("event_id", *S.ENGINE_COLUMNS)
         ),
+        "scan_delimited_events": _on_events(
+            lambda ev: typed_events(_parsed(ev).where(f"{REJECTED} IS NULL")).select(
+                "event_id", *S.ENGINE_COLUMNS
+            )
+        ),
+        "scan_rejects": _on_events(lambda ev: scan_losses(_parsed(ev))),
         "session_windows": _on_events(
             lambda ev: ev.select(
                 "event_id",

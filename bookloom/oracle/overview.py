@@ -106,9 +106,8 @@ mean_lots AS (
 )
 """
 
-SQL = {
-    "scan_typed_events": query(
-        """
+# What reading the spoiled text of the fixture gives.
+TYPED = """
 SELECT event_id, order_id, stock, side, session,
        TRY_CAST(CAST(entry_ts AS VARCHAR) AS TIMESTAMP) AS entry_ts,
        TRY_CAST(if(event_id % 47 = 0, 'not a time', CAST(change_ts AS VARCHAR)) AS TIMESTAMP)
@@ -123,7 +122,21 @@ SELECT event_id, order_id, stock, side, session,
        TRY_CAST(CAST(exch_order_type AS VARCHAR) AS INTEGER) AS exch_order_type,
        TRY_CAST(CAST(order_cat AS VARCHAR) AS INTEGER) AS order_cat,
        if(event_id % 41 = 0, NULL, qty * price) AS order_tl
-FROM ev
+"""
+WHOLE_LINE = "event_id % 53 <> 0 AND event_id % 59 <> 0"
+
+SQL = {
+    "scan_typed_events": query(f"{TYPED} FROM ev"),
+    "scan_delimited_events": query(f"{TYPED} FROM ev WHERE {WHOLE_LINE}"),
+    "scan_rejects": query(
+        f"""
+SELECT "column", CAST(CASE "column"
+         WHEN 'change_ts' THEN (SELECT count(*) FROM ev WHERE event_id % 47 = 0 AND {WHOLE_LINE})
+         WHEN 'price' THEN (SELECT count(*) FROM ev WHERE event_id % 41 = 0 AND {WHOLE_LINE})
+         WHEN '_rejected' THEN (SELECT count(*) FROM ev WHERE NOT ({WHOLE_LINE}))
+         ELSE 0 END AS BIGINT) AS lost
+FROM (VALUES ('entry_ts'), ('change_ts'), ('qty'), ('remaining'), ('visible_qty'), ('price'),
+             ('change_reason'), ('order_type'), ('exch_order_type'), ('order_cat'), ('_rejected')) AS names("column")
 """
     ),
     "session_windows": query(

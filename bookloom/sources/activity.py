@@ -99,6 +99,17 @@ def load_order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_events(spark.read.schema(ACTIVITY_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
+def raw_lines(events: DataFrame) -> DataFrame:
+    """The same as delimited lines (``value``), some with a field too few or too many."""
+    text = raw_text(events)
+    fields = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in text.columns if c != "event_id"]
+    line = F.concat_ws(";", *fields)
+    short = F.concat_ws(";", *fields[:-1])
+    eid = F.col("event_id")
+    value = F.when(eid % 53 == 0, short).when(eid % 59 == 0, F.concat(line, F.lit(";more")))
+    return text.select("event_id", value.otherwise(line).alias("value"))
+
+
 def raw_text(events: DataFrame) -> DataFrame:
     """The same events as the text columns of a raw file, some of them unreadable."""
     eid = F.col("event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom import schema as S
+from bookloom.operators.runs import HOT_ORDER_ROWS, hot_orders
 
 
 def read_raw_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,6 +28,41 @@ def read_raw_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+REJECTED = "_rejected"
+
+
+def parse_lines(lines: DataFrame, columns: list[str], line: str = "value") -> DataFrame:
+    """Delimited lines without a header, as text columns, for audits of raw files.
+
+    Other columns stay. A line with too few or too many fields is kept whole in
+    ``_rejected`` (NULL for good lines) and its columns are NULL.
+    """
+    kinds = ", ".join(f"`{c}` STRING" for c in [*columns, REJECTED])
+    options = {"sep": ";", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED}
+    parsed = lines.withColumn("_row", F.from_csv(F.col(f"`{line}`"), kinds, options))
+    good = F.col(f"_row.{REJECTED}").isNull()
+    rest = [F.col(f"`{c}`") for c in lines.columns if c != line]
+    fields = [F.when(good, F.col(f"_row.`{c}`")).alias(c) for c in columns]
+    return parsed.select(*rest, *fields, F.col(f"_row.{REJECTED}").alias(REJECTED))
+
+
+def scan_losses(raw: DataFrame, time_format: str | None = None) -> DataFrame:
+    """What reading would lose: rejected lines, and unreadable values per column.
+
+    One row per engine column with its count of non-empty texts that become
+    NULL, and one named ``_rejected`` with the lines left out. One pass.
+    """
+    typed = typed_events(raw, time_format)
+    names = {**S.TIME_COLUMNS, **S.NUMBER_COLUMNS, **S.CODE_COLUMNS}
+    counts = [
+        F.count_if((F.length(F.trim(_raw(r))) > 0) & F.col(c).isNull()).alias(c)
+        for r, c in names.items()
+    ]
+    rejected = F.count(REJECTED) if REJECTED in raw.columns else F.lit(0).cast("bigint")
+    lost = typed.agg(*counts, rejected.alias(REJECTED))
+    return lost.unpivot([], [*names.values(), REJECTED], "column", "lost")
+
+
 def _raw(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -36,10 +72,20 @@ def _code(name: str) -> Column:
     return F.round(_raw(name).try_cast("double")).try_cast("int")
 
 
-def typed_events(raw: DataFrame) -> DataFrame:
-    """All raw columns, then the engine columns; unreadable values become NULL."""
+def _time(name: str, time_format: str | None) -> Column:
+    if time_format is None:
+        return _raw(name).try_cast("timestamp_ntz")
+    return F.try_to_timestamp(_raw(name), F.lit(time_format)).cast("timestamp_ntz")
+
+
+def typed_events(raw: DataFrame, time_format: str | None = None) -> DataFrame:
+    """All raw columns, then the engine columns; unreadable values become NULL.
+
+    Times are read as ISO text unless their pattern is given; ``scan_losses``
+    counts what did not fit.
+    """
     texts = [_raw(r).cast("string").alias(c) for r, c in S.TEXT_COLUMNS.items()]
-    times = [_raw(r).try_cast("timestamp_ntz").alias(c) for r, c in S.TIME_COLUMNS.items()]
+    times = [_time(r, time_format).alias(c) for r, c in S.TIME_COLUMNS.items()]
     numbers = [_raw(r).try_cast("double").alias(c) for r, c in S.NUMBER_COLUMNS.items()]
     codes = [_code(r).alias(c) for r, c in S.CODE_COLUMNS.items()]
     value = (
@@ -53,13 +99,18 @@ def raw_columns(events: DataFrame) -> list[str]:
     return [c for c in events.columns if c not in S.ENGINE_COLUMNS]
 
 
-def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return typed_events(read_raw_events(spark, path))
+def read_events(
+    spark: SparkSession, path: str | list[str], time_format: str | None = None
+) -> DataFrame:
+    return typed_events(read_raw_events(spark, path), time_format)
 
 
-def write_event_table(events: DataFrame, path: str) -> None:
+def write_event_table(events: DataFrame, path: str, hot_order_rows: int = HOT_ORDER_ROWS) -> None:
     """One-time Parquet copy, one folder per day of the event.
 
+    Orders with more rows than ``hot_order_rows`` are listed next to it
+    (``read_hot_orders``), so that no question has to look for them.
+
     The rebalance hint brings the rows of a day together for large files, and
     lets adaptive execution split a day that is far larger than the others.
     """
@@ -70,6 +121,18 @@ def write_event_table(events: DataFrame, path: str) -> None:
         .mode("errorifexists")
         .parquet(path)
     )
+    copied = read_event_table(events.sparkSession, path)
+    hot_orders(copied, hot_order_rows).write.mode("errorifexists").parquet(_hot_path(path))
+
+
+def _hot_path(path: str) -> str:
+    return f"{path.rstrip('/')}_hot_orders"
+
+
+def read_hot_orders(spark: SparkSession, path: str) -> DataFrame | None:
+    """Orders of an event table that are too large for one task; None if there are none."""
+    hot = spark.read.parquet(_hot_path(path))
+    return None if hot.isEmpty() else hot
 
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:

@@ -15,10 +15,14 @@ from bookloom.plans import overview, reports
 from bookloom.sources import sinks
 from bookloom.sources.activity import load_order_events, raw_text
 from bookloom.sources.order_files import (
+    parse_lines,
     raw_columns,
     read_event_table,
     read_events,
+    read_hot_orders,
     read_raw_events,
+    scan_losses,
+    typed_events,
     write_event_table,
 )
 
@@ -51,6 +55,36 @@ def test_typed_columns(spark, raw_file):
     assert dict(events.dtypes)["entry_ts"] == "timestamp_ntz"
 
 
+def test_losses_of_raw_lines(spark):
+    lines = spark.createDataFrame([(x,) for x in (GOOD, BAD_NUMBER, "A3;short", GOOD + ";long", "")], "value string")
+    parsed = parse_lines(lines, [*S.RAW_COLUMNS, "EK ALAN"])
+    lost = {r["column"]: r["lost"] for r in scan_losses(parsed).collect()}
+    assert lost["_rejected"] >= 2
+    assert (lost["change_ts"], lost["price"], lost["order_type"], lost["entry_ts"]) == (1, 1, 1, 0)
+
+
+def test_other_time_formats(spark):
+    row = GOOD.replace("2026-05-06 10:00:00.000", "06.05.2026 10:00:00").replace("2026-05-06 10:00:00.050", "06.05.2026 10:00:01")
+    lines = spark.createDataFrame([(row,)], "value string")
+    parsed = parse_lines(lines, [*S.RAW_COLUMNS, "EK ALAN"])
+    assert {r["column"]: r["lost"] for r in scan_losses(parsed).collect()}["entry_ts"] == 1
+    assert {r["lost"] for r in scan_losses(parsed, "dd.MM.yyyy HH:mm:ss").collect()} == {0}
+    event = typed_events(parsed, "dd.MM.yyyy HH:mm:ss").first()
+    assert event.change_ts == datetime(2026, 5, 6, 10, 0, 1)
+
+
+def test_hot_orders_are_listed_with_the_table(spark, sf_dir, tmp_path):
+    events = load_order_events(spark, sf_dir)
+    path = str(tmp_path / "table")
+    write_event_table(events, path, hot_order_rows=5)
+    hot = read_hot_orders(spark, path)
+    counts = {r.order_id: r["count"] for r in events.groupBy("order_id").count().collect()}
+    assert {r["_hot"]: r["_rows"] for r in hot.collect()} == {o: n for o, n in counts.items() if n > 5}
+    stored = read_event_table(spark, path).select(*events.columns)
+    cut = enrich_events(stored, hot=hot)
+    assert cut.exceptAll(enrich_events(events)).isEmpty() and cut.count() > 0
+
+
 def test_enrichment_of_raw_files(spark, raw_file, tmp_path):
     events = read_events(spark, raw_file)
     out = str(tmp_path / "enriched")
