@@ -135,5 +135,23 @@ def read_hot_orders(spark: SparkSession, path: str) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def save_event_table(
+    events: DataFrame, name: str, buckets: int, path: str | None = None
+) -> None:
+    """The copy as a table of the session's catalog, bucketed and sorted by order.
+
+    Questions on orders then need no shuffle of the events. Choose the number of
+    buckets so that one holds a few hundred MB.
+    """
+    writer = (
+        events.withColumn("trade_date", F.to_date("change_ts"))
+        .repartition(buckets, "order_id")
+        .write.bucketBy(buckets, "order_id")
+        .sortBy("order_id")
+        .mode("errorifexists")
+    )
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

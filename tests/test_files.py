@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bookloom import schema as S
 from bookloom.operators.lifecycle import lifecycle_table
-from bookloom.operators.versions import enrich_events
+from bookloom.operators.versions import enrich_events, version_summary
 from bookloom.plans import overview, reports
 from bookloom.sources import sinks
 from bookloom.sources.activity import load_order_events, raw_text
@@ -21,6 +21,7 @@ from bookloom.sources.order_files import (
     read_events,
     read_hot_orders,
     read_raw_events,
+    save_event_table,
     scan_losses,
     typed_events,
     write_event_table,
@@ -73,6 +74,19 @@ def test_other_time_formats(spark):
     assert event.change_ts == datetime(2026, 5, 6, 10, 0, 1)
 
 
+def test_bucketed_table_needs_no_shuffle_by_order(spark, sf_dir, tmp_path):
+    events = load_order_events(spark, sf_dir)
+    save_event_table(events, "bucketed_events", 4, str(tmp_path / "bucketed"))
+    try:
+        table = spark.table("bucketed_events").select(*events.columns)
+        for plan in (lifecycle_table, enrich_events, version_summary):
+            shown = plan(table)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning(order_id" not in shown
+        assert enrich_events(table).exceptAll(enrich_events(events)).isEmpty()
+    finally:
+        spark.sql("DROP TABLE bucketed_events")
+
+
 def test_hot_orders_are_listed_with_the_table(spark, sf_dir, tmp_path):
     events = load_order_events(spark, sf_dir)
     path = str(tmp_path / "table")
