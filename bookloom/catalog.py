@@ -125,6 +125,14 @@ def queries() -> dict[str, Query]:
         "q04_windows": _on_facts(
             o.window_volumes, "total_lots", "total_tl", pct=("pct_count", "pct_tl")
         ),
+        "q04_windows_by_day": _on_events(
+            lambda ev: settle(
+                o.window_volumes(overview.facts(ev, by_day=True)),
+                "total_lots",
+                "total_tl",
+                pct=("pct_count", "pct_tl"),
+            ).withColumn("trade_date", F.col("trade_date").cast("string"))
+        ),
         "q04_peaks": _on_facts(o.window_peaks, "peak", pct=("pct",)),
         "q04b_rolling": _on_events(
             lambda ev: settle(o.rolling_intensity(ev), "rolling_lots", "rolling_tl")

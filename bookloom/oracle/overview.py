@@ -192,6 +192,19 @@ FROM windows
         NEW,
         WINDOWS,
     ),
+    "q04_windows_by_day": query(
+        """
+SELECT trade_date, time_window, order_count,
+       round(100e0 * order_count / sum(order_count) OVER day, 6) AS pct_count,
+       round(lots, 3) AS total_lots, round(tl, 3) AS total_tl,
+       round(100e0 * tl / sum(tl) OVER day, 6) AS pct_tl
+FROM (SELECT CAST(CAST(entry_ts AS DATE) AS VARCHAR) AS trade_date, time_window, count(*) AS order_count,
+             sum(qty) AS lots, sum(order_tl) AS tl
+      FROM fresh GROUP BY ALL)
+WINDOW day AS (PARTITION BY trade_date)
+""",
+        NEW,
+    ),
     "q04_peaks": query(
         """
 (SELECT 'order_count' AS measure, time_window, CAST(order_count AS DOUBLE) AS peak,

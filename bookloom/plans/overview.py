@@ -39,9 +39,11 @@ MEASURES = ("n", "lots", "tl", "left_lots", "left_tl", "traded_lots", "traded_tl
 CLOSING = "Z_CLOSING"
 
 
-def facts(events: DataFrame) -> DataFrame:
-    """Labels and measures of every regular event."""
+def facts(events: DataFrame, by_day: bool = False) -> DataFrame:
+    """Labels and measures of every regular event; with the day of entry if so asked."""
+    day = [F.to_date("entry_ts").alias("trade_date")] if by_day else []
     return events.where(E.is_regular()).select(
+        *day,
         "stock",
         "side",
         "change_reason",
@@ -60,9 +62,10 @@ def facts(events: DataFrame) -> DataFrame:
     )
 
 
-def fact_cube(events: DataFrame) -> DataFrame:
-    """Facts summed over all labels: a few thousand rows per stock at most."""
-    return facts(events).groupBy(*LABELS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+def fact_cube(events: DataFrame, by_day: bool = False) -> DataFrame:
+    """Facts summed over all labels: a few thousand rows per stock (and day) at most."""
+    labels = ["trade_date", *LABELS] if by_day else LABELS
+    return facts(events, by_day).groupBy(*labels).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def _count(column: str | Column = "n") -> Column:
@@ -139,28 +142,31 @@ def top_stocks_share(fact: DataFrame, k: int = 10) -> DataFrame:
 
 
 def window_volumes(fact: DataFrame) -> DataFrame:
-    """New orders per trading window. There are some twenty windows."""
+    """New orders per trading window, of each day where the facts have the day.
+
+    There are some twenty windows; shares are of the day, or of everything.
+    """
+    day = [c for c in ("trade_date",) if c in fact.columns]
     windows = (
         new_orders(fact)
-        .groupBy(F.col("entry_window").alias("time_window"))
+        .groupBy(*day, F.col("entry_window").alias("time_window"))
         .agg(
             _count().alias("order_count"),
             F.sum("lots").alias("total_lots"),
             F.sum("tl").alias("total_tl"),
         )
     )
-    every = Window.partitionBy()
-    return _by_label(
-        windows.select(
-            "time_window",
-            "order_count",
-            share(F.col("order_count"), F.sum("order_count").over(every)).alias("pct_count"),
-            "total_lots",
-            "total_tl",
-            share(F.col("total_tl"), F.sum("total_tl").over(every)).alias("pct_tl"),
-        ),
+    every = Window.partitionBy(*day)
+    shares = windows.select(
+        *day,
         "time_window",
+        "order_count",
+        share(F.col("order_count"), F.sum("order_count").over(every)).alias("pct_count"),
+        "total_lots",
+        "total_tl",
+        share(F.col("total_tl"), F.sum("total_tl").over(every)).alias("pct_tl"),
     )
+    return shares.orderBy(*[F.col(c).asc_nulls_last() for c in (*day, "time_window")])
 
 
 def window_peaks(fact: DataFrame) -> DataFrame:
