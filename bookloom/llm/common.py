@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have at most so many rows handed to Python at a time: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 

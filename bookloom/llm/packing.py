@@ -11,7 +11,6 @@ The token ids themselves need not be shuffled: the assignment needs lengths only
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,13 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import byte_rows, slices, stored
+from bookloom.llm.word_hashes import edges, hashes
 
 SEQUENCE = 4096
 END = 2
 GROUP_PIECES = 8192
 # Words whose ids a task keeps, in each of two generations.
-CACHE_WORDS = 250_000
-BLOCK_BYTES = 8 << 20
+CACHE_WORDS = 150_000
+BLOCK_BYTES = 2 << 20
+# Words that are given to the tokenizer as one text, with a mark between them.
+TOGETHER = 256
+MARK = "\x01"
+# Marks at the end of a word that make a token of their own.
+TAIL = b".,;:?!%$&#*|"
+
+
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the marks at its end, where the tokenizer parts them too."""
+    core = word.rstrip(TAIL)
+    if len(core) == len(word) or not core:
+        return word, b""
+    last = core[-4:].decode(errors="ignore")[-1:]
+    if last.isascii() and last.isalnum() or last.isalpha() and last.islower():
+        return core, word[len(core) :]
+    return word, b""
 
 
 class WordIds:
@@ -43,32 +59,72 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = marks
+        self.mark = int(self._whole([MARK])[0][0])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Have the ids of all words of the texts at hand."""
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; many words go to the tokenizer at a time."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._whole([f" {MARK} ".join(g) for g in groups])):
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(group) - 1:  # a word holds the mark itself
+                out += [x.tobytes() for x in self._whole(group)]
+                continue
+            raw = ids.tobytes()
+            edges = [-1, *cuts.tolist(), len(ids)]
+            out += [raw[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:])]
+        return out
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from what is known or through the tokenizer."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        missing = set().union(*texts) - self.young.keys()
-        for word in missing & self.old.keys():
-            self.young[word] = self.old[word]
-        fresh = list(missing - self.old.keys())
-        self.young.update(zip(fresh, self._encode([w.decode(errors="replace") for w in fresh])))
+        known, old = self.young, self.old
+        for word in words:
+            if word not in known and word in old:
+                known[word] = old[word]
+        parts = {word: _core(word) for word in words if word not in known}
+        fresh = list({x for both in parts.values() for x in both if x and x not in known})
+        ids = dict(zip(fresh, self._encode([w.decode(errors="replace") for w in fresh])))
+        ids[b""] = b""
+        for word, both in parts.items():
+            known[word] = b"".join([ids[x] if x in ids else known[x] for x in both])
+        return [known[word] for word in words]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        plain = [[] if self.marks in x else x.lower().split() for x in texts]
-        self.learn(plain)
-        get = self.young.__getitem__
-        return [
-            self._encode([raw.decode(errors="replace")])[0] if self.marks in raw else b"".join(map(get, words))
-            for raw, words in zip(texts, plain)
-        ]
+        """Ids of each text, as little-endian unsigned 32-bit numbers.
+
+        Words are found and told apart by array operations over all the texts.
+        """
+        special = [i for i, x in enumerate(texts) if self.marks in x]
+        plain = [b"" if self.marks in x else x.lower() for x in texts]
+        joined = b"\n".join(plain)
+        raw = np.frombuffer(joined, np.uint8)
+        starts, ends = edges(raw)
+        _, first, which = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        spans = zip(starts[first].tolist(), ends[first].tolist())
+        found = self.learn([joined[a:b] for a, b in spans])
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        offsets = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(found), "<u4")
+        own = lengths[which]
+        done = np.cumsum(own)
+        at = np.arange(done[-1] if len(done) else 0) + np.repeat(offsets[which] - (done - own), own)
+        ids = flat[at].tobytes()
+        # Where each text's words end among all words, and its ids among all ids.
+        text_ends = np.cumsum([len(x) + 1 for x in plain])
+        last = np.searchsorted(starts, text_ends, "left")
+        cuts = [0, *(np.concatenate([[0], done])[last] * 4).tolist()]
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in special:
+            out[i] = self._whole([texts[i].decode(errors="replace")])[0].tobytes()
+        return out
 
 
 PIECES = "`{id}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, piece_key bigint"
@@ -204,7 +260,3 @@ def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = True, **opt
     if not keep_ids:
         parts = parts.drop("ids")
     return pack(stored(parts, "pieces"), most).drop("piece_key")
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

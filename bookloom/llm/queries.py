@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, search, simhash, substring_dedup, url_filter
-from bookloom.llm.common import fold, table
+from bookloom.llm.common import fold, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 

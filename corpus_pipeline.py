@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm import decontamination, line_dedup, packing, quality, simhash
-from bookloom.llm.common import fold, stored, table
+from bookloom.llm.common import fold, small_batches, stored, table
 from bookloom.llm.queries import TOKENIZER
 
 # Documents whose score is below this go.
@@ -20,6 +20,7 @@ LEAST_QUALITY = 0.7
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts. It learns as the registered query does."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     model = quality.train(docs, labels)
     columns = [f"`{c}`" for c in docs.columns]
@@ -38,16 +39,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with test items."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, TOKENIZER, keep_ids=False)
 
 
