@@ -38,6 +38,7 @@ def is_iceberg() -> Column:
 
 
 def cancel_type() -> Column:
+    # Wording.
     return F.expr(
         f"if(change_reason = {S.EXPIRED}, 'Expired (reason 19)', 'Other cancellations')"
     )
@@ -70,6 +71,7 @@ def reason_name(code: str) -> Column:
 
 
 def side_name(side: str) -> Column:
+    # Wording.
     return F.expr(f"if({side} = '{S.BUY}', 'BUY (alis)', 'SELL (satis)')")
 
 
@@ -79,6 +81,7 @@ def change_text() -> Column:
     Needs change_reason, side, price, prev_price, qty and prev_qty. Changes of
     at most 1e-9 count as none.
     """
+    # Wording of the sentences below.
     gap, lots = "(price - prev_price)", "(qty - prev_qty)"
     moved = f"abs({gap}) > 1e-9D"
     better = (

@@ -37,6 +37,7 @@ STATE_TEXT = {
     "4_expired_no_fill": "Expired (no fill)",
     "5_other_open": "Other / Open",
 }
+# Order of display, and thresholds of the classes.
 CLASS_ORDER = ("likely_hft", "aggressive", "likely_passive", "mixed")
 
 FAST_FILL_SECONDS = 0.1
@@ -86,8 +87,8 @@ def behavior_class() -> Column:
     return F.expr(f"""
         CASE WHEN {FAST_FILL} THEN 'aggressive'
              WHEN {FLEETING} THEN 'likely_hft'
-             WHEN lifetime_seconds > {PATIENT_SECONDS}D AND {HAS_FILL} THEN 'likely_passive'
-             WHEN {EXPIRED} AND NOT {TRADED} THEN 'likely_passive'
+             WHEN lifetime_seconds > {PATIENT_SECONDS}D AND {HAS_FILL}
+                  OR {EXPIRED} AND NOT {TRADED} THEN 'likely_passive'
              ELSE 'mixed' END
     """)
 

@@ -144,6 +144,7 @@ def half_hour(ts: str) -> str:
 
 def window(ts: str, named: bool = True) -> str:
     """Trading window of a time; with the session name unless told otherwise."""
+    # Hours and patterns of the session names.
     opening, closing = f"hour({ts}) < 10", f"hour({ts}) >= 18"
     if named:
         opening += " OR session LIKE '%ACILIS%' OR session LIKE '%ACS_EMR%'"

@@ -51,6 +51,7 @@ source_shares AS (
   FROM sources
 )
 """
+# Display texts.
 BUCKET_TEXT = (
     "MAP {'0_unknown': 'unknown', '1_sub_0.1s': '<0.1s', '2_0.1-1s': '0.1–1s', "
     "'3_1-5s': '1–5s', '4_5-30s': '5–30s', '5_30s-5min': '30s–5min', "

@@ -9,6 +9,7 @@ EV = (
     "visible_qty, price, change_reason, order_type, exch_order_type, order_cat, order_tl"
 )
 DETAIL = """
+-- Fixed values: names of codes, and the wording of the sentences below.
 names(code, event) AS (
   VALUES (1, 'CANCEL_USER'), (3, 'TRADE'), (5, 'REPLACED'), (6, 'NEW'), (9, 'CANCEL_SYS'),
          (10, 'CANCEL_BEHALF'), (13, 'ICE_REFRESH'), (15, 'CANCEL_LIMIT'), (19, 'EXPIRED'),
