@@ -64,7 +64,7 @@ def _count_rows(tally: Counter, pairs: np.ndarray | None) -> pa.RecordBatch:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally: Counter = Counter()
-    pairs = np.zeros(256 * M.SYMBOLS, np.int64)
+    pairs = np.zeros(M.CODES * M.SYMBOLS, np.int64)
     for batch in slices(batches, "text", BLOCK_BYTES):
         texts = byte_rows(batch.column("text"))
         pairs += M.pair_counts(texts)
@@ -196,8 +196,8 @@ def train(docs: DataFrame, mixing: str = "mixing") -> Model:
     totals = words.agg(F.sum("n"), F.count("*")).first()
     top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     head = dict(zip(map(bytes, top["word"].to_pylist()), top["n"].to_pylist()))
-    pairs = np.zeros(256 * M.SYMBOLS, np.int64)
-    # At most 256 * 257 rows.
+    pairs = np.zeros(M.CODES * M.SYMBOLS, np.int64)
+    # At most CODES * SYMBOLS rows.
     for row in counts.where(F.col("pair").isNotNull()).select("pair", "n").collect():
         pairs[row["pair"]] = row["n"]
     code = astuple(M.huffman(pairs))
@@ -229,7 +229,7 @@ def train(docs: DataFrame, mixing: str = "mixing") -> Model:
 def _score_rows(handle) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables, weights, refined, head, floor = handle.value
-        chance = {word: np.log10(n + 0.5) - floor for word, n in head.items()}
+        chance = {word: float(np.log10(n + 0.5)) - floor for word, n in head.items()}
         key = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", BLOCK_BYTES):
             texts = byte_rows(batch.column("text"))
@@ -237,11 +237,12 @@ def _score_rows(handle) -> Callable:
             n_tokens, n_known, base, tails = [], [], [], []
             for text in texts:
                 words = [*text.lower().split(), END_WORD]
-                tail = [w for w in words if w not in chance]
+                found_words = list(map(chance.get, words))
+                known = [x for x in found_words if x is not None]
                 n_tokens.append(len(words))
-                n_known.append(len(words) - len(tail))
-                base.append(float(sum(chance[w] for w in words if w in chance)))
-                tails.append([_hash(w) for w in tail])
+                n_known.append(len(known))
+                base.append(float(sum(known)))
+                tails.append([_hash(w) for w, x in zip(words, found_words) if x is None])
             keys = np.arange(key, key + len(texts))
             key += len(texts)
             yield pa.RecordBatch.from_pydict(

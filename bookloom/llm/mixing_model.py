@@ -1,9 +1,9 @@
 """Logistic context mixing over bits, in numpy.
 
 A byte (or the end of a text) is coded by a Huffman code that depends on the byte
-before it, so a symbol is a few binary decisions. Each decision is predicted in
-several contexts (the one to four bytes before, the word so far, that and the
-word before it); contexts are hashed into tables of fixed size that count zeros and ones. The log-odds of the
+before it, or on the two before it where both are common, so a symbol is a few binary decisions. Each decision is predicted in
+several contexts (the three and the four bytes before, the word so far, that and
+the word before it); contexts are hashed into tables of fixed size that count zeros and ones. The log-odds of the
 counts are combined by weights that a gate selects, and an adaptive map refines
 the mixed probability by the byte before. All figures are static while texts are
 scored, so whole blocks of texts are scored by array operations.
@@ -19,12 +19,15 @@ import numpy as np
 
 END = 256
 SYMBOLS = 257
+# Bytes that are common in running text.
+COMMON = b"abcdefghijklmnopqrstuvwxyz \n.,\xc3"
+CODES = 256 + (len(COMMON) + 1) ** 2
 # Longer texts are read in pieces of this many bytes; contexts begin anew.
 PIECE = 1 << 18
-BLOCK = 1 << 15
+BLOCK = 1 << 16
 PAD = 4
-# Bits of the number of slots of each context's table; order one is exact.
-BITS = {"order1": 16, "order2": 20, "order3": 21, "order4": 22, "word": 23, "two words": 22}
+# Bits of the number of slots of each context's table.
+BITS = {"order3": 21, "order4": 22, "word": 23, "two words": 22}
 CONTEXTS = tuple(BITS)
 SLOTS = [1 << bits for bits in BITS.values()]
 # Log-odds are kept as small integers in steps of 1 / STEP.
@@ -40,6 +43,8 @@ RATE = 0.03
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+_PLACE = np.zeros(256, np.int32)
+_PLACE[list(COMMON)] = np.arange(1, len(COMMON) + 1)
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -69,11 +74,11 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[bytes, b
 
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
-    """How often each symbol follows each byte (0 before the first)."""
-    total = np.zeros(256 * SYMBOLS, np.int64)
+    """How often each symbol follows what chooses its code."""
+    total = np.zeros(CODES * SYMBOLS, np.int64)
     for _, held in blocks(texts):
         s = Stream(held)
-        total += np.bincount(s.before(1).astype(np.int64) * SYMBOLS + s.symbol, minlength=len(total))
+        total += np.bincount(s.code() * SYMBOLS + s.symbol, minlength=len(total))
     return total
 
 
@@ -95,13 +100,21 @@ class Stream:
     def before(self, n: int) -> np.ndarray:
         return self.bytes[self.at - n]
 
+    def code(self) -> np.ndarray:
+        """Which code each symbol is written in."""
+        one, two = self.before(1), self.before(2)
+        first, second = _PLACE[one], _PLACE[two]
+        both = (first > 0) & (second > 0)
+        return np.where(both, 256 + second * (len(COMMON) + 1) + first, one).astype(np.int64)
+
     def contexts(self) -> list[np.ndarray]:
-        """A hash of each context but the first, per symbol."""
+        """A hash of each context, per symbol."""
         h = self.before(1).astype(np.uint32)
         out = []
         for n in (2, 3, 4):
             h = h | (self.before(n).astype(np.uint32) << np.uint32(8 * (n - 1)))
-            out.append((h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) * np.uint32(0xC2B2AE35))
+            if n > 2:
+                out.append((h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) * np.uint32(0xC2B2AE35))
         n = len(self.bytes)
         powers, inverses = _powers(n + 1)
         summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH[self.bytes] * powers[:n])])
@@ -132,7 +145,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Code:
-    """A Huffman code for each byte before: decisions as (node, bit)."""
+    """Huffman codes, chosen by what is before: decisions as (node, bit)."""
 
     start: np.ndarray
     length: np.ndarray
@@ -140,36 +153,43 @@ class Code:
     bit: np.ndarray
 
 
+def _paths(row: np.ndarray, overall: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Decisions of each symbol, from the root."""
+    # Rare symbols are told apart by how common they are altogether.
+    weight = row.astype(float) + 1e-3 + 1e-6 * overall / max(1, overall.sum())
+    heap = [(w, i) for i, w in enumerate(weight.tolist())]
+    heapq.heapify(heap)
+    parent = [0] * (2 * SYMBOLS - 1)
+    for node in range(SYMBOLS, 2 * SYMBOLS - 1):
+        low, left = heapq.heappop(heap)
+        high, right = heap[0]
+        parent[left], parent[right] = 2 * (node - SYMBOLS), 2 * (node - SYMBOLS) + 1
+        heapq.heapreplace(heap, (low + high, node))
+    # Nodes are numbered from the root, so that 0 is the first decision.
+    found: list = [None] * (2 * SYMBOLS - 1)
+    found[-1] = []
+    for node in range(2 * SYMBOLS - 3, -1, -1):
+        above, bit = divmod(parent[node], 2)
+        found[node] = [*found[SYMBOLS + above], (SYMBOLS - 2 - above, bit)]
+    return found[:SYMBOLS]
+
+
 def huffman(counts: np.ndarray) -> Code:
     """Codes from pair counts; every symbol has one, however rare."""
+    overall = counts.reshape(CODES, SYMBOLS).sum(0)
+    known: dict[bytes, list] = {}
     paths: list[list[tuple[int, int]]] = []
-    overall = counts.reshape(256, SYMBOLS).sum(0)
-    for row in counts.reshape(256, SYMBOLS):
-        # Rare symbols are told apart by how common they are altogether.
-        weight = row.astype(float) + 1e-3 + 1e-6 * overall / max(1, overall.sum())
-        heap = [(w, i) for i, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent = [0] * (2 * SYMBOLS - 1)
-        for node in range(SYMBOLS, 2 * SYMBOLS - 1):
-            for bit in (0, 1):
-                _, child = heapq.heappop(heap) if bit == 0 else heap[0]
-                parent[child] = 2 * (node - SYMBOLS) + bit
-                if bit == 0:
-                    low = _
-            heapq.heapreplace(heap, (low + heap[0][0], node))
-        for symbol in range(SYMBOLS):
-            path, node = [], symbol
-            while node != 2 * SYMBOLS - 2:
-                path.append(divmod(parent[node], 2))
-                node = SYMBOLS + parent[node] // 2
-            paths.append(path[::-1])
+    for row in counts.reshape(CODES, SYMBOLS):
+        key = row.tobytes()
+        if key not in known:
+            known[key] = _paths(row, overall)
+        paths += known[key]
     length = np.array([len(p) for p in paths])
-    flat = np.array([x for p in paths for x in p], np.int64)
-    # Nodes are numbered from the root, so that 0 is the first decision.
+    flat = np.array([x for p in paths for x in p], np.int16)
     return Code(
         (np.cumsum(length) - length).astype(np.int64),
         length,
-        (SYMBOLS - 2 - flat[:, 0]).astype(np.uint8),
+        flat[:, 0].astype(np.uint8),
         flat[:, 1].astype(np.uint8),
     )
 
@@ -186,16 +206,18 @@ class Decisions:
 
 
 def decisions(stream: Stream, code: Code) -> Decisions:
-    before = stream.before(1)
-    pair = before.astype(np.int64) * SYMBOLS + stream.symbol
+    before, chosen = stream.before(1), stream.code()
+    pair = chosen * SYMBOLS + stream.symbol
     length = code.length[pair]
     ends = np.cumsum(length)
     entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.start[pair] - (ends - length), length)
     node = code.node[entry]
     bytes_before = np.repeat(before, length)
-    salt = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    slots = [(bytes_before.astype(np.intp) << 8) | node]
-    for hashed, bits in zip(stream.contexts(), list(BITS.values())[1:]):
+    # Nodes of different codes have nothing in common.
+    own = (chosen.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    salt = (np.repeat(own, length) + node) * np.uint32(0x01000193)
+    slots = []
+    for hashed, bits in zip(stream.contexts(), BITS.values()):
         mixed = (np.repeat(hashed, length) ^ salt) * np.uint32(0x2C1B3C6D)
         slots.append((mixed >> np.uint32(32 - bits)).astype(np.intp))
     return Decisions(slots, code.bit[entry], bytes_before, node == 0, length)
@@ -243,10 +265,9 @@ class Mixer:
 
 def inputs(d: Decisions, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     x = [table.take(slot) for table, slot in zip(tables, d.slots)]
-    gate = (x[4] != 0).astype(np.uint8)
-    for bit, k in ((2, 3), (4, 2), (8, 5)):
-        gate += (x[k] != 0) * np.uint8(bit)
-    gate += d.first * np.uint8(16)
+    gate = d.first * np.uint8(16)
+    for k, values in enumerate(x):
+        gate += (values != 0) * np.uint8(1 << k)
     return x, gate.astype(np.intp)
 
 
