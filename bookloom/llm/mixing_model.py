@@ -210,15 +210,17 @@ def decisions(stream: Stream, code: Code) -> Decisions:
     pair = chosen * SYMBOLS + stream.symbol
     length = code.length[pair]
     ends = np.cumsum(length)
-    entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.start[pair] - (ends - length), length)
+    # The symbol of each decision.
+    of = np.repeat(np.arange(len(length)), length)
+    entry = np.arange(len(of)) + (code.start[pair] - (ends - length)).take(of)
     node = code.node[entry]
-    bytes_before = np.repeat(before, length)
+    bytes_before = before.take(of)
     # Nodes of different codes have nothing in common.
     own = (chosen.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    salt = (np.repeat(own, length) + node) * np.uint32(0x01000193)
+    salt = (own.take(of) + node) * np.uint32(0x01000193)
     slots = []
     for hashed, bits in zip(stream.contexts(), BITS.values()):
-        mixed = (np.repeat(hashed, length) ^ salt) * np.uint32(0x2C1B3C6D)
+        mixed = (hashed.take(of) ^ salt) * np.uint32(0x2C1B3C6D)
         slots.append((mixed >> np.uint32(32 - bits)).astype(np.intp))
     return Decisions(slots, code.bit[entry], bytes_before, node == 0, length)
 
