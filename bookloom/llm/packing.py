@@ -31,19 +31,6 @@ BLOCK_BYTES = 2 << 20
 # Words that are given to the tokenizer as one text, with a mark between them.
 TOGETHER = 256
 MARK = "\x01"
-# Marks at the end of a word that make a token of their own.
-TAIL = b".,;:?!%$&#*|"
-
-
-def _core(word: bytes) -> tuple[bytes, bytes]:
-    """A word and the marks at its end, where the tokenizer parts them too."""
-    core = word.rstrip(TAIL)
-    if len(core) == len(word) or not core:
-        return word, b""
-    last = core[-4:].decode(errors="ignore")[-1:]
-    if last.isascii() and last.isalnum() or last.isalpha() and last.islower():
-        return core, word[len(core) :]
-    return word, b""
 
 
 class WordIds:
@@ -83,19 +70,16 @@ class WordIds:
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words, from what is known or through the tokenizer."""
+        found = list(map(self.young.get, words))
+        found = [self.old.get(w) if x is None else x for w, x in zip(words, found)]
+        fresh = [i for i, x in enumerate(found) if x is None]
+        ids = self._encode([words[i].decode(errors="replace") for i in fresh])
+        for i, x in zip(fresh, ids):
+            found[i] = x
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        known, old = self.young, self.old
-        for word in words:
-            if word not in known and word in old:
-                known[word] = old[word]
-        parts = {word: _core(word) for word in words if word not in known}
-        fresh = list({x for both in parts.values() for x in both if x and x not in known})
-        ids = dict(zip(fresh, self._encode([w.decode(errors="replace") for w in fresh])))
-        ids[b""] = b""
-        for word, both in parts.items():
-            known[word] = b"".join([ids[x] if x in ids else known[x] for x in both])
-        return [known[word] for word in words]
+        self.young.update(zip(words, found))
+        return found
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers.
