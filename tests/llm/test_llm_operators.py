@@ -231,8 +231,8 @@ def test_url_filter(spark):
         (None, "", "", None, None),
         ("", "", "", None, None),
         ("http://h.org/a#b/c?d", "h.org", "/a", None, None),
-        ("http://u.org/casino-es/", "u.org", "/casino-es/", None, "block"),
-        ("http://u.org/nice/", "u.org", "/nice/", None, "allow"),
+        ("http://u.org/es/casino-x", "u.org", "/es/casino-x", None, "block"),
+        ("http://good3.org/nice/", "good3.org", "/nice/", None, None),
         ("http://\u00e9.com/" + "p" * 5000, "\u00e9.com", "/" + "p" * 5000, "com/", "allow"),
     ]
     rows = [(u, "x", i) for i, u in enumerate([*urls, *[o[0] for o in odd], odd[0][0]])]
@@ -246,6 +246,8 @@ def test_url_filter(spark):
         assert r["verdict"] in ("allow", "block")
         if verdict:
             assert r["verdict"] == verdict, url
+    assert by_url["http://good3.org/nice/"]["score"] > by_url["http://u.org/es/casino-x"]["score"]
+    assert by_url[urls[0]]["score"] > 0 > by_url[urls[-1]]["score"]
 
 
 def test_lm_scores(spark):
