@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def byte_rows(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece holds about ``most`` bytes of a column or one row."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column).cast(pa.binary()))
+        lengths = pc.binary_length(batch.column(column).cast(pa.binary()))
         start = held = 0
         for row, n in enumerate(lengths.fill_null(0).to_pylist()):
             if held and held + n > most:

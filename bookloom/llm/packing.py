@@ -11,6 +11,7 @@ The token ids themselves need not be shuffled: the assignment needs lengths only
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ SEQUENCE = 4096
 END = 2
 GROUP_PIECES = 8192
 # Words whose ids a task keeps, in each of two generations.
-CACHE_WORDS = 150_000
-BLOCK_BYTES = 2 << 20
+CACHE_WORDS = 160_000
+BLOCK_BYTES = 1 << 19
 # Words that are given to the tokenizer as one text, with a mark between them.
 TOGETHER = 256
 MARK = "\x01"
@@ -42,6 +43,8 @@ class WordIds:
     """
 
     def __init__(self, path: str, marks: bytes = b"<|"):
+        # Spark has a task per core; threads of the tokenizer would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
