@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ HASH_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 # Text a bucket of anchors stands for.
 BUCKET_BYTES = 16 << 20
+# At least so many, so that small inputs are spread as well and a document's
+# pieces meet in about as many buckets at every size.
+LEAST_BUCKETS = 64
 # Different surroundings beyond which an anchor's windows are dealt out one by
 # one; at most a millionth of all anchors' number of anchors is listed.
 HOT = 2000
@@ -208,7 +212,7 @@ def _map(window: int, anchor: int, hot: set[int], buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK_BYTES):
             # The smallest document comes first.
-            batch = batch.take(pa.compute.sort_indices(batch.column("id")))
+            batch = batch.take(pc.sort_indices(batch.column("id")))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
             texts = byte_rows(batch.column("text"))
             held: dict[bytes, list[int]] = {}
@@ -386,7 +390,7 @@ def drop_repeated_spans(
         F.col(doc_id).cast("bigint").alias("id"), tag.alias("tag"), body.alias("text")
     )
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     hot = hot_anchors(narrow, window, anchor)
     packed = narrow.mapInArrow(_map(window, anchor, hot, buckets), "bucket bigint, id bigint, tag bigint, payload binary")
     judged = (
