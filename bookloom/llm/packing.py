@@ -34,12 +34,28 @@ TOGETHER = 256
 MARK = "\x01"
 
 
+def _lower_ascii(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words of ASCII alone in lower case, all others as they are."""
+    if joined.isascii():
+        return joined.lower()
+    raw = np.frombuffer(joined, np.uint8)
+    lower = np.frombuffer(joined.lower(), np.uint8)
+    high = np.concatenate([[0], np.cumsum(raw >= 128, dtype=np.int32)])
+    kept = np.flatnonzero(high[ends] > high[starts])
+    at = np.zeros(len(raw) + 1, np.int8)
+    at[starts[kept]] = 1
+    at[ends[kept]] = -1
+    return np.where(np.cumsum(at[:-1], dtype=np.int8), raw, lower).tobytes()
+
+
 class WordIds:
     """Ids of texts through the ids of their words.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a
-    text are those of its parts between white space, and a part has the same ids
-    in lower case. Texts with a special token's marks are given to it whole.
+    text are those of its parts between white space. A part of ASCII alone has the
+    same ids in lower case; any other is kept as it is, as some letters compose
+    with a mark in one case only. Texts with a special token's marks are given to
+    it whole.
     """
 
     def __init__(self, path: str, marks: bytes = b"<|"):
@@ -90,10 +106,11 @@ class WordIds:
         Words are found and told apart by array operations over all the texts.
         """
         special = [i for i, x in enumerate(texts) if self.marks in x]
-        plain = [b"" if self.marks in x else x.lower() for x in texts]
+        plain = [b"" if self.marks in x else x for x in texts]
         joined = b"\n".join(plain)
+        starts, ends = edges(np.frombuffer(joined, np.uint8))
+        joined = _lower_ascii(joined, starts, ends)
         raw = np.frombuffer(joined, np.uint8)
-        starts, ends = edges(raw)
         _, first, which = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
         spans = zip(starts[first].tolist(), ends[first].tolist())
         found = self.learn([joined[a:b] for a, b in spans])

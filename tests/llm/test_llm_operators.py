@@ -176,6 +176,19 @@ def test_packing_round_trip(spark):
         assert at <= 4096
 
 
+def test_packing_keeps_case_where_letters_compose(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    pairs = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    rows = [(i, f"{p}arb and {p} THEN x{p.lower()}X {p}") for i, p in enumerate(pairs)]
+    rows.append((9, " ".join([*pairs, "H", "\u0331", "\u00c9T\u00c9 A\u00c9"])))
+    tokenizer = Tokenizer.from_file(PATH)
+    found = packing.pack_documents(frame(spark, rows), PATH).collect()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in found}
+    assert got == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in rows}
+
+
 def test_first_fit_is_the_first_that_fits():
     import random
 
