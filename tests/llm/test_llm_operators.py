@@ -329,6 +329,33 @@ def test_search(spark):
             assert [d for _, _, d in mine] == [d for _, d in best]
 
 
+def test_search_scores_do_not_depend_on_the_shard(spark):
+    import random
+
+    random.seed(5)
+    common = [f"w{i}" for i in range(900)]
+
+    def text(n):
+        return " ".join(random.choices(common, weights=range(900, 0, -1), k=n))
+
+    copied = text(300)
+    rows = [(i, copied if i % 7 == 3 else text(random.randint(20, 400))) for i in range(700)]
+    docs = frame(spark, rows)
+    asked = frame(spark, [(3, copied), (9000, text(300)), (9001, f"{copied} {text(200)}")])
+    got = {}
+    for r in search.search(docs, asked, k=40, shard_docs=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["doc_id"]))
+    copies = [i for i, t in rows if t == copied]
+    for q in (3, 9001):
+        best = sorted(got[q])
+        assert [d for _, _, d in best] == copies[:40]
+        assert len({s for _, s, _ in best}) == 1
+    one = search.search(docs, asked, k=40, shard_docs=10_000).collect()
+    assert {(r["query_id"], r["rank"], r["score"], r["doc_id"]) for r in one} == {
+        (q, *x) for q, found in got.items() for x in found
+    }
+
+
 def test_quality(spark):
     good = [(i, f"{SEA}. It goes on, calmly, for {i} days.") for i in range(80)]
     bad = [(1000 + i, "BUY!! NOW!! | " * (5 + i % 7)) for i in range(80)]
