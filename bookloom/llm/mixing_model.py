@@ -2,8 +2,8 @@
 
 A byte (or the end of a text) is coded by a Huffman code that depends on the byte
 before it, or on the two before it where both are common, so a symbol is a few binary decisions. Each decision is predicted in
-several contexts (the three and the four bytes before, the word so far, that and
-the word before it); contexts are hashed into tables of fixed size that count zeros and ones. The log-odds of the
+several contexts (what chose the code, the two to four bytes before, the word so
+far, that and the word before it); contexts but the first are hashed into tables of fixed size that count zeros and ones. The log-odds of the
 counts are combined by weights that a gate selects, and an adaptive map refines
 the mixed probability by the byte before. All figures are static while texts are
 scored, so whole blocks of texts are scored by array operations.
@@ -26,10 +26,11 @@ CODES = 256 + (len(COMMON) + 1) ** 2
 PIECE = 1 << 18
 BLOCK = 1 << 16
 PAD = 4
-# Bits of the number of slots of each context's table.
-BITS = {"order3": 21, "order4": 22, "word": 23, "two words": 22}
-CONTEXTS = tuple(BITS)
-SLOTS = [1 << bits for bits in BITS.values()]
+# Bits of the number of slots of each hashed context's table.
+BITS = {"order2": 20, "order3": 21, "order4": 22, "word": 23, "two words": 22}
+CONTEXTS = ("code", *BITS)
+# A code's own nodes have a slot each.
+SLOTS = [CODES << 8, *(1 << bits for bits in BITS.values())]
 # Log-odds are kept as small integers in steps of 1 / STEP.
 STEP = 14.0
 PRIOR = 0.2
@@ -108,13 +109,12 @@ class Stream:
         return np.where(both, 256 + second * (len(COMMON) + 1) + first, one).astype(np.int64)
 
     def contexts(self) -> list[np.ndarray]:
-        """A hash of each context, per symbol."""
+        """A hash of each context but the code, per symbol."""
         h = self.before(1).astype(np.uint32)
         out = []
         for n in (2, 3, 4):
             h = h | (self.before(n).astype(np.uint32) << np.uint32(8 * (n - 1)))
-            if n > 2:
-                out.append((h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) * np.uint32(0xC2B2AE35))
+            out.append((h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) * np.uint32(0xC2B2AE35))
         n = len(self.bytes)
         powers, inverses = _powers(n + 1)
         summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH[self.bytes] * powers[:n])])
@@ -218,7 +218,7 @@ def decisions(stream: Stream, code: Code) -> Decisions:
     # Nodes of different codes have nothing in common.
     own = (chosen.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     salt = (own.take(of) + node) * np.uint32(0x01000193)
-    slots = []
+    slots = [((chosen << 8).take(of) | node).astype(np.intp, copy=False)]
     for hashed, bits in zip(stream.contexts(), BITS.values()):
         mixed = (hashed.take(of) ^ salt) * np.uint32(0x2C1B3C6D)
         slots.append((mixed >> np.uint32(32 - bits)).astype(np.intp))
@@ -268,7 +268,8 @@ class Mixer:
 def inputs(d: Decisions, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     x = [table.take(slot) for table, slot in zip(tables, d.slots)]
     gate = d.first * np.uint8(16)
-    for k, values in enumerate(x):
+    # The two shortest contexts are nearly always seen.
+    for k, values in enumerate(x[2:]):
         gate += (values != 0) * np.uint8(1 << k)
     return x, gate.astype(np.intp)
 

@@ -147,6 +147,25 @@ def test_decontamination_without_items(spark):
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_mixing_backs_off_to_one_and_two_bytes():
+    import numpy as np
+
+    from bookloom.llm import mixing_model as M
+
+    seen = [b"KA7 " * 50]
+    code = M.huffman(M.pair_counts(seen))
+    counts = M.empty_counts()
+    M.count(seen, code, counts)
+    tables = [M.log_odds(x) for x in counts]
+    for text in (b"%A7", b"%%KA7"):
+        d = M.decisions(M.Stream([(text, True)]), code)
+        x, gate = M.inputs(d, tables)
+        logit = M.mixed([v.astype(np.float32) for v in x], gate, M.Mixer.start().weights)
+        ends = np.cumsum(d.per_symbol)
+        last = slice(ends[-3], ends[-2])
+        assert (np.where(d.bit[last], logit[last], -logit[last]) > 0.5).all()
+
+
 def test_packing_round_trip(spark):
     import numpy as np
     from tokenizers import Tokenizer
