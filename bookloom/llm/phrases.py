@@ -8,8 +8,8 @@ language, exactly, without ever moving the rare ones as text:
    whose capacity exceeds its mass divided by the allowed loss, so every sequence
    that reaches the threshold survives, and a partition's memory is bounded.
 2. Survivors become a bit filter of bounded size. Tasks read the texts again
-   and send only sequences that pass, as text; Spark sums them up. What the filter
-   lets through in error falls below the threshold there.
+   and send only sequences that pass, as text, to the same partitions, which count them
+   exactly. What the filter lets through in error falls below the threshold there.
 
 Scores, cuts and containment are DataFrame operations on the frequent sequences.
 """
@@ -263,30 +263,54 @@ def _unique(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return example, times
 
 
-def _exact(power: int, shared, longest: int):
-    """Task of the second pass: sequences that pass the filter, as text, with counts."""
+PASSED = "part int, lang string, size int, phrases binary, times binary"
+
+
+def _passed(power: int, parts: int, shared, longest: int):
+    """Task of the second pass: sequences that pass the filter, as text, with counts.
+
+    A row holds those of a block that one hash partition gets, joined by line ends.
+    """
+
+    def row(part: int, lang: bytes, n: int, phrases: list[bytes], times: np.ndarray):
+        arrays = [
+            pa.array([part], pa.int32()),
+            pa.array([lang], pa.binary()).view(pa.string()),
+            pa.array([n], pa.int32()),
+            pa.array([b"\n".join(phrases)], pa.binary()),
+            pa.array([times.astype(np.int64).tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "lang", "size", "phrases", "times"])
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
+        top = parts.bit_length() - 1
         words = Words()
         for lang, text in blocks(batches):
             if len(words) > MOST_WORDS:
                 words = Words()
             ids = words.numbers(text)
-            total = int(np.count_nonzero(ids != BORDER))
-            yield _counts(lang, 0, [b""], np.array([total]))
+            yield row(0, lang, 0, [b""], np.array([np.count_nonzero(ids != BORDER)]))
             for n, places, keys in sequences(words, ids, lang, longest):
                 slot = keys >> np.uint64(64 - power)
                 byte = bits[(slot >> np.uint64(3)).astype(np.int64)]
-                passed = (byte >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1
-                places = places[passed.astype(np.bool_)]
+                passed = ((byte >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(np.bool_)
+                places, keys = places[passed], keys[passed]
                 if not len(places):
                     continue
                 columns = [ids[places + k] for k in range(n)]
                 example, times = _unique(columns)
+                # The partition is the upper bits of the key, as in the first pass.
+                part = (keys[example] >> np.uint64(32)).astype(np.int64) >> (32 - top)
+                order = np.argsort(part, kind="stable")
+                example, times = example[order], times[order]
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
                 texts = words.texts
                 rows = zip(*[c[example].tolist() for c in columns])
-                yield _counts(lang, n, [b" ".join([texts[i] for i in row]) for row in rows], times)
+                phrases = [b" ".join([texts[i] for i in r]) for r in rows]
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    here = slice(edges[k], edges[k + 1])
+                    yield row(k, lang, n, phrases[here], times[here])
 
     return run
 
@@ -294,15 +318,31 @@ def _exact(power: int, shared, longest: int):
 EXACT = "lang string, size int, phrase string, times long"
 
 
-def _counts(lang: bytes, n: int, phrases: list[bytes], times: np.ndarray) -> pa.RecordBatch:
-    rows = len(phrases)
-    arrays = [
-        pa.array([lang] * rows, pa.binary()).view(pa.string()),
-        pa.array(np.full(rows, n, np.int32)),
-        pa.array(phrases, pa.binary()).view(pa.string()),
-        pa.array(times.astype(np.int64)),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "size", "phrase", "times"])
+def _summed(threshold: int):
+    """Task of a hash partition: exact counts of its sequences, those that are frequent."""
+
+    def run(batches):
+        sums: dict[tuple[str, int], dict[bytes, int]] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                _, lang, n, phrases, times = (c[at].as_py() for c in batch.columns)
+                held = sums.setdefault((lang, n), {})
+                count = held.get
+                for phrase, more in zip(phrases.split(b"\n"), np.frombuffer(times, np.int64).tolist()):
+                    held[phrase] = count(phrase, 0) + more
+        for (lang, n), held in sums.items():
+            kept = {p: c for p, c in held.items() if c >= threshold or n == 0}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(kept), pa.string()),
+                    pa.array([n] * len(kept), pa.int32()),
+                    pa.array(list(kept), pa.binary()).view(pa.string()),
+                    pa.array(list(kept.values()), pa.int64()),
+                ],
+                names=["lang", "size", "phrase", "times"],
+            )
+
+    return run
 
 
 def _partitions(texts: DataFrame) -> int:
@@ -333,13 +373,9 @@ def frequent_sequences(
     parts = _partitions(texts)
     power, bits = bit_filter(survivors(texts, parts, threshold, longest), parts)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    found = stored(
-        texts.mapInArrow(_exact(power, shared, longest), EXACT)
-        .groupBy("lang", "size", "phrase")
-        .agg(F.sum("times").alias("times"))
-        .where((F.col("times") >= threshold) | (F.col("size") == 0)),
-        "phrase-counts",
-    )
+    passed = texts.mapInArrow(_passed(power, parts, shared, longest), PASSED)
+    placed = passed.repartitionById(parts, F.col("part"))
+    found = stored(placed.mapInArrow(_summed(threshold), EXACT), "phrase-counts")
     shared.unpersist()
     return found
 
