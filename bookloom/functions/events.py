@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def cancel_type() -> Column:
     )
 
 
-def improves_queue_entry() -> Column:
+def improves_queue_entry(side: str = "side") -> Column:
     """1 for a replacement that loses queue priority, else 0.
 
     Needs prev_price and prev_qty. A buyer pays more, a seller asks less, or
@@ -52,14 +54,27 @@ def improves_queue_entry() -> Column:
     """
     return F.expr(f"""
         if(change_reason = {S.REPLACED} AND prev_price IS NOT NULL
-           AND (side = '{S.BUY}' AND price > prev_price
-                OR side = '{S.SELL}' AND price < prev_price
+           AND ({side} = '{S.BUY}' AND price > prev_price
+                OR {side} = '{S.SELL}' AND price < prev_price
                 OR qty > prev_qty), 1, 0)
     """)
 
 
-def composite_id() -> Column:
-    return F.expr("concat(order_id, '_', sub_order_number)")
+def traded_so_far() -> Column:
+    """Lots of the order traded up to a TRADE event, NULL for other events."""
+    return F.expr(f"if(change_reason = {S.TRADE}, qty - remaining, NULL)")
+
+
+def fill_lots(done: str, before: str) -> Column:
+    """Lots of one fill, from the lots traded up to it and up to the fill before (NULL: none).
+
+    A fill never takes lots back, so a falling total adds nothing.
+    """
+    return F.expr(f"greatest({done} - coalesce({before}, 0D), 0D)")
+
+
+def composite_id(keys: Sequence[str] = ("order_id",)) -> Column:
+    return F.concat(*[x for k in keys for x in (F.col(k), F.lit("_"))], F.col("sub_order_number"))
 
 
 def reason_name(code: str) -> Column:

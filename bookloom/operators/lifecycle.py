@@ -1,14 +1,22 @@
-"""One row per order, from all its events."""
+"""One row per order, from all its events, at once or day by day.
+
+An order's state is a fold of some consecutive events that can be joined to the
+fold of the next ones: largest values, sums, and its first and last event, which
+decide whether the change across the border was an improvement. Pieces of a large
+order and the days of a long one are merged the same way.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import seconds_between
-from bookloom.operators.runs import union_results
-from bookloom.operators.versions import mark_improvements, regular_runs
+from bookloom.operators.runs import CUT, ORDER, PIECE, PIECE_ROWS
+from bookloom.operators.versions import PREVIOUS, mark_improvements, regular_runs
 
 NEEDED = (
     "order_id",
@@ -21,43 +29,134 @@ NEEDED = (
     "qty",
     "remaining",
 )
+# Folded values and how two of them become one.
+MERGED = {
+    "stock": F.max,
+    "side": F.max,
+    "born_ts": F.min,
+    "last_event_ts": F.max,
+    "first_fill_ts": F.min,
+    "original_qty": F.max,
+    "event_count": F.sum,
+    "ever_traded": F.max,
+    "ever_cancelled": F.max,
+    "ever_expired": F.max,
+    "traded_lots": F.max,
+    "n_modifications": F.sum,
+}
+IMPROVEMENTS = "n_qualifying_improvements"
+# Lots of single fills summed up.
+FILLS = "filled_lots"
+# First and last event and fill of a state, and where the events stand in time.
+EDGES = ("first_event", "last_event", "first_fill", "last_fill", "first_place", "last_place")
 
 
 def _ever(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False)).cast("int")
 
 
-def _fold(marked: DataFrame, improvements: bool) -> DataFrame:
-    """Aggregate events per order; each order in the frame is complete."""
+def _folded() -> list[Column]:
     traded = F.expr("qty - remaining")
-    extra = (
-        # The last version number is the number of improvements.
-        [F.sum("qualifies").cast("int").alias("n_qualifying_improvements")]
-        if improvements
-        else []
-    )
-    folded = (
-        marked.groupBy("order_id")
-        .agg(
-            F.max("stock").alias("stock"),
-            F.max("side").alias("side"),
-            F.min(F.when(E.is_new(), F.col("entry_ts"))).alias("born_ts"),
-            F.max("change_ts").alias("last_event_ts"),
-            F.min(F.when(E.is_trade(), F.col("change_ts"))).alias("first_fill_ts"),
-            F.max(F.when(E.is_new(), F.col("qty"))).alias("original_qty"),
-            F.count("*").alias("event_count"),
-            _ever(E.is_trade()).alias("ever_traded"),
-            _ever(E.is_cancel()).alias("ever_cancelled"),
-            _ever(E.is_expiry()).alias("ever_expired"),
-            # qty - remaining is cumulative, so the largest one is the total.
-            F.coalesce(F.max(F.when(E.is_trade(), traded)), F.lit(0.0)).alias("traded_lots"),
-            F.count_if(E.is_replace()).alias("n_modifications"),
-            *extra,
+    return [
+        F.max("stock").alias("stock"),
+        F.max("side").alias("side"),
+        F.min(F.when(E.is_new(), F.col("entry_ts"))).alias("born_ts"),
+        F.max("change_ts").alias("last_event_ts"),
+        F.min(F.when(E.is_trade(), F.col("change_ts"))).alias("first_fill_ts"),
+        F.max(F.when(E.is_new(), F.col("qty"))).alias("original_qty"),
+        F.count("*").alias("event_count"),
+        _ever(E.is_trade()).alias("ever_traded"),
+        _ever(E.is_cancel()).alias("ever_cancelled"),
+        _ever(E.is_expiry()).alias("ever_expired"),
+        # qty - remaining is cumulative, so the largest one is the total.
+        F.coalesce(F.max(F.when(E.is_trade(), traded)), F.lit(0.0)).alias("traded_lots"),
+        F.count_if(E.is_replace()).alias("n_modifications"),
+    ]
+
+
+def merge_states(states: DataFrame, keys: Sequence[str] = ORDER) -> DataFrame:
+    """One state per order, from states of any consecutive stretches of its events.
+
+    The first event of a stretch may improve on the last one of the stretch before;
+    within a stretch it had nothing to improve on.
+    """
+    keys = list(keys)
+    along = Window.partitionBy(*keys).orderBy("first_place")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    border = (
+        states.withColumn("_before", F.lag("last_event").over(along))
+        .withColumn("_filled", F.last("last_fill", ignorenulls=True).over(earlier))
+        .select(
+            "*",
+            *[f"first_event.{c}" for c in ("change_reason", "price", "qty")],
+            F.col("first_event.side").alias("_side"),
+            *[F.col(f"_before.{old}").alias(new) for new, old in PREVIOUS.items()],
+        )
+        .withColumn("_improves", E.improves_queue_entry("_side"))
+        # The first fill was counted as if there were none before.
+        .withColumn(
+            "_refilled",
+            F.coalesce(
+                E.fill_lots("first_fill", "_filled") - E.fill_lots("first_fill", "NULL"), F.lit(0.0)
+            ),
         )
-        .where("born_ts IS NOT NULL")
     )
-    return folded.select(
-        "order_id",
+    return border.groupBy(*keys).agg(
+        *[merge(c).alias(c) for c, merge in MERGED.items()],
+        F.sum(F.col(IMPROVEMENTS) + F.col("_improves")).cast("int").alias(IMPROVEMENTS),
+        F.sum(F.col(FILLS) + F.col("_refilled")).alias(FILLS),
+        F.min_by("first_fill", F.when(F.col("first_fill").isNotNull(), F.col("first_place"))).alias("first_fill"),
+        F.max_by("last_fill", F.when(F.col("last_fill").isNotNull(), F.col("last_place"))).alias("last_fill"),
+        F.min_by("first_event", "first_place").alias("first_event"),
+        F.max_by("last_event", "last_place").alias("last_event"),
+        F.min("first_place").alias("first_place"),
+        F.max("last_place").alias("last_place"),
+    )
+
+
+def order_states(
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+) -> DataFrame:
+    """State of every regular order (and day, if that is a key) in the events.
+
+    Previous-row lookup and fold share one shuffle. Only orders that were cut into
+    pieces are merged afterwards.
+    """
+    ties = ["event_id"] if "event_id" in events.columns else []
+    more = [k for k in keys if k not in NEEDED]
+    slim = events.select("order_cat", *NEEDED, *ties, *more)
+    runs = regular_runs(slim, piece_rows, keys)
+    # Inside a piece only: what crosses its border is settled by merging.
+    done = E.traded_so_far()
+    marked = mark_improvements(runs, across=False).latest(done, "_filled")
+    marked = marked.with_rows(marked.rows.withColumn("_done", done))
+    fill_place = F.when(F.col("_done").isNotNull(), runs.place)
+    first, last = (F.struct(*names) for names in (("change_reason", "side", "price", "qty"), ("price", "qty")))
+    states = marked.rows.groupBy(*runs.piece).agg(
+        *_folded(),
+        F.sum("qualifies").cast("int").alias(IMPROVEMENTS),
+        F.coalesce(F.sum(E.fill_lots("_done", "_filled")), F.lit(0.0)).alias(FILLS),
+        F.min_by("_done", fill_place).alias("first_fill"),
+        F.max_by("_done", fill_place).alias("last_fill"),
+        F.min_by(first, runs.place).alias("first_event"),
+        F.max_by(last, runs.place).alias("last_event"),
+        F.min(runs.place).alias("first_place"),
+        F.max(runs.place).alias("last_place"),
+    )
+    columns = [*keys, *MERGED, IMPROVEMENTS, FILLS, *EDGES]
+    whole = states.where(~F.col(CUT)).select(*columns)
+    return whole.unionByName(merge_states(states.where(CUT).drop(PIECE, CUT), keys).select(*columns))
+
+
+def lives(
+    states: DataFrame,
+    improvements: bool = True,
+    keys: Sequence[str] = ORDER,
+    by_fill: bool = False,
+) -> DataFrame:
+    """The lifecycle table: states of orders that have a NEW event with a time."""
+    return states.where("born_ts IS NOT NULL").select(
+        *keys,
         "stock",
         "side",
         "born_ts",
@@ -68,28 +167,32 @@ def _fold(marked: DataFrame, improvements: bool) -> DataFrame:
         "ever_traded",
         "ever_cancelled",
         "ever_expired",
-        "traded_lots",
+        F.col(FILLS if by_fill else "traded_lots").alias("traded_lots"),
         seconds_between("born_ts", "last_event_ts").alias("lifetime_seconds"),
         seconds_between("born_ts", "first_fill_ts").alias("time_to_first_fill_seconds"),
         "n_modifications",
-        *(["n_qualifying_improvements"] if improvements else []),
+        *([IMPROVEMENTS] if improvements else []),
     )
 
 
 def lifecycle_table(
     events: DataFrame,
     improvements: bool = True,
-    hot: DataFrame | None = None,
+    piece_rows: int = PIECE_ROWS,
+    keys: Sequence[str] = ORDER,
+    by_fill: bool = False,
 ) -> DataFrame:
     """Life of every regular order that has a NEW event with a time.
 
-    Previous-row lookup and aggregation share one shuffle on order_id. Without
-    ``improvements`` there is no lookup and no column for it: events are then
-    combined before the shuffle, however many an order has.
+    Without ``improvements`` there is no previous-row lookup and no column for it:
+    events are then combined before the shuffle, however many an order has. Traded lots
+    are the largest total seen, or, ``by_fill``, what single fills added to it.
     """
-    if not improvements:
-        return _fold(events.where(E.is_regular()), improvements=False)
-    ties = ["event_id"] if "event_id" in events.columns else []
-    slim = events.where(E.is_regular()).select("order_cat", *NEEDED, *ties)
-    runs = regular_runs(slim, hot)
-    return union_results([_fold(mark_improvements(r).rows, improvements=True) for r in runs])
+    if not improvements and not by_fill:
+        return lives(events.where(E.is_regular()).groupBy(*keys).agg(*_folded()), False, keys)
+    return lives(order_states(events, piece_rows, keys), improvements, keys, by_fill)
+
+
+def is_open() -> Column:
+    """Of a state: neither cancelled, expired nor filled, so more events are expected."""
+    return F.expr("ever_cancelled = 0 AND NOT coalesce(traded_lots >= original_qty, false)")

@@ -1,12 +1,15 @@
 """Events of each order in time order: previous and next row, running sums.
 
-Most orders have few events, so one shuffle on order_id and one sort serve all
-window functions on them. An order with very many events would put all of them
-into one task; such orders are cut into consecutive pieces by a range shuffle
-on (order_id, time, ...). Functions then run per piece, and what crosses a
-piece border is added from a side table with one row per order and piece. There
-are at most as many of those as pieces plus hot orders, so it fits a broadcast.
-Which orders are hot is given by the caller, as a frame.
+A segmented prefix scan. Rows are keyed by order and piece; one shuffle and one
+sort serve all window functions, which run inside a piece. Nearly every order is one
+piece. An order with more events than one task should hold is cut into
+consecutive pieces, and what crosses a border is added from a side table with one
+row per order and piece: the last row of the piece before, or the sums so far.
+
+Nobody has to name such orders. A bounded heavy-hitter sketch finds them in the same
+query, and a sample of their rows, taken by a hash, gives the borders, so the pieces
+are about equal whatever the times are. Where there is no such order, adaptive
+execution sees empty side tables and drops every step that deals with them.
 """
 
 from __future__ import annotations
@@ -18,166 +21,218 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom import schema as S
-from bookloom.operators.staging import stage
 
 # Events of one order that one task sorts without trouble.
-HOT_ORDER_ROWS = 1_000_000
-
-KEY = "order_id"
+PIECE_ROWS = 1_000_000
+# Orders the sketch can name, and the ids it keeps counters of. An order is missed
+# only if it holds fewer than 1 in 0.75 * TRACKED of all rows.
+LISTED = 10_000
+TRACKED = 200_000
+# Rows looked at for each border, on average.
+SAMPLED = 64
+
+ORDER = ("order_id",)
 PIECE = "_piece"
-PLACE = "_at"
+CUT = "_cut"
+
+
+def _tie_break(events: DataFrame) -> list[tuple[Column, bool]]:
+    """What settles equal times: columns and whether the largest comes first."""
+    if "event_id" in events.columns:
+        return [(F.col("event_id"), False)]
+    return [
+        (F.when(F.col("change_reason") == S.NEW, 0).otherwise(1), False),
+        (F.col("remaining"), True),
+        (F.col("change_reason"), False),
+        (F.col("qty"), False),
+        (F.col("price"), False),
+    ]
+
 
+def _sorting(events: DataFrame) -> list[tuple[Column, bool]]:
+    return [(F.col("change_ts"), False), (F.col("entry_ts"), False), *_tie_break(events)]
 
-def event_order(events: DataFrame, tie_break: Sequence[Column] | None = None) -> list[Column]:
+
+def event_order(events: DataFrame) -> list[Column]:
     """Sort columns: event time, entry time, then what settles equal times.
 
     Ties are broken by event_id where there is one, else NEW first, larger
     remaining size first, then code, size and price.
     """
-    if tie_break is None:
-        if "event_id" in events.columns:
-            tie_break = [F.col("event_id").asc_nulls_last()]
-        else:
-            tie_break = [
-                F.when(F.col("change_reason") == S.NEW, 0).otherwise(1).asc(),
-                F.col("remaining").desc_nulls_last(),
-                F.col("change_reason").asc_nulls_last(),
-                F.col("qty").asc_nulls_last(),
-                F.col("price").asc_nulls_last(),
-            ]
     return [
-        F.col("change_ts").asc_nulls_last(),
-        F.col("entry_ts").asc_nulls_last(),
-        *tie_break,
+        c.desc_nulls_last() if falling else c.asc_nulls_last() for c, falling in _sorting(events)
     ]
 
 
-@dataclass(frozen=True)
-class OrderRuns:
-    """Rows of some orders, each order entire.
+def order_key(events: DataFrame) -> Column:
+    """The same order as one value: of two rows the earlier one has the smaller key."""
+    parts = []
+    for c, falling in _sorting(events):
+        # The rows without a value come last; of falling numbers NaN is the first.
+        parts += [c.isNull(), ~F.isnan(c), -c] if falling else [c.isNull(), c]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def _named(keys: Sequence[str]) -> Column:
+    """The key of an order as one text, different for different keys and never NULL."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys]
+    return parts[0] if len(parts) == 1 else F.concat_ws("\x1f", *parts)
+
 
-    Rows of ``cut`` runs carry their place in the order of all rows (``_at``)
-    and the number of their piece; there ``order`` is the place.
+def large_orders(
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+) -> DataFrame:
+    """Orders with more rows than a piece should have (``_hot``, their key as text; ``_rows``).
+
+    At most ``LISTED`` of them, so the result can be broadcast. Nothing is shuffled but
+    one sketch per task. The order without id counts as one order.
+    """
+    sketch = F.call_function("approx_top_k", _named(keys), F.lit(LISTED), F.lit(TRACKED))
+    return (
+        events.agg(sketch.alias("_top"))
+        .select(F.inline("_top"))
+        .where(F.col("count") > piece_rows)
+        .select(F.col("item").alias("_hot"), F.col("count").alias("_rows"))
+    )
+
+
+def split_large(
+    events: DataFrame, large: DataFrame, keys: Sequence[str] = ORDER
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the large orders, and all others."""
+    listed = F.broadcast(large.select("_hot"))
+    same = _named(keys) == F.col("_hot")
+    return events.join(listed, same, "left_semi"), events.join(listed, same, "left_anti")
+
+
+def piece_borders(
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+) -> DataFrame:
+    """For each large order the places at which its pieces after the first begin (``_borders``).
+
+    They are quantiles of a sample of its rows, about ``SAMPLED`` for each piece, so a
+    list has a bounded length. The sample depends on the rows alone.
     """
+    rows = events.select(_named(keys).alias("_name"), order_key(events).alias("_key"))
+    large = large_orders(events, piece_rows, keys).withColumn(
+        "_pieces", F.expr(f"cast((_rows + {piece_rows - 1}) div {piece_rows} AS int)")
+    )
+    sample = rows.join(F.broadcast(large), F.col("_name") == F.col("_hot")).where(
+        F.pmod(F.xxhash64("_key"), F.col("_rows")) < F.col("_pieces") * SAMPLED
+    )
+    listed = sample.groupBy("_hot", "_pieces").agg(
+        F.sort_array(F.collect_list("_key")).alias("_keys")
+    )
+    at = "cast(size(_keys) * k / _pieces AS int) + 1"
+    return listed.select(
+        "_hot",
+        F.expr(f"transform(sequence(1, _pieces - 1), k -> element_at(_keys, {at}))").alias("_borders"),
+    )
+
+
+@dataclass(frozen=True)
+class OrderRuns:
+    """Rows of orders in pieces: ``_piece`` numbers them from 0, ``_cut`` marks cut orders."""
 
     rows: DataFrame
     order: Sequence[Column]
-    cut: bool = False
+    place: Column
+    keys: Sequence[str] = ORDER
+
+    @property
+    def piece(self) -> list[str]:
+        return [*self.keys, PIECE, CUT]
 
     def with_rows(self, rows: DataFrame) -> OrderRuns:
         return replace(self, rows=rows)
 
     def _window(self):
-        keys = [KEY, PIECE] if self.cut else [KEY]
-        return Window.partitionBy(*keys).orderBy(*self.order)
-
-    def neighbour(self, columns: Mapping[str, str], ahead: bool = False) -> OrderRuns:
-        """Add, under new names, columns of the previous (or next) row of the order."""
-        step = F.lead if ahead else F.lag
+        return Window.partitionBy(*self.piece).orderBy(*self.order)
+
+    def _along(self):
+        """Pieces of an order, one after another."""
+        return Window.partitionBy(*self.keys).orderBy(PIECE)
+
+    def _side(self, *columns: Column) -> list[Column]:
+        """The piece under names of its own, for a side table."""
+        return [F.col(k).alias(f"_of_{k}") for k in [*self.keys, PIECE]] + list(columns)
+
+    def _joined(self, rows: DataFrame, side: DataFrame, *more: Column) -> DataFrame:
+        """Rows with what a side table has for their piece.
+
+        There are at most as many rows in it as pieces of cut orders.
+        """
+        same = F.col(PIECE) == F.col(f"_of_{PIECE}")
+        for condition in [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in self.keys] + list(more):
+            same &= condition
+        return rows.join(F.broadcast(side), same, "left")
+
+    def neighbour(
+        self, columns: Mapping[str, str], ahead: bool = False, across: bool = True
+    ) -> OrderRuns:
+        """Add, under new names, columns of the previous (or next) row of the order.
+
+        Unless ``across``, of the piece: there is none beyond its border.
+        """
+        step, last = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
         w = self._window()
-        rows = self.rows.select("*", *[step(old).over(w).alias(new) for new, old in columns.items()])
-        if not self.cut:
-            return self.with_rows(rows)
-        # Looking back, the first row of a piece needs the last one of the piece
-        # before; looking ahead, the last row needs the first one of the next.
-        taker, giver = (F.max, F.min) if ahead else (F.min, F.max)
-        ends = self.rows.groupBy(KEY, PIECE).agg(
-            taker(PLACE).alias("_taker"), giver(PLACE).alias(PLACE)
-        )
-        across = Window.partitionBy(KEY).orderBy(PIECE)
-        handed = (
-            self.rows.select(PLACE, F.struct(*columns.values()).alias("_row"))
-            .join(F.broadcast(ends), PLACE)
-            .select(F.col("_taker").alias(PLACE), step("_row").over(across).alias("_row"))
-            .withColumn("_border", F.lit(True))
+        found = [step(old).over(w).alias(new) for new, old in columns.items()]
+        if not across:
+            return self.with_rows(self.rows.select("*", *found))
+        rows = self.rows.select("*", *found, step(F.lit(True)).over(w).isNull().alias("_edge"))
+        # The row next to the border, of each piece that has rows, handed over it.
+        row = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+        ends = self.rows.where(CUT).groupBy(*self.piece).agg(last(row, self.place).alias("_row"))
+        handed = ends.select(*self._side(step("_row").over(self._along()).alias("_row"))).where(
+            "_row IS NOT NULL"
         )
-        joined = rows.join(F.broadcast(handed), PLACE, "left")
+        joined = self._joined(rows, handed, F.col("_edge"))
         filled = [
-            F.when(F.col("_border"), F.col(f"_row.{old}")).otherwise(F.col(new)).alias(new)
-            for new, old in columns.items()
+            F.when(F.col("_row").isNotNull(), F.col(f"_row.{new}")).otherwise(F.col(new)).alias(new)
+            for new in columns
         ]
         return self.with_rows(joined.select(*self.rows.columns, *filled))
 
+    def latest(self, column: Column, name: str) -> OrderRuns:
+        """Add the latest value of a column, NULLs left out, in earlier rows of the piece."""
+        earlier = self._window().rowsBetween(Window.unboundedPreceding, -1)
+        return self.with_rows(
+            self.rows.withColumn(name, F.last(column, ignorenulls=True).over(earlier))
+        )
+
     def running_sum(self, column: str, name: str) -> OrderRuns:
         """Add the sum of a column over the order's rows up to this one."""
-        w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = self.rows.withColumn(name, F.sum(column).over(w))
-        if not self.cut:
-            return self.with_rows(rows)
-        earlier = (
-            Window.partitionBy(KEY).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        before = (
-            self.rows.groupBy(KEY, PIECE)
-            .agg(F.sum(column).alias("_sum"))
-            .select(
-                F.col(KEY).alias("_key"),
-                F.col(PIECE).alias("_part"),
-                F.sum("_sum").over(earlier).alias("_before"),
-            )
+        upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self.rows.withColumn(name, F.sum(column).over(upto))
+        earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
+        sums = self.rows.where(CUT).groupBy(*self.piece).agg(F.sum(column).alias("_sum"))
+        before = sums.select(*self._side(F.sum("_sum").over(earlier).alias("_before"))).where(
+            "_before IS NOT NULL"
         )
-        here = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col(PIECE) == F.col("_part"))
         total = F.col(name) + F.coalesce(F.col("_before"), F.lit(0))
-        joined = rows.join(F.broadcast(before), here, "left").withColumn(name, total)
-        return self.with_rows(joined.drop("_key", "_part", "_before"))
+        joined = self._joined(rows, before)
+        return self.with_rows(joined.select(*self.rows.columns, total.alias(name)))
 
     def result(self) -> DataFrame:
-        return self.rows.drop(PIECE, PLACE)
-
-
-def hot_orders(events: DataFrame, limit: int = HOT_ORDER_ROWS) -> DataFrame:
-    """Orders with more rows than the limit (``_hot``, ``_rows``).
-
-    Nothing runs until the frame is used. Counts are combined before the shuffle,
-    and there is at most one hot order per ``limit`` rows, so the result is small
-    enough to broadcast. Keep it with the stored events (``write_event_table``
-    does) instead of counting for every question.
-    """
-    return (
-        events.groupBy(F.col(KEY).alias("_hot"))
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > limit)
-    )
-
-
-def split_hot(events: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the hot orders, and all others. The order id may be NULL."""
-    listed = F.broadcast(hot.select("_hot"))
-    same = F.col(KEY).eqNullSafe(F.col("_hot"))
-    return events.join(listed, same, "left_semi"), events.join(listed, same, "left_anti")
+        return self.rows.drop(PIECE, CUT)
 
 
 def order_runs(
-    events: DataFrame,
-    tie_break: Sequence[Column] | None = None,
-    hot: DataFrame | None = None,
-) -> list[OrderRuns]:
-    """Ordinary orders and, if hot ones are named, those in pieces.
-
-    ``hot`` lists orders too large for one task (column ``_hot``, see
-    ``hot_orders``). Without it nothing runs before the result is used; with it
-    the places of hot rows are written first, as range borders are sampled. There
-    are as many pieces as shuffle partitions.
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+) -> OrderRuns:
+    """The events in time order per order, large orders in pieces of about ``piece_rows``.
+
+    ``keys`` tell orders apart: where ids are used again on another day, the id and
+    the day. Nothing runs before the result is used. Rows that agree in everything the
+    order is made of stay in one piece.
     """
-    order = event_order(events, tie_break)
-    if hot is None:
-        return [OrderRuns(events, order)]
-    large, rest = split_hot(events, hot)
-    by_order = [F.col(KEY).asc(), *order]
-    pieces = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(
-        large.repartitionByRange(pieces, *by_order)
-        .sortWithinPartitions(*by_order)
-        .withColumn(PLACE, F.monotonically_increasing_id())
+    place = order_key(events)
+    borders = piece_borders(events, piece_rows, keys)
+    listed = events.join(F.broadcast(borders), _named(keys) == F.col("_hot"), "left")
+    passed = F.size(F.filter("_borders", lambda border: border <= place))
+    rows = listed.select(
+        *[F.col(f"`{c}`") for c in events.columns],
+        F.when(F.col("_borders").isNull(), 0).otherwise(passed).alias(PIECE),
+        F.col("_borders").isNotNull().alias(CUT),
     )
-    # The upper bits of the place are the number of the range it was made in.
-    cut = placed.withColumn(PIECE, F.shiftright(PLACE, 33).cast("int"))
-    return [OrderRuns(rest, order), OrderRuns(cut, [F.col(PLACE)], cut=True)]
-
-
-def union_results(frames: Sequence[DataFrame]) -> DataFrame:
-    """One frame of disjoint sets of orders."""
-    first, *rest = frames
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
+    return OrderRuns(rows, event_order(events), place, tuple(keys))

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to, seconds_between
-from bookloom.operators.runs import OrderRuns, event_order, order_runs, union_results
+from bookloom.operators.runs import ORDER, PIECE_ROWS, OrderRuns, event_order, order_runs
 
 PREVIOUS = {"prev_price": "price", "prev_qty": "qty"}
 
 
-def mark_improvements(run: OrderRuns) -> OrderRuns:
-    """Add prev_price, prev_qty and qualifies (0 or 1)."""
-    run = run.neighbour(PREVIOUS)
+def mark_improvements(run: OrderRuns, across: bool = True) -> OrderRuns:
+    """Add prev_price, prev_qty and qualifies (0 or 1).
+
+    Unless ``across``, the first row of a piece has no previous one.
+    """
+    run = run.neighbour(PREVIOUS, across=across)
     return run.with_rows(run.rows.withColumn("qualifies", E.improves_queue_entry()))
 
 
@@ -24,28 +29,38 @@ def number_versions(run: OrderRuns) -> OrderRuns:
     return run.with_rows(
         run.rows.withColumn(
             "sub_order_number", F.col("sub_order_number").cast("int")
-        ).withColumn("composite_id", E.composite_id())
+        ).withColumn("composite_id", E.composite_id(run.keys))
     )
 
 
 def regular_runs(
-    events: DataFrame, hot: DataFrame | None = None
-) -> list[OrderRuns]:
-    return order_runs(events.where(E.is_regular()), hot=hot)
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+) -> OrderRuns:
+    return order_runs(events.where(E.is_regular()), piece_rows, keys)
+
+
+def with_fills(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Regular events with ``fill_lots``: lots of this fill alone, NULL for other events."""
+    regular = events.where(E.is_regular()).withColumn("_done", E.traded_so_far())
+    fills = order_runs(regular.where(F.col("_done").isNotNull()), piece_rows)
+    filled = fills.neighbour({"_before": "_done"}).result()
+    lots = filled.withColumn("fill_lots", E.fill_lots("_done", "_before")).drop("_before")
+    others = regular.where(F.col("_done").isNull()).withColumn("fill_lots", F.lit(None).cast("double"))
+    return lots.unionByName(others).drop("_done")
 
 
 def versioned_events(
-    events: DataFrame, hot: DataFrame | None = None
+    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
 ) -> DataFrame:
     """Regular events with previous values, qualifies, version and composite id."""
-    runs = regular_runs(events, hot)
-    return union_results([number_versions(r).result() for r in runs])
+    return number_versions(regular_runs(events, piece_rows, keys)).result()
 
 
 def enrich_events(
     events: DataFrame,
     keep: list[str] | None = None,
-    hot: DataFrame | None = None,
+    piece_rows: int = PIECE_ROWS,
+    keys: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Every regular event with its columns plus sub_order_number, composite_id.
 
@@ -53,12 +68,12 @@ def enrich_events(
     raw files pass the raw columns to leave the typed ones out.
     """
     carried = events.columns if keep is None else keep
-    numbered = versioned_events(events, hot)
+    numbered = versioned_events(events, piece_rows, keys)
     return numbered.select(*[f"`{c}`" for c in carried], "sub_order_number", "composite_id")
 
 
 def order_detail(
-    events: DataFrame, hot: DataFrame | None = None, sort: bool = False
+    events: DataFrame, piece_rows: int = PIECE_ROWS, sort: bool = False
 ) -> DataFrame:
     """Event by event: rounded prices and sizes, version, and what changed, in words.
 
@@ -66,7 +81,7 @@ def order_detail(
     few orders of a history.
     """
     rounded = {"price": 4, "prev_price": 4, "qty": 0, "prev_qty": 0}
-    rows = versioned_events(events, hot)
+    rows = versioned_events(events, piece_rows)
     if sort:
         rows = rows.orderBy(F.col("order_id").asc_nulls_last(), *event_order(events))
     rows = rows.withColumns(
@@ -104,7 +119,7 @@ def order_detail_header(detail: DataFrame) -> DataFrame:
 
 
 def version_summary(
-    events: DataFrame, hot: DataFrame | None = None, sort: bool = False
+    events: DataFrame, piece_rows: int = PIECE_ROWS, sort: bool = False
 ) -> DataFrame:
     """One row per version: what started it, and how long until the next one.
 
@@ -112,31 +127,24 @@ def version_summary(
     the improvement. The last version has no end. ``sort`` puts the rows by order
     and version number.
     """
-    by_number = ["_order", "_number"]
-
-    def summarise(run: OrderRuns) -> DataFrame:
-        numbered = number_versions(run)
-        first = E.is_new() & F.expr("sub_order_number = 0")
-        starts = numbered.with_rows(numbered.rows.where(F.expr("qualifies = 1") | first))
-        ended = starts.neighbour({"version_end_ts": "change_ts"}, ahead=True)
-        seconds = seconds_between("change_ts", "version_end_ts")
-        return ended.rows.select(
-            F.col("order_id").alias("_order"),
-            F.col("sub_order_number").alias("_number"),
-            "composite_id",
-            "stock",
-            "side",
-            F.col("change_ts").alias("version_start_ts"),
-            round_to("price", 4).alias("version_price"),
-            round_to("qty", 0).alias("version_qty"),
-            "version_end_ts",
-            round_to(seconds, 2).alias("version_duration_s"),
-        )
-
-    rows = union_results([summarise(r) for r in regular_runs(events, hot)])
+    numbered = number_versions(regular_runs(events, piece_rows))
+    first = E.is_new() & F.expr("sub_order_number = 0")
+    starts = numbered.with_rows(numbered.rows.where(F.expr("qualifies = 1") | first))
+    rows = starts.neighbour({"version_end_ts": "change_ts"}, ahead=True).rows
     if sort:
-        rows = rows.orderBy(*[F.col(c).asc_nulls_last() for c in by_number], "version_start_ts")
-    return rows.drop(*by_number)
+        by_number = [F.col(c).asc_nulls_last() for c in ("order_id", "sub_order_number")]
+        rows = rows.orderBy(*by_number, "change_ts")
+    seconds = seconds_between("change_ts", "version_end_ts")
+    return rows.select(
+        "composite_id",
+        "stock",
+        "side",
+        F.col("change_ts").alias("version_start_ts"),
+        round_to("price", 4).alias("version_price"),
+        round_to("qty", 0).alias("version_qty"),
+        "version_end_ts",
+        round_to(seconds, 2).alias("version_duration_s"),
+    )
 
 
 def version_summary_display(summary: DataFrame) -> DataFrame:

@@ -72,17 +72,16 @@ def write_lifecycle(
     fraction: float = 1.0,
     fmt: str = "parquet",
     now: datetime | None = None,
-    hot: DataFrame | None = None,
 ) -> str:
     """The lifecycle table of all orders, its checks and questions.
 
     The table is written first and every question reads it from there. A sample
     of the orders is taken only when a smaller fraction is asked for; the run's
-    settings, next to the results, say which. ``hot``: see ``order_runs``.
+    settings, next to the results, say which.
     """
     folder = run_folder(base, now)
     path = f"{folder}/order_lifecycle"
-    lives_of = lifecycle_table(samples.sample_orders(events, fraction), hot=hot)
+    lives_of = lifecycle_table(samples.sample_orders(events, fraction))
     lives_of.write.mode("errorifexists").parquet(path)
     table = events.sparkSession.read.parquet(path)
     picked = samples.sample_lives(table)
@@ -101,12 +100,11 @@ def write_validation(
     fraction: float = 1.0,
     fmt: str = "parquet",
     now: datetime | None = None,
-    hot: DataFrame | None = None,
 ) -> str:
     """History of some often modified orders, and versions over all orders (or a sample)."""
     folder = run_folder(base, now)
     chosen = stage(samples.events_of(events, samples.modified_orders(events)))
-    tops = stage(repricing.max_versions(events, fraction, hot))
+    tops = stage(repricing.max_versions(events, fraction))
     results = {
         **history(chosen),
         "version_distribution": repricing.distribution_meaning(
@@ -143,7 +141,6 @@ def write_enriched(
     path: str,
     keep: list[str] | None = None,
     fmt: str = "parquet",
-    hot: DataFrame | None = None,
 ) -> None:
     """Every regular event with its version; tasks write their own files.
 
@@ -151,4 +148,4 @@ def write_enriched(
     """
     if keep is None and set(S.RAW_COLUMNS) <= set(events.columns):
         keep = [c for c in raw_columns(events) if c != "trade_date"]
-    WRITERS[fmt](versions.enrich_events(events, keep, hot), path)
+    WRITERS[fmt](versions.enrich_events(events, keep), path)

@@ -7,27 +7,18 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to, share
-from bookloom.operators.runs import union_results
+from bookloom.operators.lifecycle import IMPROVEMENTS, order_states
+from bookloom.operators.runs import PIECE_ROWS
 from bookloom.operators.samples import sample_orders
-from bookloom.operators.versions import mark_improvements, regular_runs
 from bookloom.plans.lives import version_counts
 
 
 def max_versions(
-    events: DataFrame, fraction: float = 1.0, hot: DataFrame | None = None
+    events: DataFrame, fraction: float = 1.0, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Last version number of each regular order (the number of its improvements)."""
-    runs = regular_runs(sample_orders(events, fraction), hot)
-    return union_results(
-        [
-            mark_improvements(run)
-            .rows.groupBy("order_id")
-            .agg(
-                F.max("stock").alias("stock"),
-                F.sum("qualifies").cast("int").alias("max_version"),
-            )
-            for run in runs
-        ]
+    return order_states(sample_orders(events, fraction), piece_rows).select(
+        "order_id", "stock", F.col(IMPROVEMENTS).alias("max_version")
     )
 
 

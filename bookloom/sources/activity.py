@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bookloom import schema as S
 from bookloom.functions.numbers import micros_between
-from bookloom.operators.runs import hot_orders, split_hot
+from bookloom.operators.runs import large_orders, split_large
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -51,8 +51,7 @@ def order_events(activity: DataFrame, hot_order_rows: int | None = None) -> Data
     )
     if hot_order_rows is None:
         return _typed(_opened(rows))
-    hot = hot_orders(rows, hot_order_rows)
-    large, rest = split_hot(rows, hot)
+    large, rest = split_large(rows, large_orders(rows, hot_order_rows))
     return _typed(_opened(rest).unionByName(_opened_hot(large)))
 
 

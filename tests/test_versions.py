@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
-from book import Book
+from book import Book, at
 from pyspark.sql import functions as F
 
 from bookloom.operators import samples
-from bookloom.operators.lifecycle import lifecycle_table
-from bookloom.operators.runs import hot_orders, order_runs
+from bookloom.operators.lifecycle import lifecycle_table, lives, merge_states, order_states
+from bookloom.operators.runs import large_orders, order_runs, piece_borders
 from bookloom.operators.versions import (
     enrich_events,
     order_detail,
@@ -16,6 +18,7 @@ from bookloom.operators.versions import (
     version_summary,
     version_summary_display,
     versioned_events,
+    with_fills,
 )
 from bookloom.plans import repricing, reports
 from bookloom.sources.activity import load_order_events, order_events
@@ -160,32 +163,119 @@ def skewed(spark, sf_dir):
 LIMIT = 40
 
 
-def test_hot_orders_are_cut(skewed):
-    runs = order_runs(skewed, hot=hot_orders(skewed, LIMIT))
-    assert [r.cut for r in runs] == [False, True]
-    sizes = runs[1].rows.groupBy("order_id", "_piece").count()
-    assert runs[1].rows.select("order_id").distinct().count() == 2
-    assert sizes.count() > 5
-    assert sizes.agg(F.max("count")).first()[0] < 200
+WHOLE = 10**9
+
+
+def test_large_orders_are_found(skewed):
+    """The sketch names every order above the limit, the order without id too."""
+    counts = {r.order_id: r["count"] for r in skewed.groupBy("order_id").count().collect()}
+    named = {None if n is None else f"={n}": c for n, c in counts.items() if c > LIMIT}
+    named = {k or "": c for k, c in named.items()}
+    assert "=HOT" in named and "" in named
+    assert {r["_hot"]: r["_rows"] for r in large_orders(skewed, LIMIT).collect()} == named
+    assert large_orders(skewed, WHOLE).isEmpty() and piece_borders(skewed, WHOLE).isEmpty()
+
+
+def test_large_orders_are_cut_evenly(skewed):
+    rows = order_runs(skewed, LIMIT).rows
+    assert rows.where("_cut").select("order_id").distinct().count() == 2
+    assert rows.where("NOT _cut AND _piece <> 0").isEmpty()
+    pieces = rows.where("_cut").groupBy("order_id", "_piece").count().collect()
+    assert len(pieces) > 5 and max(r["count"] for r in pieces) < 3 * LIMIT
+    # Pieces follow one another in time, the rows without one last.
+    hot = {}
+    for r in rows.where("order_id = 'HOT'").collect():
+        late = (r.change_ts is None, r.change_ts, r.entry_ts, r.event_id)
+        hot.setdefault(r["_piece"], []).append(tuple("" if x is None else str(x) for x in late))
+    ends = [edge for p in sorted(hot) for edge in (min(hot[p]), max(hot[p]))]
+    assert ends == sorted(ends)
 
 
 @pytest.mark.parametrize("operator", [versioned_events, enrich_events, version_summary, order_detail])
-def test_hot_orders_give_the_same_rows(skewed, operator):
-    plain = operator(skewed)
-    cut = operator(skewed, hot=hot_orders(skewed, LIMIT))
+@pytest.mark.parametrize("piece_rows", [1, LIMIT])
+def test_cut_orders_give_the_same_rows(skewed, operator, piece_rows):
+    plain, cut = operator(skewed, piece_rows=WHOLE), operator(skewed, piece_rows=piece_rows)
     assert cut.columns == plain.columns
     assert plain.count() > 0 and same(plain, cut)
 
 
-def test_hot_lifecycle(skewed):
-    plain = lifecycle_table(skewed)
-    cut = lifecycle_table(skewed, hot=hot_orders(skewed, LIMIT))
-    assert plain.where("order_id IS NULL").count() == 1 and same(plain, cut)
+def test_nine_rows_in_ten_in_one_order(spark, sf_dir):
+    events = load_order_events(spark, sf_dir).withColumn(
+        "order_id", F.when(F.col("event_id") % 10 != 0, "HOT").otherwise(F.col("order_id"))
+    )
+    for operator in (enrich_events, lifecycle_table, version_summary):
+        assert same(operator(events, piece_rows=WHOLE), operator(events, piece_rows=50))
+    sizes = order_runs(events, 50).rows.groupBy("order_id", "_piece").count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+
+
+def test_ties_without_event_ids_are_cut_too(skewed):
+    events = skewed.drop("event_id")
+    assert same(lifecycle_table(events, piece_rows=WHOLE), lifecycle_table(events, piece_rows=LIMIT))
+    plain, cut = version_summary(events, piece_rows=WHOLE), version_summary(events, piece_rows=LIMIT)
+    assert same(plain, cut)
+
+
+def test_cut_lifecycle(skewed):
+    plain = lifecycle_table(skewed, piece_rows=WHOLE)
+    for by_fill in (False, True):
+        whole = lifecycle_table(skewed, piece_rows=WHOLE, by_fill=by_fill)
+        assert same(whole, lifecycle_table(skewed, piece_rows=LIMIT, by_fill=by_fill))
+    assert plain.where("order_id IS NULL").count() == 1
 
 
-def test_hot_repricing(skewed):
-    plain = repricing.max_versions(skewed)
-    assert same(plain, repricing.max_versions(skewed, hot=hot_orders(skewed, LIMIT)))
+def test_cut_repricing(skewed):
+    plain = repricing.max_versions(skewed, piece_rows=WHOLE)
+    assert same(plain, repricing.max_versions(skewed, piece_rows=LIMIT))
+
+
+def test_cut_fills(skewed):
+    plain = with_fills(skewed, WHOLE)
+    assert same(plain, with_fills(skewed, LIMIT))
+    assert plain.where("fill_lots < 0").isEmpty() and not plain.where("fill_lots > 0").isEmpty()
+
+
+def test_fills_by_hand(spark):
+    book = Book().event("X", 6)
+    for after, left in ((1.0, 70.0), (2.0, 40.0), (3.0, 55.0), (4.0, 0.0)):
+        book.event("X", 3, after, left=left)
+    book.event("X", 3, 5.0, qty=None, left=1.0)
+    frame = book.frame(spark)
+    lots = [r.fill_lots for r in with_fills(frame).where("change_reason = 3").orderBy("event_id").collect()]
+    assert lots == [30.0, 30.0, 0.0, 55.0, None]
+    assert lifecycle_table(frame, by_fill=True).first().traded_lots == 115.0
+    assert lifecycle_table(frame).first().traded_lots == 100.0
+
+
+@pytest.mark.parametrize("parts", [2, 5, 50])
+def test_states_of_stretches_merge(skewed, parts):
+    """Any cut of the events in time order, also one inside every order."""
+    events = skewed.where("change_ts IS NOT NULL")
+    edges = events.select(F.percentile_approx("change_ts", [k / parts for k in range(1, parts)])).first()[0]
+    stretch = sum([(F.col("change_ts") > F.lit(e)).cast("int") for e in edges], F.lit(0))
+    cut = events.withColumn("stretch", stretch)
+    states = order_states(cut, keys=("order_id", "stretch")).drop("stretch")
+    for by_fill in (False, True):
+        assert same(lives(merge_states(states), by_fill=by_fill), lifecycle_table(events, by_fill=by_fill))
+    # Merging is associative: first the early ones, then the rest.
+    early = order_states(cut.where("stretch = 0"))
+    late = order_states(cut.where("stretch > 0"))
+    both = merge_states(early.unionByName(late))
+    assert same(lives(both), lifecycle_table(events))
+
+
+def test_ids_used_again(spark):
+    book = Book()
+    for day in (0, 1):
+        born = at("10:00") + timedelta(days=day)
+        book.event("X", 6, born=born, price=10.0 + 5 * day)
+        book.event("X", 5, 1.0, born=born, price=20.0)
+    frame = book.frame(spark).withColumn("entry_day", F.to_date("entry_ts"))
+    by_id = enrich_events(frame).orderBy("event_id").collect()
+    assert [r.sub_order_number for r in by_id] == [0, 1, 1, 2]
+    by_day = enrich_events(frame, keys=("order_id", "entry_day")).orderBy("event_id").collect()
+    assert [r.composite_id for r in by_day] == [f"X_2026-05-0{d}_{n}" for d in (6, 7) for n in (0, 1)]
+    assert lifecycle_table(frame, keys=("order_id", "entry_day")).count() == 2
 
 
 def test_hot_activity_gives_the_same_events(spark, sf_dir):
@@ -203,21 +293,12 @@ def test_hot_activity_gives_the_same_events(spark, sf_dir):
     assert same(plain, split)
 
 
-def test_no_hot_orders_named_no_cut(skewed):
-    assert [r.cut for r in order_runs(skewed)] == [False]
-
-
-def test_a_list_without_orders_changes_nothing(skewed):
-    none = hot_orders(skewed, 10**9)
-    assert same(versioned_events(skewed), versioned_events(skewed, hot=none))
-
-
 def test_nothing_runs_while_plans_are_built(spark, sf_dir):
     from bookloom import catalog
 
     context = spark.sparkContext
     for name, query in catalog.queries().items():
-        if name.endswith("_cut"):
+        if name.startswith("sink_"):  # they write first
             continue
         context.setJobGroup(f"build {name}", name)
         query(spark, sf_dir)
@@ -226,12 +307,15 @@ def test_nothing_runs_while_plans_are_built(spark, sf_dir):
 
 
 def test_one_shuffle_for_versions_and_lives(spark, tmp_path, sf_dir):
+    """Without large orders nothing is left of what would deal with them."""
     path = str(tmp_path / "events")
     load_order_events(spark, sf_dir).write.parquet(path)
-    operators = (lifecycle_table, enrich_events, version_summary)
-    tables = (spark.read.parquet(path), load_order_events(spark, sf_dir))
-    for frame in [operator(table) for operator in operators for table in tables]:
+    for operator in (lifecycle_table, enrich_events, version_summary):
+        frame = operator(spark.read.parquet(path))
+        frame.collect()
         plan = frame._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == 1
+        assert "isFinalPlan=true" in plan
+        final = plan[: plan.index("== Initial Plan ==")]
+        assert final.count("Exchange hashpartitioning") == 1
+        assert "Join" not in final and "SinglePartition" not in final
         assert "Python" not in plan and "Arrow" not in plan
-        assert "SinglePartition" not in plan
