@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
+from bookloom.functions.keys import SLOTS, key_slot, order_hash
 from bookloom.functions.numbers import round_to
 
+# Column of a stored table that its folders are named by.
+SLOT = "key_slot"
+
 
 def one_in(fraction: float) -> int:
     return max(1, round(1.0 / fraction))
@@ -17,23 +23,45 @@ def sample_orders(events: DataFrame, fraction: float) -> DataFrame:
     """About this fraction of the orders, each with all its events.
 
     The choice depends on the order id alone, so it is the same in every run
-    and every table.
+    and every table. From a stored table only the folders are read that can hold
+    chosen orders: one in a hundred for a sample of 1 %.
     """
     n = one_in(fraction)
     if n == 1:
         return events
-    return events.where(f"cast(conv(left(md5(order_id), 8), 16, 10) AS bigint) % {n} = 0")
+    chosen = order_hash("order_id") % n == 0
+    if SLOT in events.columns:
+        chosen &= F.col(SLOT) % gcd(n, SLOTS) == 0
+    return events.where(chosen)
 
 
 def lookup_order(events: DataFrame, order_id: str) -> DataFrame:
-    """Events of one order; the filter reaches the scan."""
-    return events.where(F.col("order_id") == order_id)
+    """Events of one order; the filter reaches the scan.
+
+    Of a stored table it names the folder, and the files' bloom filters on the id spare
+    most of their row groups.
+    """
+    wanted = F.col("order_id") == order_id
+    if SLOT in events.columns:
+        wanted &= F.col(SLOT) == key_slot(F.lit(order_id))
+    return events.where(wanted)
+
+
+def _keyed(orders: DataFrame, events: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Chosen orders with the columns to join the events by.
+
+    With the slot among them, the folders of a stored table are pruned by the chosen
+    orders while the query runs.
+    """
+    if SLOT not in events.columns:
+        return orders, ["order_id"]
+    return orders.withColumn(SLOT, key_slot("order_id")), ["order_id", SLOT]
 
 
 def events_of(events: DataFrame, orders: DataFrame) -> DataFrame:
     """Events whose order_id is listed; the ids stay in Spark."""
-    listed = orders.select("order_id")
-    return events.join(listed, "order_id", "left_semi").select(*events.columns)
+    listed, keys = _keyed(orders.select("order_id"), events)
+    return events.join(listed, keys, "left_semi").select(*events.columns)
 
 
 def modified_orders(events: DataFrame, min_replacements: int = 3, n: int = 5) -> DataFrame:
@@ -106,10 +134,10 @@ def sample_lives(lives: DataFrame, n: int = 3) -> DataFrame:
 
 def sample_raw_events(events: DataFrame, samples: DataFrame) -> DataFrame:
     """Events of the sampled orders (a row per group an order was picked for)."""
-    picked = samples.select("sample", "order_id")
+    picked, keys = _keyed(samples.select("sample", "order_id"), events)
     return (
         events.where(E.is_regular())
-        .join(picked, "order_id")
+        .join(picked, keys)
         .select(
             "sample",
             "order_id",

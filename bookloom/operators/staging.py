@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a
-    local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +20,10 @@ def stage(frame: DataFrame) -> DataFrame:
         if folder is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stage(frame: DataFrame) -> DataFrame:
+    """Write the frame to the checkpoint folder and go on from there."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom import schema as S
-from bookloom.operators.runs import HOT_ORDER_ROWS, hot_orders
+from bookloom.functions.keys import key_slot
+from bookloom.operators.runs import PIECE_ROWS, event_order, large_orders, split_large
+from bookloom.operators.samples import SLOT
 
 
 def read_raw_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -105,53 +109,138 @@ def read_events(
     return typed_events(read_raw_events(spark, path), time_format)
 
 
-def write_event_table(events: DataFrame, path: str, hot_order_rows: int = HOT_ORDER_ROWS) -> None:
-    """One-time Parquet copy, one folder per day of the event.
+def read_audited_events(
+    spark: SparkSession, path: str | list[str], time_format: str | None = None
+) -> DataFrame:
+    """All lines of raw files as typed events, rejected ones too.
 
-    Orders with more rows than ``hot_order_rows`` are listed next to it
-    (``read_hot_orders``), so that no question has to look for them.
+    A line with too few or too many fields is whole in ``_rejected`` and has no values.
+    """
+    names = read_raw_events(spark, path).columns
+    kinds = ", ".join(f"`{c}` STRING" for c in [*names, REJECTED])
+    raw = (
+        spark.read.schema(kinds)
+        .option("sep", ";")
+        .option("header", True)
+        .option("encoding", "UTF-8")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", REJECTED)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    good = F.col(REJECTED).isNull()
+    kept = [F.when(good, _raw(c)).alias(c) for c in names]
+    return typed_events(raw.select(*kept, REJECTED), time_format)
 
-    The rebalance hint brings the rows of a day together for large files, and
-    lets adaptive execution split a day that is far larger than the others.
+
+# Folders of a table: its events, and the lines that were rejected when it was made.
+STATE, GOOD, BAD = "state", "event", "rejected"
+DAY = "trade_date"
+
+
+def ingest_events(
+    spark: SparkSession, path: str | list[str], table: str, time_format: str | None = None
+) -> dict[str, int]:
+    """Read raw files once into an event table; returns what reading lost.
+
+    Counts are observed while the table is written: lines (``lines``), rejected lines
+    (``_rejected``) and, per column, texts that could not be read. Rejected lines are kept
+    in a folder of the table, see ``read_rejected``.
     """
+    events = read_audited_events(spark, path, time_format)
+    names = {**S.TIME_COLUMNS, **S.NUMBER_COLUMNS, **S.CODE_COLUMNS}
+    lost = Observation("ingest")
+    watched = events.observe(
+        lost,
+        F.count(F.lit(1)).alias("lines"),
+        F.count(REJECTED).alias(REJECTED),
+        *[
+            F.count_if((F.length(F.trim(_raw(r))) > 0) & F.col(c).isNull()).alias(c)
+            for r, c in names.items()
+        ],
+    )
+    write_event_table(watched, table)
+    return lost.get
+
+
+def write_event_table(events: DataFrame, path: str) -> None:
+    """One-time Parquet copy, in folders by day of the event and by a hash of the order id.
+
+    A question about one day, one order or a sample of the orders reads only their
+    folders; files have a bloom filter on the order id. Events read with
+    ``read_audited_events`` leave their rejected lines in a folder beside the events.
+
+    The rebalance hint brings the rows of a folder together for large files, and
+    lets adaptive execution split one that is far larger than the others.
+    """
+    rejected = F.col(REJECTED).isNotNull() if REJECTED in events.columns else F.lit(False)
+    folders = (STATE, DAY, SLOT)
     (
-        events.withColumn("trade_date", F.to_date("change_ts"))
-        .hint("rebalance", "trade_date")
-        .write.partitionBy("trade_date")
+        events.withColumn(STATE, F.when(rejected, BAD).otherwise(GOOD))
+        .withColumn(DAY, F.to_date("change_ts"))
+        .withColumn(SLOT, key_slot("order_id"))
+        .hint("rebalance", *folders)
+        .write.partitionBy(*folders)
+        .option("parquet.bloom.filter.enabled#order_id", "true")
         .mode("errorifexists")
         .parquet(path)
     )
-    copied = read_event_table(events.sparkSession, path)
-    hot_orders(copied, hot_order_rows).write.mode("errorifexists").parquet(_hot_path(path))
 
 
-def _hot_path(path: str) -> str:
-    return f"{path.rstrip('/')}_hot_orders"
+def _state(spark: SparkSession, path: str, state: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col(STATE) == state).drop(STATE)
+
+
+def read_event_table(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a table, with ``trade_date`` and ``key_slot``."""
+    return _state(spark, path, GOOD).drop(REJECTED)
 
 
-def read_hot_orders(spark: SparkSession, path: str) -> DataFrame | None:
-    """Orders of an event table that are too large for one task; None if there are none."""
-    hot = spark.read.parquet(_hot_path(path))
-    return None if hot.isEmpty() else hot
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The rejected lines of a table (``_rejected``); none if they were not kept."""
+    table = _state(spark, path, BAD)
+    return table.select(REJECTED) if REJECTED in table.columns else table.select().limit(0)
 
 
 def save_event_table(
-    events: DataFrame, name: str, buckets: int, path: str | None = None
+    events: DataFrame,
+    name: str,
+    buckets: int,
+    path: str | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> None:
-    """The copy as a table of the session's catalog, bucketed and sorted by order.
+    """The copy as tables of the session's catalog, bucketed and sorted by order.
 
     Questions on orders then need no shuffle of the events. Choose the number of
-    buckets so that one holds a few hundred MB.
+    buckets so that one holds a few hundred MB. Orders of more than ``piece_rows``
+    events would fill a bucket of their own; they go to a table beside it
+    (``<name>_large``), in pieces by time. See ``by_table``.
     """
-    writer = (
-        events.withColumn("trade_date", F.to_date("change_ts"))
-        .repartition(buckets, "order_id")
-        .write.bucketBy(buckets, "order_id")
-        .sortBy("order_id")
-        .mode("errorifexists")
-    )
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    dated = events.withColumn(DAY, F.to_date("change_ts"))
+    large, rest = split_large(dated, large_orders(dated, piece_rows))
 
+    def write(frame: DataFrame, suffix: str, bucketed: bool) -> None:
+        writer = frame.write.mode("errorifexists")
+        if bucketed:
+            writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
+        if path:
+            writer = writer.option("path", f"{path.rstrip('/')}{suffix}")
+        writer.saveAsTable(f"{name}{suffix}")
 
-def read_event_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    write(rest.repartition(buckets, "order_id"), "", True)
+    in_time = [F.col("order_id"), *event_order(large)]
+    write(large.repartitionByRange(*in_time).sortWithinPartitions(*in_time), LARGE, False)
+
+
+LARGE = "_large"
+
+
+def by_table(
+    spark: SparkSession, name: str, question: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """A question on orders asked of a saved table: of its buckets and of its large orders.
+
+    Right for questions that deal with each order by itself.
+    """
+    ordinary, large = (spark.table(f"{name}{suffix}") for suffix in ("", LARGE))
+    return question(ordinary).unionByName(question(large))
