@@ -16,22 +16,56 @@ from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to
 from bookloom.functions.sessions import broad_session, session_window
 from bookloom.operators import samples, versions
-from bookloom.operators.lifecycle import lifecycle_table
+from bookloom.operators.lifecycle import lifecycle_table, lives as lives_of, merge_states, order_states
 from bookloom.operators.ranks import largest
-from bookloom.operators.runs import hot_orders
+from bookloom.operators.staging import shared_folder
 from bookloom.plans import lives, overview, repricing
 from bookloom.sources.activity import load_order_events, raw_lines, raw_text
 from bookloom.sources.order_files import REJECTED, parse_lines, scan_losses, typed_events
+from bookloom.sources.sinks import finish_run, read_run, run_folder, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Additive tables: the plan, its sums and its percentages.
+ADDITIVE: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...], tuple[str, ...]]] = {
+    "q01_new_orders": (overview.new_order_totals, ("total_lots", "total_tl"), ()),
+    "q02_buy_sell": (
+        overview.buy_sell,
+        ("total_lots", "total_tl"),
+        ("pct_count", "pct_lots", "pct_tl"),
+    ),
+    "q03_top_stocks": (overview.top_stocks, ("lots", "tl"), ("pct_lots", "pct_tl")),
+    "q04_windows": (
+        overview.window_volumes,
+        ("total_lots", "total_tl"),
+        ("pct_count", "pct_tl"),
+    ),
+    "q05_order_types": (
+        overview.order_types,
+        (),
+        ("limit_pct_count", "limit_pct_lots", "iceberg_pct_count", "iceberg_pct_lots"),
+    ),
+    "q06_window_counts": (overview.window_counts, (), ()),
+    "q07_cancellations": (overview.cancel_totals, ("cancelled_lots", "cancelled_tl"), ()),
+    "q07b_expiry_breakdown": (overview.expiry_breakdown, ("lots", "tl"), ()),
+    "q08_cancel_windows": (overview.cancel_windows, ("cancelled_lots", "cancelled_tl"), ()),
+    "q09_ratio": (overview.cancel_to_trade, ("cancelled_lots", "traded_lots"), ()),
+    "q10_cancel_rate": (
+        overview.cancel_rate,
+        ("new_lots", "new_tl", "cancel_lots", "cancel_tl"),
+        ("pct_lots", "pct_tl"),
+    ),
+    "q13_concentration": (overview.concentration, (), ()),
+    "q14_avg_lots": (overview.average_lots, ("avg_lots_per_order", "total_lots"), ()),
+}
+
 SUM_PLACES = 3
 PCT_PLACES = 6
 # Rows of the printed version tables; the full tables are registered as well.
 FIRST_ROWS = 15
 # An order of the test table, looked up by its id.
 KNOWN_ORDER = "O7-2024-01-05"
-# Events of an order above which the split path is exercised.
+# Rows of a piece that cut even small orders.
 CUT_ABOVE = 3
 
 
@@ -76,8 +110,8 @@ def _parsed(events: DataFrame) -> DataFrame:
 
 
 def _on_cut(plan: Callable[..., DataFrame]) -> Query:
-    """The plan with every order of more than a few events cut into pieces."""
-    return _on_events(lambda ev: plan(ev, hot=hot_orders(ev, CUT_ABOVE)))
+    """The same plan with every order of more than a few events cut into pieces."""
+    return _on_events(lambda ev: plan(ev, piece_rows=CUT_ABOVE))
 
 
 def _longest_order(events: DataFrame) -> DataFrame:
@@ -86,6 +120,46 @@ def _longest_order(events: DataFrame) -> DataFrame:
     return versions.order_detail(samples.events_of(events, largest(counts, "n", "order_id")))
 
 
+def _reused_ids(events: DataFrame) -> DataFrame:
+    """The events with ids that are used again on another day."""
+    return events.withColumn("order_id", F.substring_index("order_id", "-", 1))
+
+
+def _enriched_by_day(events: DataFrame) -> DataFrame:
+    """Versions of orders told apart by id and day of entry."""
+    dated = _reused_ids(events).withColumn("entry_day", F.to_date("entry_ts"))
+    return versions.enrich_events(
+        dated, keep=list(events.columns), keys=("order_id", "entry_day")
+    )
+
+
+def _merged_lives(events: DataFrame) -> DataFrame:
+    """Lives of orders of many days, from a state per order and day."""
+    dated = _reused_ids(events).withColumn("day", F.to_date("change_ts"))
+    return lives_of(merge_states(order_states(dated, keys=("order_id", "day")).drop("day")))
+
+
+def _through_sink(plan: Callable[[DataFrame], DataFrame], fmt: str) -> Query:
+    """The plan's rows, written as a run in the shared folder and read back from there."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = run_folder(f"{shared_folder(spark)}/sinks")
+        write_results({"result": plan(load_order_events(spark, sf_dir))}, folder, fmt)
+        finish_run(spark, folder, {"format": fmt})
+        return read_run(spark, folder, verify=True)["result"]
+
+    return query
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every additive table in long form, from one pass over the events."""
+    cube = overview.fact_cube(load_order_events(spark, sf_dir))
+    tables = {
+        name: settle(plan(cube), *sums, pct=pct) for name, (plan, sums, pct) in ADDITIVE.items()
+    }
+    return overview.long_form(tables)
+
+
 def _sample_with_events(events: DataFrame) -> DataFrame:
     return samples.sample_raw_events(events, samples.sample_lives(lifecycle_table(events, False)))
 
@@ -116,15 +190,14 @@ def queries() -> dict[str, Query]:
             )
         ),
         # Market overview
-        "q01_new_orders": _on_facts(o.new_order_totals, "total_lots", "total_tl"),
-        "q02_buy_sell": _on_facts(
-            o.buy_sell, "total_lots", "total_tl", pct=("pct_count", "pct_lots", "pct_tl")
+        **{name: _on_facts(plan, *sums, pct=pct) for name, (plan, sums, pct) in ADDITIVE.items()},
+        "overview_report": _report,
+        "q09_ratio_by_fill": _on_events(
+            lambda ev: settle(
+                o.cancel_to_trade(o.facts(ev, by_fill=True)), "cancelled_lots", "traded_lots"
+            )
         ),
-        "q03_top_stocks": _on_facts(o.top_stocks, "lots", "tl", pct=("pct_lots", "pct_tl")),
         "q03_top10_share": _on_facts(o.top_stocks_share, pct=("top_pct_lots", "top_pct_tl")),
-        "q04_windows": _on_facts(
-            o.window_volumes, "total_lots", "total_tl", pct=("pct_count", "pct_tl")
-        ),
         "q04_windows_by_day": _on_events(
             lambda ev: settle(
                 o.window_volumes(overview.facts(ev, by_day=True)),
@@ -138,38 +211,24 @@ def queries() -> dict[str, Query]:
             lambda ev: settle(o.rolling_intensity(ev), "rolling_lots", "rolling_tl")
         ),
         "q04b_peak": _on_events(lambda ev: settle(o.rolling_peak(ev), "rolling_lots")),
-        "q05_order_types": _on_facts(
-            o.order_types,
-            pct=("limit_pct_count", "limit_pct_lots", "iceberg_pct_count", "iceberg_pct_lots"),
-        ),
-        "q06_window_counts": _on_facts(o.window_counts),
         "q06_ratio": _on_facts(o.busiest_to_calmest),
-        "q07_cancellations": _on_facts(o.cancel_totals, "cancelled_lots", "cancelled_tl"),
-        "q07b_expiry_breakdown": _on_facts(o.expiry_breakdown, "lots", "tl"),
-        "q08_cancel_windows": _on_facts(o.cancel_windows, "cancelled_lots", "cancelled_tl"),
         "q08_peak": _on_facts(o.cancel_peak),
-        "q09_ratio": _on_facts(o.cancel_to_trade, "cancelled_lots", "traded_lots"),
         "q09_top10": _on_facts(o.cancel_to_trade_top, "cancelled_lots", "traded_lots"),
         "q09_bottom10": _on_facts(o.cancel_to_trade_bottom, "cancelled_lots", "traded_lots"),
-        "q10_cancel_rate": _on_facts(
-            o.cancel_rate,
-            "new_lots",
-            "new_tl",
-            "cancel_lots",
-            "cancel_tl",
-            pct=("pct_lots", "pct_tl"),
-        ),
         "q11_overlap": _on_facts(o.volume_overlap),
         "q11_overlap_lists": _on_facts(
             lambda f: o.volume_overlap_lists(f).withColumn("stocks", F.array_join("stocks", ","))
         ),
         "q12_peak_windows": _on_facts(o.peak_windows, "peak_order_tl", "peak_trade_tl"),
-        "q13_concentration": _on_facts(o.concentration),
-        "q14_avg_lots": _on_facts(o.average_lots, "avg_lots_per_order", "total_lots"),
         "q14_peak": _on_facts(o.average_lots_peak, "avg_lots_per_order"),
         "q15_order_size": _on_events(
             lambda ev: settle(o.order_size(ev), "avg_order_tl", "median_order_tl")
         ),
+        "q15_order_size_approx": _on_events(
+            lambda ev: settle(
+                o.order_size(ev, approximate=True), "avg_order_tl", "median_order_tl"
+            )
+        ),
         "q15_chart": _on_events(
             lambda ev: settle(
                 o.order_size_chart(o.order_size(ev)), "avg_order_tl", "median_order_tl"
@@ -193,6 +252,9 @@ def queries() -> dict[str, Query]:
             )
         ),
         "enrich_events": _on_events(versions.enrich_events),
+        "enrich_events_by_day_key": _on_events(_enriched_by_day),
+        "sink_parquet_roundtrip": _through_sink(versions.enrich_events, "parquet"),
+        "sink_csv_roundtrip": _through_sink(versions.order_detail, "csv"),
         "order_detail": _on_events(versions.order_detail),
         "order_detail_header": _on_events(
             lambda ev: versions.order_detail_header(versions.order_detail(ev))
@@ -225,6 +287,8 @@ def queries() -> dict[str, Query]:
         "sample_orders_raw_events": _on_events(_sample_with_events),
         # Order lives
         "lifecycle_table": _on_events(lifecycle_table),
+        "lifecycle_table_by_fill": _on_events(lambda ev: lifecycle_table(ev, by_fill=True)),
+        "lifecycle_merged": _on_events(_merged_lives),
         "lifecycle_summary": _on_lives(lf.lifecycle_summary),
         "flag_distribution": _on_lives(lf.flag_distribution),
         "l1_lifetime_buckets": _on_lives(lf.lifetime_buckets),

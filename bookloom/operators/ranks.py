@@ -33,66 +33,67 @@ def value_slot(x: Column) -> Column:
     return F.when(F.isnan(x), LAST_SLOT).otherwise((F.signum(x) * bounded).cast("bigint"))
 
 
-def value_counts(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Columns ``by``, ``value`` and ``times``: how often each non-NULL value occurs."""
-    return (
-        frame.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.count("*").alias("times"))
-    )
-
+SLOT = "_slot"
+IN_SLOT = "_in_slot"
 
-def exact_median(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Columns ``by`` plus ``median`` of the non-NULL values of each group."""
-    return median_of_counts(value_counts(frame, value, by), by)
-
-
-def median_of_counts(
-    counts: DataFrame, by: Sequence[str] = (), few_groups: bool | None = None
-) -> DataFrame:
-    """Median of counted values; with an even number, the mean of the two in the middle.
 
-    ``few_groups`` promises that ``by`` has a fixed handful of values (without
-    ``by`` there is one group): the middle slots then travel to the counts.
+def slotted(frame: DataFrame, value: str, by: Sequence[str], *more: Column) -> DataFrame:
+    """Per group and slot of the non-NULL values their number, and further aggregates.
 
-    The slot that holds the middle is found from the slot counts, and only its
-    distinct values are sorted.
+    Rows are combined before the shuffle, so what is shuffled is a few thousand rows
+    per group and task, however many values there are.
     """
-    by = list(by)
-    few_groups = not by if few_groups is None else few_groups
-    counted = counts.select(
-        *by,
-        F.col("value").alias("_v"),
-        F.col("times").alias("_n"),
-        value_slot(F.col("value")).alias("_slot"),
+    return (
+        frame.groupBy(*by, value_slot(F.col(value)).alias(SLOT))
+        .agg(F.count(value).alias(IN_SLOT), *more)
     )
-    up = Window.partitionBy(*by).orderBy("_slot")
-    middle = (
-        counted.groupBy(*by, "_slot")
-        .agg(F.sum("_n").alias("_in_slot"))
+
+
+def _middle(slots: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The one or two slots of each group that hold its middle, and the ranks wanted."""
+    up = Window.partitionBy(*by).orderBy(SLOT)
+    return (
+        slots.where(F.col(SLOT).isNotNull())
         .select(
             *by,
-            "_slot",
-            (F.sum("_in_slot").over(up) - F.col("_in_slot")).alias("_below"),
-            "_in_slot",
-            F.sum("_in_slot").over(Window.partitionBy(*by)).alias("_all"),
+            SLOT,
+            (F.sum(IN_SLOT).over(up) - F.col(IN_SLOT)).alias("_below"),
+            IN_SLOT,
+            F.sum(IN_SLOT).over(Window.partitionBy(*by)).alias("_all"),
         )
         .withColumn("_low", F.floor((F.col("_all") - 1) / 2))
         .withColumn("_high", F.floor(F.col("_all") / 2))
-        .where("_below <= _high and _below + _in_slot > _low")
-        .select(*by, "_slot", "_below", "_low", "_high")
+        .where(f"_below <= _high and _below + {IN_SLOT} > _low")
+        .select(*by, SLOT, "_below", "_low", "_high")
     )
-    if few_groups:
-        middle = F.broadcast(middle)  # one or two rows per group
-    inside = Window.partitionBy(*by, "_slot").orderBy("_v")
-    keys = [*by, "_slot"]
-    narrowed = counted.alias("c").join(
-        middle.alias("m"),
-        [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys],
+
+
+def exact_median(
+    frame: DataFrame, value: str, by: Sequence[str] = (), slots: DataFrame | None = None
+) -> DataFrame:
+    """Columns ``by`` plus ``median`` of the non-NULL values of each group.
+
+    With an even number, the mean of the two in the middle. Radix selection: the
+    numbers of values per slot (``slots``, if they were counted already) tell which slot
+    holds the middle; a second look at the frame shuffles only that slot's values.
+    ``by`` must have a bounded number of groups, as the wanted slots are broadcast.
+    """
+    by = list(by)
+    middle = _middle(slotted(frame, value, by) if slots is None else slots, by)
+    values = frame.select(
+        *by, F.col(value).alias("_v"), value_slot(F.col(value)).alias(SLOT)
+    ).alias("f")
+    keys = [*by, SLOT]
+    narrowed = values.join(
+        F.broadcast(middle).alias("m"),
+        [F.col(f"f.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys],
     )
-    ranked = narrowed.select(
-        *[F.col(f"c.{k}").alias(k) for k in keys], "_v", "_n", "_below", "_low", "_high"
-    ).withColumn("_upto", F.col("_below") + F.sum("_n").over(inside))
+    wanted = ["_below", "_low", "_high"]
+    counted = narrowed.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], "_v", *wanted).agg(
+        F.count("*").alias("_n")
+    )
+    inside = Window.partitionBy(*keys).orderBy("_v")
+    ranked = counted.withColumn("_upto", F.col("_below") + F.sum("_n").over(inside))
 
     def at(rank: str) -> Column:
         holds = (F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_n") <= F.col(rank))
@@ -101,6 +102,15 @@ def median_of_counts(
     return ranked.groupBy(*by).agg(((at("_low") + at("_high")) / 2).alias("median"))
 
 
+# One over the largest error in rank, as a share of the rows, of an approximate median.
+ACCURACY = 10_000
+
+
+def approximate_median(value: str, accuracy: int = ACCURACY) -> Column:
+    """A value within 1 / ``accuracy`` of the middle rank, from mergeable sketches: one pass."""
+    return F.percentile_approx(value, 0.5, accuracy)
+
+
 def total_before(frame: DataFrame, value: str, tie: str) -> DataFrame:
     """Add ``total_before``: the sum of all larger values (ties in order of ``tie``).
 

@@ -76,6 +76,23 @@ numbered AS (
 """
 )
 
+# Orders whose ids come again on other days.
+REUSED = """
+reused AS (
+  SELECT * REPLACE (split_part(order_id, '-', 1) AS order_id), CAST(entry_ts AS DATE) AS entry_day FROM reg
+)
+"""
+
+# Lots of single fills: an order's totals after each, less the total before.
+FILLED = """
+filled AS (
+  SELECT *, greatest(total - coalesce(lag(total) OVER (PARTITION BY order_id
+                                       ORDER BY change_ts, entry_ts, event_id), 0e0), 0e0) AS fill_lots
+  FROM (SELECT *, qty - remaining AS total FROM reg WHERE change_reason = 3)
+  WHERE total IS NOT NULL
+)
+"""
+
 LIVES = (
     MARKED
     + f""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.oracle.base import LIVES, query, window
+from bookloom.oracle.base import FILLED, LIVES, REUSED, query, window
 
 
 def shares(label: str, name: str, lots: str = "total_lots") -> str:
@@ -227,3 +227,18 @@ FROM lives GROUP BY versions_created
 }
 # Cutting large orders changes how rows are shared out, not the result.
 SQL["lifecycle_table_cut"] = SQL["lifecycle_table"]
+TABLE = """
+SELECT order_id, stock, side, born_ts, last_event_ts, first_fill_ts, original_qty, event_count,
+       ever_traded, ever_cancelled, ever_expired, {traded} AS traded_lots, lifetime_seconds,
+       time_to_first_fill_seconds, n_modifications, n_qualifying_improvements
+FROM lives
+"""
+SQL["lifecycle_merged"] = query(
+    TABLE.format(traded="traded_lots"), REUSED, LIVES.replace("FROM reg", "FROM reused")
+)
+SQL["lifecycle_table_by_fill"] = query(
+    TABLE.format(traded="coalesce(filled, 0e0)")
+    + "LEFT JOIN (SELECT order_id, sum(fill_lots) AS filled FROM filled GROUP BY order_id) USING (order_id)",
+    LIVES,
+    FILLED,
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.oracle.base import CANCELS, broad, query, window
+from bookloom.oracle.base import CANCELS, FILLED, broad, query, window
 
 NEW = f"""
 fresh AS (
@@ -401,3 +401,58 @@ FROM big WHERE time_window = 'Z_CLOSING'
         LARGEST,
     ),
 }
+
+SQL["q15_order_size_approx"] = query(
+    "SELECT * FROM sizes", NEW, SIZES.replace("median(order_tl)", "quantile_disc(order_tl, 0.5)")
+)
+SQL["q09_ratio_by_fill"] = query(
+    f"""
+SELECT stock, round(cancelled_lots, 3) AS cancelled_lots, round(traded_lots, 3) AS traded_lots,
+       round(cancelled_lots / traded_lots, 4) AS cancel_to_trade_ratio
+FROM (SELECT stock, coalesce(sum(remaining) FILTER (change_reason IN ({CANCELS})), 0e0) AS cancelled_lots
+      FROM reg GROUP BY stock)
+JOIN (SELECT stock, sum(fill_lots) AS traded_lots FROM filled GROUP BY stock) USING (stock)
+WHERE traded_lots > 0
+""",
+    FILLED,
+)
+
+
+def _long(name: str, labels: str, measures: str) -> str:
+    """The rows of a query, one per label and measure."""
+    listed = measures.split()
+    columns = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in listed)
+    label = f"coalesce({labels}, '')" if labels else "''"
+    return (
+        f"SELECT '{name}' AS question, label, measure, value "
+        f"FROM (SELECT {label} AS label, {columns} FROM ({SQL[name]})) "
+        f"UNPIVOT INCLUDE NULLS (value FOR measure IN ({', '.join(listed)}))"
+    )
+
+
+# The tables of the report with their labels and measures.
+REPORT = (
+    ("q01_new_orders", "", "new_order_count total_lots total_tl"),
+    ("q02_buy_sell", "side", "count total_lots total_tl pct_count pct_lots pct_tl"),
+    ("q03_top_stocks", "stock", "lots tl pct_lots pct_tl"),
+    ("q04_windows", "time_window", "order_count pct_count total_lots total_tl pct_tl"),
+    (
+        "q05_order_types",
+        "",
+        "total_new total_lots limit_count limit_pct_count limit_lots limit_pct_lots "
+        "iceberg_count iceberg_pct_count iceberg_lots iceberg_pct_lots",
+    ),
+    ("q06_window_counts", "time_window", "order_count"),
+    ("q07_cancellations", "", "cancelled_events cancelled_lots cancelled_tl"),
+    ("q07b_expiry_breakdown", "cancel_type", "events lots tl"),
+    ("q08_cancel_windows", "time_window", "cancelled_count cancelled_lots cancelled_tl"),
+    ("q09_ratio", "stock", "cancelled_lots traded_lots cancel_to_trade_ratio"),
+    ("q10_cancel_rate", "", "new_lots new_tl cancel_lots cancel_tl pct_lots pct_tl"),
+    (
+        "q13_concentration",
+        "",
+        "total_stocks stocks_for_50pct stocks_for_80pct stocks_for_50pct_exact stocks_for_80pct_exact",
+    ),
+    ("q14_avg_lots", "time_window", "order_count avg_lots_per_order total_lots"),
+)
+SQL["overview_report"] = "\nUNION ALL\n".join(_long(*table) for table in REPORT)

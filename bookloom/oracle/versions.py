@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.oracle.base import LIVES, NUMBERED, query
+from bookloom.oracle.base import LIVES, NUMBERED, REUSED, query
 
 EV = (
     "event_id, order_id, stock, side, session, entry_ts, change_ts, qty, remaining, "
@@ -210,3 +210,12 @@ FROM reg JOIN (SELECT sample, order_id FROM picks) USING (order_id)
 SQL |= {
     f"{name}_cut": SQL[name] for name in ("enrich_events", "order_detail", "version_summary")
 }
+SQL["sink_parquet_roundtrip"] = SQL["enrich_events"]
+SQL["sink_csv_roundtrip"] = SQL["order_detail"]
+SQL["enrich_events_by_day_key"] = query(
+    f"SELECT {EV}, sub_order_number, composite_id FROM numbered",
+    REUSED,
+    NUMBERED.replace("FROM reg", "FROM reused")
+    .replace("PARTITION BY order_id", "PARTITION BY order_id, entry_day")
+    .replace("concat(order_id, '_', sub", "concat(order_id, '_', entry_day, '_', sub"),
+)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bookloom.functions import lives as L
 from bookloom.functions.numbers import ratio, round_to, share
 from bookloom.functions.sessions import session_window
-from bookloom.operators.ranks import largest, median_of_counts
+from bookloom.operators.ranks import exact_median, largest, slotted
 
 
 def _pct(part: Column, whole: Column, places: int = 2) -> Column:
@@ -20,27 +20,21 @@ def _pct_of_all(column: str) -> Column:
     return _pct(F.col(column), F.sum(column).over(Window.partitionBy()))
 
 
-def _counted(lives: DataFrame, *keys: Column) -> DataFrame:
-    """Orders per lifetime (``value``) and further keys (``times``).
+LIFETIME = "lifetime_seconds"
 
-    Totals and the median are both taken from this frame. What they don't need is
-    a key here, so it stays in the shuffled rows, and both read the same shuffle:
-    the orders are folded once.
-    """
-    return lives.groupBy(F.col("lifetime_seconds").alias("value"), *keys).agg(
-        F.count("*").alias("times")
-    )
+
+def _mean_lifetime() -> Column:
+    return ratio(F.sum("_seconds"), F.sum("_in_slot"))
 
 
-def _median_lifetime(counted: DataFrame) -> Column:
-    """Exact median lifetime, as a scalar subquery."""
-    counts = counted.where(F.col("value").isNotNull())
-    return median_of_counts(counts.groupBy("value").agg(F.sum("times").alias("times"))).scalar()
+def _slots(lives: DataFrame, *more: Column) -> DataFrame:
+    """Orders per slot of the lifetime, with sums; the median starts from them."""
+    return slotted(lives, LIFETIME, [], F.sum(LIFETIME).alias("_seconds"), *more)
 
 
-def _mean_lifetime() -> Column:
-    known = F.when(F.col("value").isNotNull(), F.col("times"))
-    return ratio(F.sum(F.col("value") * F.col("times")), F.sum(known))
+def _median_lifetime(lives: DataFrame, slots: DataFrame) -> Column:
+    """Exact median lifetime, as a scalar subquery."""
+    return exact_median(lives, LIFETIME, slots=slots).scalar()
 
 
 # Checks
@@ -53,37 +47,28 @@ def lifecycle_summary(lives: DataFrame) -> DataFrame:
     flags = ["ever_traded", "ever_cancelled", "ever_expired"]
     odd = {
         "n_no_terminal_event": open_ended,
+        "sanity_neg_lifetime": F.col(LIFETIME) < 0,
         "sanity_neg_fill_lag": F.expr("time_to_first_fill_seconds < 0"),
         "sanity_overfilled": overfilled,
     }
-    counted = _counted(
-        lives, *[F.col(c) for c in flags], "event_count", *[c.alias(n) for n, c in odd.items()]
-    )
-    times = F.col("times")
-
-    def orders(condition: Column) -> Column:
-        return F.sum(F.when(condition, times).otherwise(0))
-
-    return counted.agg(
-        F.sum(times).alias("total_orders"),
-        *[F.sum(F.col(c) * times).alias(f"n_{c}") for c in flags],
-        orders(F.col("n_no_terminal_event")).alias("n_no_terminal_event"),
+    counts = {
+        "total_orders": F.count("*"),
+        **{f"n_{c}": F.sum(c) for c in flags},
+        "_events": F.sum("event_count"),
+        **{name: F.count_if(condition) for name, condition in odd.items()},
+    }
+    slots = _slots(lives, *[c.alias(name) for name, c in counts.items()])
+    total = {name: F.sum(name) for name in counts}
+    # Counts of no orders are 0.
+    zero = {name: F.coalesce(total[name], F.lit(0)).alias(name) for name in ("total_orders", *odd)}
+    return slots.agg(
+        zero["total_orders"],
+        *[total[f"n_{c}"].alias(f"n_{c}") for c in flags],
+        zero["n_no_terminal_event"],
         round_to(_mean_lifetime(), 3).alias("avg_lifetime_s"),
-        round_to(ratio(F.sum(F.col("event_count") * times), F.sum(times)), 2).alias(
-            "avg_events_per_order"
-        ),
-        orders(F.col("value") < 0).alias("sanity_neg_lifetime"),
-        *[orders(F.col(c)).alias(c) for c in ("sanity_neg_fill_lag", "sanity_overfilled")],
-    ).withColumns(
-        {
-            # Counts of no orders are 0.
-            **{
-                c: F.coalesce(c, F.lit(0))
-                for c in ("total_orders", "sanity_neg_lifetime", *odd)
-            },
-            "median_lifetime_s": round_to(_median_lifetime(counted), 3),
-        }
-    )
+        round_to(ratio(total["_events"], total["total_orders"]), 2).alias("avg_events_per_order"),
+        *[zero[name] for name in odd if name.startswith("sanity")],
+    ).withColumn("median_lifetime_s", round_to(_median_lifetime(lives, slots), 3))
 
 
 def flag_distribution(lives: DataFrame) -> DataFrame:
@@ -120,9 +105,9 @@ def lifetime_buckets(lives: DataFrame) -> DataFrame:
 
 def lifetime_stats(lives: DataFrame) -> DataFrame:
     """Mean and median lifetime and how far they are apart (median of at least 1 ms)."""
-    counted = _counted(lives)
-    stats = counted.agg(round_to(_mean_lifetime(), 2).alias("mean_lifetime_s")).withColumn(
-        "median_lifetime_s", round_to(_median_lifetime(counted), 2)
+    slots = _slots(lives)
+    stats = slots.agg(round_to(_mean_lifetime(), 2).alias("mean_lifetime_s")).withColumn(
+        "median_lifetime_s", round_to(_median_lifetime(lives, slots), 2)
     )
     gap = ratio(F.col("mean_lifetime_s"), F.greatest(F.col("median_lifetime_s"), F.lit(0.001)))
     return stats.withColumn("mean_to_median", gap)

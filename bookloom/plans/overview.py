@@ -9,8 +9,11 @@ once for all of them.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookloom import schema as S
 from bookloom.functions import events as E
@@ -23,7 +26,8 @@ from bookloom.functions.numbers import (
     share_or_zero,
 )
 from bookloom.functions.sessions import broad_session, session_window
-from bookloom.operators.ranks import largest, median_of_counts, total_before, value_counts
+from bookloom.operators.ranks import approximate_median, exact_median, largest, slotted, total_before
+from bookloom.operators.versions import with_fills
 
 LABELS = (
     "stock",
@@ -39,9 +43,16 @@ MEASURES = ("n", "lots", "tl", "left_lots", "left_tl", "traded_lots", "traded_tl
 CLOSING = "Z_CLOSING"
 
 
-def facts(events: DataFrame, by_day: bool = False) -> DataFrame:
-    """Labels and measures of every regular event; with the day of entry if so asked."""
+def facts(events: DataFrame, by_day: bool = False, by_fill: bool = False) -> DataFrame:
+    """Labels and measures of every regular event; with the day of entry if so asked.
+
+    Sums of traded lots count an order's earlier fills again with every later one, as
+    its events hold totals; ``by_fill`` takes the lots of each fill alone.
+    """
     day = [F.to_date("entry_ts").alias("trade_date")] if by_day else []
+    traded = "qty - remaining"
+    if by_fill:
+        events, traded = with_fills(events), "fill_lots"
     return events.where(E.is_regular()).select(
         *day,
         "stock",
@@ -57,15 +68,15 @@ def facts(events: DataFrame, by_day: bool = False) -> DataFrame:
         F.expr("order_tl AS tl"),
         F.expr("remaining AS left_lots"),
         F.expr("remaining * price AS left_tl"),
-        F.expr("qty - remaining AS traded_lots"),
-        F.expr("(qty - remaining) * price AS traded_tl"),
+        F.expr(f"{traded} AS traded_lots"),
+        F.expr(f"({traded}) * price AS traded_tl"),
     )
 
 
-def fact_cube(events: DataFrame, by_day: bool = False) -> DataFrame:
+def fact_cube(events: DataFrame, by_day: bool = False, by_fill: bool = False) -> DataFrame:
     """Facts summed over all labels: a few thousand rows per stock (and day) at most."""
     labels = ["trade_date", *LABELS] if by_day else LABELS
-    return facts(events, by_day).groupBy(*labels).agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return facts(events, by_day, by_fill).groupBy(*labels).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def _count(column: str | Column = "n") -> Column:
@@ -84,6 +95,25 @@ def cancellations(fact: DataFrame) -> DataFrame:
     return fact.where(E.is_cancel())
 
 
+def long_form(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Several tables as one: ``question``, ``label``, ``measure`` and ``value``.
+
+    Text columns make the label, all others are measures. Made from one cube, the
+    tables share its shuffle.
+    """
+    long = None
+    for name, frame in tables.items():
+        texts = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType)]
+        measures = [c for c in frame.columns if c not in texts]
+        rows = frame.select(
+            F.concat_ws(" ", *texts).alias("label"),
+            *[F.col(m).cast("double").alias(m) for m in measures],
+        ).unpivot("label", measures, "measure", "value")
+        rows = rows.select(F.lit(name).alias("question"), "label", "measure", "value")
+        long = rows if long is None else long.unionByName(rows)
+    return long
+
+
 # Submission
 
 
@@ -460,34 +490,37 @@ def _new_events(events: DataFrame) -> DataFrame:
     return events.where(E.is_regular() & E.is_new())
 
 
-def order_size(events: DataFrame) -> DataFrame:
-    """Count, mean, exact median, smallest and largest value by broad session."""
+def order_size(events: DataFrame, approximate: bool = False) -> DataFrame:
+    """Count, mean, median, smallest and largest value by broad session.
+
+    The exact median takes a second look at the events for the middle slot's values;
+    the approximate one comes from sketches in the same pass as the rest.
+    """
     sized = (
         _new_events(events)
         .where(F.col("order_tl") > 0)
         .select(broad_session("entry_ts", "session").alias("period"), "order_tl")
     )
-    # Mean and median both come from the counted values: one pass over the events.
-    counts = value_counts(sized, "order_tl", ["period"])
-    value, times = F.col("value"), F.col("times")
-    spread = counts.groupBy("period").agg(
-        F.sum(times).alias("order_count"),
-        ratio(F.sum(value * times), F.sum(times)).alias("avg_order_tl"),
-        F.min(value).alias("min_order_tl"),
-        F.max(value).alias("max_order_tl"),
-    )
-    middle = median_of_counts(counts, ["period"], few_groups=True)  # three periods
-    return _by_label(
-        spread.join(middle, "period").select(
-            "period",
-            "order_count",
-            "avg_order_tl",
-            F.col("median").alias("median_order_tl"),
-            "min_order_tl",
-            "max_order_tl",
-        ),
-        "period",
-    )
+    ends = [F.min("order_tl").alias("min_order_tl"), F.max("order_tl").alias("max_order_tl")]
+    if approximate:
+        sizes = sized.groupBy("period").agg(
+            F.count("*").alias("order_count"),
+            F.avg("order_tl").alias("avg_order_tl"),
+            approximate_median("order_tl").alias("median_order_tl"),
+            *ends,
+        )
+    else:
+        slots = slotted(sized, "order_tl", ["period"], F.sum("order_tl").alias("_sum"), *ends)
+        spread = slots.groupBy("period").agg(
+            F.sum("_in_slot").alias("order_count"),
+            ratio(F.sum("_sum"), F.sum("_in_slot")).alias("avg_order_tl"),
+            F.min("min_order_tl").alias("min_order_tl"),
+            F.max("max_order_tl").alias("max_order_tl"),
+        )
+        middle = exact_median(sized, "order_tl", ["period"], slots)  # three periods
+        sizes = spread.join(middle, "period").withColumnRenamed("median", "median_order_tl")
+    columns = ["order_count", "avg_order_tl", "median_order_tl", "min_order_tl", "max_order_tl"]
+    return _by_label(sizes.select("period", *columns), "period")
 
 
 def order_size_chart(sizes: DataFrame) -> DataFrame:
