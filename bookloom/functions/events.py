@@ -46,35 +46,35 @@ def cancel_type() -> Column:
     )
 
 
-def improves_queue_entry(side: str = "side") -> Column:
-    """1 for a replacement that loses queue priority, else 0.
+def improves_queue_entry_sql(side: str = "side") -> str:
+    """1 for a replacement that loses queue priority, else 0, as SQL.
 
     Needs prev_price and prev_qty. A buyer pays more, a seller asks less, or
     the size grows; nothing counts while the previous price is unknown.
     """
-    return F.expr(f"""
+    return f"""
         if(change_reason = {S.REPLACED} AND prev_price IS NOT NULL
            AND ({side} = '{S.BUY}' AND price > prev_price
                 OR {side} = '{S.SELL}' AND price < prev_price
                 OR qty > prev_qty), 1, 0)
-    """)
+    """
 
 
-def traded_so_far() -> Column:
-    """Lots of the order traded up to a TRADE event, NULL for other events."""
-    return F.expr(f"if(change_reason = {S.TRADE}, qty - remaining, NULL)")
+# Lots of the order traded up to a TRADE event, NULL for other events.
+TRADED_SO_FAR = f"if(change_reason = {S.TRADE}, qty - remaining, NULL)"
 
 
-def fill_lots(done: str, before: str) -> Column:
+def fill_lots_sql(done: str, before: str) -> str:
     """Lots of one fill, from the lots traded up to it and up to the fill before (NULL: none).
 
     A fill never takes lots back, so a falling total adds nothing.
     """
-    return F.expr(f"greatest({done} - coalesce({before}, 0D), 0D)")
+    return f"greatest({done} - coalesce({before}, 0D), 0D)"
 
 
-def composite_id(keys: Sequence[str] = ("order_id",)) -> Column:
-    return F.concat(*[x for k in keys for x in (F.col(k), F.lit("_"))], F.col("sub_order_number"))
+def composite_id_sql(keys: Sequence[str] = ("order_id",)) -> str:
+    """The order's key and its version number, as SQL."""
+    return f"concat({', '.join(f"{k}, '_'" for k in keys)}, sub_order_number)"
 
 
 def reason_name(code: str) -> Column:

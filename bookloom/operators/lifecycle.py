@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import seconds_between
-from bookloom.operators.runs import CUT, ORDER, PIECE, PIECE_ROWS
-from bookloom.operators.versions import PREVIOUS, mark_improvements, regular_runs
+from bookloom.operators.runs import CUT, ORDER, PIECE, PIECE_ROWS, order_runs
+from bookloom.operators.versions import (
+    BORDER_COLUMNS,
+    IMPROVES_ACROSS,
+    edge_events,
+    mark_improvements,
+)
 
 NEEDED = (
     "order_id",
@@ -47,8 +52,9 @@ MERGED = {
 IMPROVEMENTS = "n_qualifying_improvements"
 # Lots of single fills summed up.
 FILLS = "filled_lots"
-# First and last event and fill of a state, and where the events stand in time.
-EDGES = ("first_event", "last_event", "first_fill", "last_fill", "first_place", "last_place")
+# First and last event of a state, and where they stand in time; first and last fill.
+EDGES = ("first_event", "last_event", "first_place", "last_place")
+FILL_EDGES = ("first_fill", "last_fill")
 
 
 def _ever(condition: Column) -> Column:
@@ -81,71 +87,71 @@ def merge_states(states: DataFrame, keys: Sequence[str] = ORDER) -> DataFrame:
     within a stretch it had nothing to improve on.
     """
     keys = list(keys)
-    along = Window.partitionBy(*keys).orderBy("first_place")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    border = (
-        states.withColumn("_before", F.lag("last_event").over(along))
-        .withColumn("_filled", F.last("last_fill", ignorenulls=True).over(earlier))
-        .select(
-            "*",
-            *[f"first_event.{c}" for c in ("change_reason", "price", "qty")],
-            F.col("first_event.side").alias("_side"),
-            *[F.col(f"_before.{old}").alias(new) for new, old in PREVIOUS.items()],
-        )
-        .withColumn("_improves", E.improves_queue_entry("_side"))
+    along = f"PARTITION BY {', '.join(keys)} ORDER BY first_place"
+    added, merged = [f"{IMPROVES_ACROSS} AS _improves"], [
+        f"cast(sum({IMPROVEMENTS} + _improves) AS int) AS {IMPROVEMENTS}",
+        "min_by(first_event, first_place) AS first_event",
+        "max_by(last_event, last_place) AS last_event",
+        "min(first_place) AS first_place",
+        "max(last_place) AS last_place",
+    ]
+    if FILLS in states.columns:
+        earlier = f"{along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        filled = f"last_value(last_fill) IGNORE NULLS OVER ({earlier})"
         # The first fill was counted as if there were none before.
-        .withColumn(
-            "_refilled",
-            F.coalesce(
-                E.fill_lots("first_fill", "_filled") - E.fill_lots("first_fill", "NULL"), F.lit(0.0)
-            ),
-        )
+        refilled = f"{E.fill_lots_sql('first_fill', filled)} - {E.fill_lots_sql('first_fill', 'NULL')}"
+        added.append(f"coalesce({refilled}, 0D) AS _refilled")
+        merged += [
+            f"sum({FILLS} + _refilled) AS {FILLS}",
+            "min_by(first_fill, if(first_fill IS NULL, NULL, first_place)) AS first_fill",
+            "max_by(last_fill, if(last_fill IS NULL, NULL, last_place)) AS last_fill",
+        ]
+    border = (
+        states.selectExpr("*", f"lag(last_event) OVER ({along}) AS _before")
+        .selectExpr("*", *BORDER_COLUMNS)
+        .selectExpr("*", *added)
     )
     return border.groupBy(*keys).agg(
-        *[merge(c).alias(c) for c, merge in MERGED.items()],
-        F.sum(F.col(IMPROVEMENTS) + F.col("_improves")).cast("int").alias(IMPROVEMENTS),
-        F.sum(F.col(FILLS) + F.col("_refilled")).alias(FILLS),
-        F.min_by("first_fill", F.when(F.col("first_fill").isNotNull(), F.col("first_place"))).alias("first_fill"),
-        F.max_by("last_fill", F.when(F.col("last_fill").isNotNull(), F.col("last_place"))).alias("last_fill"),
-        F.min_by("first_event", "first_place").alias("first_event"),
-        F.max_by("last_event", "last_place").alias("last_event"),
-        F.min("first_place").alias("first_place"),
-        F.max("last_place").alias("last_place"),
+        *[merge(c).alias(c) for c, merge in MERGED.items()], *map(F.expr, merged)
     )
 
 
 def order_states(
-    events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
+    events: DataFrame,
+    piece_rows: int = PIECE_ROWS,
+    keys: Sequence[str] = ORDER,
+    fills: bool = True,
 ) -> DataFrame:
     """State of every regular order (and day, if that is a key) in the events.
 
     Previous-row lookup and fold share one shuffle. Only orders that were cut into
-    pieces are merged afterwards.
+    pieces are merged afterwards. ``fills``: with what single fills add up to.
     """
     ties = ["event_id"] if "event_id" in events.columns else []
     more = [k for k in keys if k not in NEEDED]
-    slim = events.select("order_cat", *NEEDED, *ties, *more)
-    runs = regular_runs(slim, piece_rows, keys)
+    slim = events.where(E.is_regular()).select(*NEEDED, *ties, *more)
+    runs = order_runs(slim, piece_rows, keys)
     # Inside a piece only: what crosses its border is settled by merging.
-    done = E.traded_so_far()
-    marked = mark_improvements(runs, across=False).latest(done, "_filled")
-    marked = marked.with_rows(marked.rows.withColumn("_done", done))
-    fill_place = F.when(F.col("_done").isNotNull(), runs.place)
-    first, last = (F.struct(*names) for names in (("change_reason", "side", "price", "qty"), ("price", "qty")))
-    states = marked.rows.groupBy(*runs.piece).agg(
-        *_folded(),
-        F.sum("qualifies").cast("int").alias(IMPROVEMENTS),
-        F.coalesce(F.sum(E.fill_lots("_done", "_filled")), F.lit(0.0)).alias(FILLS),
-        F.min_by("_done", fill_place).alias("first_fill"),
-        F.max_by("_done", fill_place).alias("last_fill"),
-        F.min_by(first, runs.place).alias("first_event"),
-        F.max_by(last, runs.place).alias("last_event"),
-        F.min(runs.place).alias("first_place"),
-        F.max(runs.place).alias("last_place"),
-    )
-    columns = [*keys, *MERGED, IMPROVEMENTS, FILLS, *EDGES]
-    whole = states.where(~F.col(CUT)).select(*columns)
-    return whole.unionByName(merge_states(states.where(CUT).drop(PIECE, CUT), keys).select(*columns))
+    marked = mark_improvements(runs)
+    folds = [
+        f"cast(sum(qualifies) AS int) AS {IMPROVEMENTS}",
+        *edge_events(runs.place),
+        f"min({runs.place}) AS first_place",
+        f"max({runs.place}) AS last_place",
+    ]
+    columns = [*keys, *MERGED, IMPROVEMENTS, *EDGES]
+    if fills:
+        marked = marked.add(f"{E.TRADED_SO_FAR} AS _done").latest("_done", "_filled")
+        fill_place = f"if(_done IS NULL, NULL, {runs.place})"
+        folds += [
+            f"coalesce(sum({E.fill_lots_sql('_done', '_filled')}), 0D) AS {FILLS}",
+            f"min_by(_done, {fill_place}) AS first_fill",
+            f"max_by(_done, {fill_place}) AS last_fill",
+        ]
+        columns += [FILLS, *FILL_EDGES]
+    states = marked.rows.groupBy(*runs.piece).agg(*_folded(), *map(F.expr, folds))
+    whole = states.where(f"NOT {CUT}").select(*columns)
+    return whole.union(merge_states(states.where(CUT), keys).select(*columns))
 
 
 def lives(
@@ -190,7 +196,8 @@ def lifecycle_table(
     """
     if not improvements and not by_fill:
         return lives(events.where(E.is_regular()).groupBy(*keys).agg(*_folded()), False, keys)
-    return lives(order_states(events, piece_rows, keys), improvements, keys, by_fill)
+    states = order_states(events, piece_rows, keys, fills=by_fill)
+    return lives(states, improvements, keys, by_fill)
 
 
 def is_open() -> Column:

@@ -9,43 +9,94 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import events as E
 from bookloom.functions.numbers import round_to, seconds_between
-from bookloom.operators.runs import ORDER, PIECE_ROWS, OrderRuns, event_order, order_runs
+from bookloom.operators.runs import (
+    ALONG,
+    BORDERS,
+    HOT,
+    ORDER,
+    PIECE,
+    PIECE_ROWS,
+    OrderRuns,
+    carried,
+    event_order,
+    order_runs,
+)
 
 PREVIOUS = {"prev_price": "price", "prev_qty": "qty"}
-
-
-def mark_improvements(run: OrderRuns, across: bool = True) -> OrderRuns:
-    """Add prev_price, prev_qty and qualifies (0 or 1).
-
-    Unless ``across``, the first row of a piece has no previous one.
-    """
-    run = run.neighbour(PREVIOUS, across=across)
-    return run.with_rows(run.rows.withColumn("qualifies", E.improves_queue_entry()))
+NUMBER = "sub_order_number"
+
+
+def mark_improvements(run: OrderRuns) -> OrderRuns:
+    """Add prev_price, prev_qty and qualifies (0 or 1)."""
+    return run.previous(PREVIOUS).add(f"{E.improves_queue_entry_sql()} AS qualifies")
+
+
+# The columns of a stretch's first event, and of the last one before it, that
+# ``improves_queue_entry_sql`` needs.
+BORDER_COLUMNS = (
+    "first_event.change_reason",
+    "first_event.price",
+    "first_event.qty",
+    "first_event.side AS _side",
+    *[f"_before.{old} AS {new}" for new, old in PREVIOUS.items()],
+)
+IMPROVES_ACROSS = E.improves_queue_entry_sql("_side")
+
+
+def edge_events(place: str) -> list[str]:
+    """Folds of the first and the last event of a stretch."""
+    return [
+        f"min_by(struct(change_reason, side, price, qty), {place}) AS first_event",
+        f"max_by(struct(price, qty), {place}) AS last_event",
+    ]
+
+
+def _carry_versions(pieces: OrderRuns) -> DataFrame:
+    """To each piece the last price and size before it, and the improvements so far."""
+    marked = mark_improvements(pieces)
+    states = (
+        marked.fold(*edge_events(pieces.place), "sum(qualifies) AS _inside")
+        .selectExpr("*", f"lag(last_event) OVER ({ALONG}) AS _before")
+        .selectExpr(HOT, PIECE, BORDERS, "_inside", "_before", *BORDER_COLUMNS)
+        .selectExpr("*", f"_inside + {IMPROVES_ACROSS} AS _number")
+    )
+    earlier = f"{ALONG} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return carried(
+        states,
+        **{new: f"_before.{old}" for new, old in PREVIOUS.items()},
+        _number=f"sum(_number) OVER ({earlier})",
+    )
 
 
 def number_versions(run: OrderRuns) -> OrderRuns:
     """Add sub_order_number (0 before the first improvement) and composite_id."""
-    run = mark_improvements(run).running_sum("qualifies", "sub_order_number")
-    return run.with_rows(
-        run.rows.withColumn(
-            "sub_order_number", F.col("sub_order_number").cast("int")
-        ).withColumn("composite_id", E.composite_id(run.keys))
+    run = mark_improvements(run).running_sum("qualifies", "_number")
+    return run.add(f"cast(_number AS int) AS {NUMBER}").add(
+        f"{E.composite_id_sql(run.keys)} AS composite_id"
     )
 
 
-def regular_runs(
+def _numbered(
     events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
 ) -> OrderRuns:
-    return order_runs(events.where(E.is_regular()), piece_rows, keys)
+    return number_versions(
+        order_runs(events.where(E.is_regular()), piece_rows, keys, _carry_versions)
+    )
+
+
+def _carry_fills(pieces: OrderRuns) -> DataFrame:
+    """To each piece of TRADE events the total traded before it."""
+    states = pieces.fold(f"max_by(_done, {pieces.place}) AS _last")
+    return carried(states, _before=f"lag(_last) OVER ({ALONG})")
 
 
 def with_fills(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Regular events with ``fill_lots``: lots of this fill alone, NULL for other events."""
-    regular = events.where(E.is_regular()).withColumn("_done", E.traded_so_far())
-    fills = order_runs(regular.where(F.col("_done").isNotNull()), piece_rows)
-    filled = fills.neighbour({"_before": "_done"}).result()
-    lots = filled.withColumn("fill_lots", E.fill_lots("_done", "_before")).drop("_before")
-    others = regular.where(F.col("_done").isNull()).withColumn("fill_lots", F.lit(None).cast("double"))
+    regular = events.where(E.is_regular()).selectExpr("*", f"{E.TRADED_SO_FAR} AS _done")
+    fills = order_runs(regular.where("_done IS NOT NULL"), piece_rows, carry=_carry_fills)
+    filled = fills.previous({"_before": "_done"}).result()
+    lots = filled.selectExpr("*", f"{E.fill_lots_sql('_done', '_before')} AS fill_lots").drop("_before")
+    others = regular.where("_done IS NULL").selectExpr("*", "cast(NULL AS double) AS fill_lots")
     return lots.unionByName(others).drop("_done")
 
 
@@ -53,7 +104,7 @@ def versioned_events(
     events: DataFrame, piece_rows: int = PIECE_ROWS, keys: Sequence[str] = ORDER
 ) -> DataFrame:
     """Regular events with previous values, qualifies, version and composite id."""
-    return number_versions(regular_runs(events, piece_rows, keys)).result()
+    return _numbered(events, piece_rows, keys).result().drop("_number")
 
 
 def enrich_events(
@@ -127,10 +178,10 @@ def version_summary(
     the improvement. The last version has no end. ``sort`` puts the rows by order
     and version number.
     """
-    numbered = number_versions(regular_runs(events, piece_rows))
+    numbered = _numbered(events, piece_rows)
     first = E.is_new() & F.expr("sub_order_number = 0")
     starts = numbered.with_rows(numbered.rows.where(F.expr("qualifies = 1") | first))
-    rows = starts.neighbour({"version_end_ts": "change_ts"}, ahead=True).rows
+    rows = starts.following({"version_end_ts": "change_ts"}).rows
     if sort:
         by_number = [F.col(c).asc_nulls_last() for c in ("order_id", "sub_order_number")]
         rows = rows.orderBy(*by_number, "change_ts")

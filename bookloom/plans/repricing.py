@@ -17,7 +17,7 @@ def max_versions(
     events: DataFrame, fraction: float = 1.0, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Last version number of each regular order (the number of its improvements)."""
-    return order_states(sample_orders(events, fraction), piece_rows).select(
+    return order_states(sample_orders(events, fraction), piece_rows, fills=False).select(
         "order_id", "stock", F.col(IMPROVEMENTS).alias("max_version")
     )
 
