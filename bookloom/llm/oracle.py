@@ -69,6 +69,27 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs d LEFT JOIN summed s USING (doc_id)
 """
 
+SEARCH = rf"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x20\x09-\x0D]+') AS words
+    FROM documents WHERE doc_id IS NOT NULL
+),
+words AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word FROM docs),
+tf AS MATERIALIZED (SELECT doc_id, n_words, word, count(*) AS n FROM words GROUP BY ALL),
+df AS MATERIALIZED (SELECT word, count(*) AS df FROM tf GROUP BY word),
+corpus AS (SELECT count(*) AS docs, sum(len(words)) / count(*)::DOUBLE AS mean FROM docs),
+scored AS (
+    SELECT q.doc_id AS query_id, t.doc_id,
+           round(sum(ln(1 + (docs - df + 0.5e0) / (df + 0.5e0)) * t.n * 2.2e0
+                     / (t.n + 1.2e0 * (0.25e0 + 0.75e0 * t.n_words / mean))), 6) AS score
+    FROM tf q JOIN tf t ON t.word = q.word JOIN df ON df.word = q.word, corpus
+    WHERE q.doc_id % 20 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -305,6 +326,7 @@ FROM docs LEFT JOIN base USING (row) LEFT JOIN found USING (row)
 def all_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": SUBSTRING_DEDUP,
+        "op5_search": SEARCH,
         "op8_decontamination": DECONTAMINATION,
         "op10_line_dedup": LINE_DEDUP,
         "op11_merkle": _merkle(),

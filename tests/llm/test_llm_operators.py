@@ -333,7 +333,7 @@ def test_mixing_model_is_a_distribution():
 def test_search(spark):
     rows = [(i, f"{SEA} {'fox ' * (i % 4)} n{i} n{i % 3}") for i in range(60)] + TEXTS
     docs = frame(spark, rows)
-    found = search.search(docs, docs.where(F.col("doc_id") % 4 == 0), k=5, shard_docs=20)
+    found = search.search(docs, docs.where(F.col("doc_id") % 4 == 0), k=5, shard_bytes=2000)
     got = {}
     for r in found.collect():
         got.setdefault(r["query_id"], []).append((r["rank"], -round(r["score"], 4), r["doc_id"]))
@@ -362,14 +362,14 @@ def test_search_scores_do_not_depend_on_the_shard(spark):
     docs = frame(spark, rows)
     asked = frame(spark, [(3, copied), (9000, text(300)), (9001, f"{copied} {text(200)}")])
     got = {}
-    for r in search.search(docs, asked, k=40, shard_docs=50).collect():
+    for r in search.search(docs, asked, k=40, shard_bytes=60_000).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["doc_id"]))
     copies = [i for i, t in rows if t == copied]
     for q in (3, 9001):
         best = sorted(got[q])
         assert [d for _, _, d in best] == copies[:40]
         assert len({s for _, s, _ in best}) == 1
-    one = search.search(docs, asked, k=40, shard_docs=10_000).collect()
+    one = search.search(docs, asked, k=40).collect()
     assert {(r["query_id"], r["rank"], r["score"], r["doc_id"]) for r in one} == {
         (q, *x) for q, found in got.items() for x in found
     }
