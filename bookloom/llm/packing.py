@@ -12,6 +12,7 @@ The token ids themselves need not be shuffled: the assignment needs lengths only
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +27,13 @@ from bookloom.llm.word_hashes import edges, hashes
 SEQUENCE = 4096
 END = 2
 GROUP_PIECES = 8192
-# Words whose ids a task keeps, in each of two generations.
-CACHE_WORDS = 160_000
-BLOCK_BYTES = 1 << 19
+# Words whose ids a worker keeps, in each of two generations.
+CACHE_WORDS = 120_000
+BLOCK_BYTES = 1 << 20
+# Text, chosen by a hash, that names the words every worker knows from the start, and
+# how many those are. They save time; no id depends on them.
+COMMON_BYTES = 64 << 20
+COMMON_WORDS = 200_000
 # Words that are given to the tokenizer as one text, with a mark between them.
 TOGETHER = 256
 MARK = "\x01"
@@ -58,12 +63,13 @@ class WordIds:
     it whole.
     """
 
-    def __init__(self, path: str, marks: bytes = b"<|"):
+    def __init__(self, path: str, common: dict[bytes, bytes] | None = None, marks: bytes = b"<|"):
         # Spark has a task per core; threads of the tokenizer would only add memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.common = common or {}
         self.marks = marks
         self.mark = int(self._whole([MARK])[0][0])
         self.young: dict[bytes, bytes] = {}
@@ -89,15 +95,19 @@ class WordIds:
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words, from what is known or through the tokenizer."""
-        found = list(map(self.young.get, words))
-        found = [self.old.get(w) if x is None else x for w, x in zip(words, found)]
-        fresh = [i for i, x in enumerate(found) if x is None]
-        ids = self._encode([words[i].decode(errors="replace") for i in fresh])
-        for i, x in zip(fresh, ids):
-            found[i] = x
+        found = list(map(self.common.get, words))
+        rare = [i for i, x in enumerate(found) if x is None]
+        rest = [words[i] for i in rare]
+        known = list(map(self.young.get, rest))
+        known = [self.old.get(w) if x is None else x for w, x in zip(rest, known)]
+        fresh = [i for i, x in enumerate(known) if x is None]
+        for i, x in zip(fresh, self._encode([rest[i].decode(errors="replace") for i in fresh])):
+            known[i] = x
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        self.young.update(zip(words, found))
+        self.young.update(zip(rest, known))
+        for i, x in zip(rare, known):
+            found[i] = x
         return found
 
     def of(self, texts: list[bytes]) -> list[bytes]:
@@ -131,6 +141,44 @@ class WordIds:
         return out
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 8 * BLOCK_BYTES):
+        seen: Counter = Counter()
+        for text in byte_rows(batch.column("text")):
+            seen.update(text.split())
+        # As the ids of a word of ASCII alone are kept.
+        rows = Counter()
+        for word, n in seen.items():
+            rows[word.lower() if word.isascii() else word] += n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int64())],
+            names=["word", "n"],
+        )
+
+
+def common_words(docs: DataFrame, tokenizer: str, text: str = "text") -> dict[bytes, bytes]:
+    """Ids of the most frequent words of some texts: at most COMMON_WORDS, of bounded length."""
+    body = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    size = body.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    one_in = max(1, -(-size // COMMON_BYTES))
+    some = body.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    counted = some.mapInArrow(_tally, "word binary, n bigint").where(F.octet_length("word") <= 64)
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    top = stored(top.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word"), "packing-words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds(tokenizer)
+        for batch in batches:
+            ids = words.learn(list(map(bytes, batch.column("word").to_pylist())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"]
+            )
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = top.repartition(min(parts, 16)).mapInArrow(run, "word binary, ids binary").toArrow()
+    return dict(zip(made["word"].to_pylist(), made["ids"].to_pylist()))
+
+
 PIECES = "`{id}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, piece_key bigint"
 
 
@@ -146,13 +194,19 @@ def pieces(
 
     ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit numbers),
     ``doc_tokens`` and ``piece_key``, which no two pieces share. A null or empty
-    text is the end token alone. Repeated rows give pieces each. No rows give no
-    rows. Other columns of the documents, whatever their names, are not read.
+    text is the end token alone. Repeated rows give pieces each. A very long text
+    is handled whole. No rows give no rows. Other columns of the documents, whatever their names, are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
+    # What a worker holds: the common words' ids and, from its first task on, the
+    # tokenizer with the words met since.
+    shared = docs.sparkSession.sparkContext.broadcast([common_words(docs, tokenizer, text)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        held = shared.value
+        if len(held) == 1:
+            held.append(WordIds(tokenizer, held[0]))
+        words = held[1]
         key = TaskContext.get().partitionId() << 36
         tail = np.array([end], "<u4").tobytes()
         for batch in slices(batches, text, BLOCK_BYTES):

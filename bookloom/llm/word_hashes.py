@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _WHITE = np.zeros(256, np.int8)
 _WHITE[[9, 10, 11, 12, 13, 32]] = 1
@@ -36,10 +37,20 @@ def edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(steps == -1), np.flatnonzero(steps == 1)
 
 
+# Polynomials modulo a power of two agree on some long runs of two letters.
+LONG = 256
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each run of bytes: a polynomial over random numbers for bytes, mixed."""
+    """64 bits for each run of bytes: a polynomial over random numbers for bytes, mixed.
+
+    A run of more than LONG bytes has its XXH64 instead.
+    """
     power, back = _powers(len(raw))
     summed = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[: len(raw)], out=summed[1:])
     runs = (summed[ends] - summed[starts]) * back[starts]
-    return mix(runs + (ends - starts).astype(np.uint64))
+    found = mix(runs + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        found[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return found
