@@ -13,7 +13,9 @@ only counts of vote patterns and of features, both of bounded number, meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import stored
@@ -70,15 +72,27 @@ AGAINST = r"version|license|licence|isbn|issn|invoice|order|article|page|token|f
 _SPAN = "struct<a:int,b:int,s:string,before:string,after:string>"
 
 
+# Matches of a text that are placed together: arrays grow by copying.
+TOGETHER = 256
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """All matches from left to right with offsets in code points and neighbourhoods."""
+    """All matches from left to right with offsets in code points and neighbourhoods.
+
+    Time is in proportion to the text and its matches (up to many thousands of them).
+    """
     parts = F.split(text, pattern, -1)
     zipped = F.arrays_zip(
         parts.alias("p"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
         F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("q"),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    spans = f"array<{_SPAN}>"
 
     def step(state: Column, x: Column) -> Column:
         a = state["at"] + F.length(x["p"])
@@ -94,7 +108,22 @@ def _found(text: Column, pattern: str) -> Column:
             F.struct(b.alias("at"), F.array_append(state["out"], span).alias("out"))
         )
 
-    return F.aggregate(zipped, zero, step, lambda state: state["out"])
+    def placed(all_parts: Column) -> Column:
+        def group(state: Column, g: Column) -> Column:
+            start = F.struct(state["at"].alias("at"), F.array().cast(spans).alias("out"))
+            some = F.slice(all_parts, g * TOGETHER + 1, F.lit(TOGETHER))
+            return _once(
+                F.aggregate(some, start, step),
+                lambda y: F.struct(
+                    y["at"].alias("at"), F.array_append(state["outs"], y["out"]).alias("outs")
+                ),
+            )
+
+        groups = F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / TOGETHER).cast("int"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("outs"))
+        return F.aggregate(groups, zero, group, lambda state: F.flatten(state["outs"]))
+
+    return _once(zipped, placed)
 
 
 def digits(text: Column) -> Column:
@@ -132,10 +161,6 @@ def base_spans(kind: str, text: Column) -> Column:
     return F.filter(_found(text, BASE[kind]), lambda x: _valid(kind, x["s"]))
 
 
-def _overlaps(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"]))
-
-
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Base and further spans of every row, in one pass over the texts."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -145,6 +170,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     columns |= {f"more_{k}": F.when(holds[k], _found(body, WIDER[k])).otherwise(none) for k in KINDS}
     return docs.select(
         F.col(doc_id).alias("_doc"),
+        F.monotonically_increasing_id().alias("_at"),
         F.xxhash64(F.col(doc_id), body).alias("_h1"),
         F.xxhash64(F.lit("text"), F.col(doc_id), body).alias("_h2"),
         *[c.alias(name) for name, c in columns.items()],
@@ -153,7 +179,6 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _spans(found: DataFrame) -> DataFrame:
     """One row for every span: base ones, and further ones beside all base ones."""
-    base = F.concat(*[f"base_{k}" for k in KINDS])
 
     def labelled(prefix: str, is_base: bool) -> list[Column]:
         def named(i: int):
@@ -161,15 +186,23 @@ def _spans(found: DataFrame) -> DataFrame:
 
         return [F.transform(f"{prefix}_{k}", named(i)) for i, k in enumerate(KINDS)]
 
-    more = F.filter(F.concat(*labelled("more", False)), lambda y: ~_overlaps(y["x"], F.col("_base")))
-    rows = found.select("_h1", "_h2", base.alias("_base"), *[f"{p}_{k}" for p in ("base", "more") for k in KINDS])
-    rows = rows.where(F.size("_base") + sum(F.size(f"more_{k}") for k in KINDS) > 0)
-    return rows.select(
-        "_h1", "_h2", F.explode(F.concat(*labelled("base", True), more)).alias("y")
-    ).select(
-        "_h1", "_h2", "y.kind", "y.is_base", "y.x.a", "y.x.b",
+    every = F.concat(*labelled("base", True), *labelled("more", False))
+    rows = found.select("_at", "_h1", "_h2", F.explode(every).alias("y")).select(
+        "_at", "_h1", "_h2", "y.kind", "y.is_base", "y.x.a", "y.x.b",
         F.translate("y.x.s", JOIN, "").alias("s"), F.col("y.x.s").alias("raw"), "y.x.before", "y.x.after",
     )
+    # Base spans that start no later, and no earlier: their last end and first start.
+    text = Window.partitionBy("_at")
+    upto = text.orderBy(F.col("a").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = text.orderBy(F.col("a").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = F.max(F.when(F.col("is_base"), F.col("b"))).over(upto)
+    begun = F.min(F.when(F.col("is_base"), F.col("a"))).over(back)
+    beside = (F.coalesce("_ended", F.lit(0)) <= F.col("a")) & (F.coalesce("_begun", F.col("b")) >= F.col("b"))
+    return (
+        rows.withColumns({"_ended": ended, "_begun": begun})
+        .where(F.col("is_base") | beside)
+        .drop("_at", "_ended", "_begun")
+    )
 
 
 def _by_kind(choices: dict[str, Column]) -> Column:
