@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +55,27 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+ROW = "_row"
+
+
+def boxed(docs: DataFrame, results: Iterable[str] = ()) -> tuple[list[str], Column]:
+    """Names of the columns that stay, and all of them as one struct, ``_row``.
+
+    Rows travel through an operator as that one column, so none of their names can
+    clash with the operator's own. ``results`` replace columns of the same name, in
+    any case.
+    """
+    added = {name.lower() for name in results}
+    names = [c for c in docs.columns if c.lower() not in added]
+    fields = [F.col(f"`{c}`").alias(c) for c in names] or [F.lit(0).alias("_")]
+    return names, F.struct(*fields).alias(ROW)
+
+
+def unboxed(names: Iterable[str]) -> list[Column]:
+    """The columns of ``_row`` again."""
+    return [F.col(f"{ROW}.`{c}`").alias(c) for c in names]
+
+
 def ascii_lower(text: Column | str) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bookloom.llm.common import byte_rows
+from bookloom.llm.common import boxed, byte_rows, unboxed
 
 WINDOW = 13
 MAX_ITEM_BYTES = 4 << 20
@@ -102,11 +103,11 @@ def original_offsets(text: str, spans: list[int]) -> list[int]:
 
 
 RESULTS = {
-    "n_words": ("bigint", pa.int64()),
-    "n_hit": ("bigint", pa.int64()),
-    "items": ("array<string>", pa.list_(pa.string())),
-    "hit_words": ("array<bigint>", pa.list_(pa.int64())),
-    "hit_chars": ("array<bigint>", pa.list_(pa.int64())),
+    "n_words": (T.LongType(), pa.int64()),
+    "n_hit": (T.LongType(), pa.int64()),
+    "items": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
+    "hit_words": (T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    "hit_chars": (T.ArrayType(T.LongType()), pa.list_(pa.int64())),
 }
 
 
@@ -157,9 +158,8 @@ def find_items(
     out = docs.drop(*RESULTS)
     for block in item_blocks(items, item_id, item_text, max_item_bytes):
         handle = spark.sparkContext.broadcast(item_windows(block, window))
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
-        kinds += [f"`{n}` {t}" for n, (t, _) in RESULTS.items() if n not in out.columns]
-        out = out.mapInArrow(_scanner(text, handle), ", ".join(kinds))
+        more = [T.StructField(n, t) for n, (t, _) in RESULTS.items() if n not in out.columns]
+        out = out.mapInArrow(_scanner(text, handle), T.StructType([*out.schema.fields, *more]))
     return out
 
 
@@ -193,6 +193,8 @@ def contaminated(min_share: int = 20) -> F.Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, as they were."""
-    columns = [f"`{c}`" for c in docs.columns]
-    return find_items(docs, items, **options).where(~contaminated()).select(*columns)
+    """The documents that are not contaminated, with their columns as they were."""
+    text = options.pop("text", "text")
+    names, row = boxed(docs)
+    found = find_items(docs.select(row, F.col(f"`{text}`").alias("text")), items, **options)
+    return found.where(~contaminated()).select(*unboxed(names))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import LOWER, UPPER, WHITE, stored
+from bookloom.llm.common import LOWER, UPPER, WHITE, boxed, stored, unboxed
 
 RESULTS = ("n_lines", "n_dropped")
 
@@ -30,9 +30,10 @@ def keyed_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     The key is the line without ASCII white space at its ends and with A-Z
     lower-cased; two hashes of 64 bits, the second of another seed, stand for it.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("_doc"), _tag(body).alias("_tag"), F.posexplode(F.split(body, "\n", -1))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    key = F.col(f"`{doc_id}`")
+    lines = docs.where(key.isNotNull()).select(
+        key.alias("_doc"), _tag(body).alias("_tag"), F.posexplode(F.split(body, "\n", -1))
     )
     key = F.translate(F.btrim("col", F.lit(WHITE)), UPPER, LOWER)
     return (
@@ -72,7 +73,8 @@ def drop_repeated_lines(
 
     Returns every row with all its columns, the text replaced by the lines that
     stay, and ``n_lines`` (before) and ``n_dropped``; these replace input columns
-    of the same name.
+    of the same name, in any case. Other names are free. A very long text is split
+    like any other.
 
     A null text counts as one empty line and comes back empty. Rows without an
     id stay as they are and don't count as documents. Rows of one id are one
@@ -87,24 +89,21 @@ def drop_repeated_lines(
         .agg(F.collect_set("_pos").alias("_drop")),
         "line-drops",
     )
-    body = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in docs.columns if c not in RESULTS]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names, _ = boxed(docs, RESULTS)
+    _, row = boxed(docs, (*RESULTS, text))
     split = docs.select(
-        *[F.col(f"`{c}`") for c in rest if c != text],
-        F.col(doc_id).alias("_doc"),
+        row,
+        F.col(f"`{doc_id}`").alias("_doc"),
         _tag(body).alias("_tag"),
         F.split(body, "\n", -1).alias("_lines"),
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    return (
-        split.join(drops, ["_doc", "_tag"], "left")
-        .withColumn(
-            text,
-            F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(
-                F.array_join(F.transform(kept, lambda at: F.get("_lines", at)), "\n")
-            ),
-        )
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .select(*[f"`{c}`" for c in rest], *RESULTS)
+    left = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(
+        F.array_join(F.transform(kept, lambda at: F.get("_lines", at)), "\n")
+    )
+    return split.join(drops, ["_doc", "_tag"], "left").select(
+        *[left.alias(c) if c.lower() == text.lower() else unboxed([c])[0] for c in names],
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

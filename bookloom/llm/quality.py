@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookloom.llm.boosted_trees import Trees, fit
 from bookloom.llm.common import byte_rows
@@ -109,8 +110,9 @@ def train(
 
     ``labels`` holds the rows that may be learned from. If there are more, those
     with the smallest hash of the id are taken, so the choice is the same in
-    every run. Labels other than 0 and 1 or without an id are left out. Without
-    labels, or with one kind only, the model gives every text the same score.
+    every run. Labels other than 0 and 1 or without an id are left out. Of rows of one
+    id one text is learned from, the one with the smallest hash. Without labels or
+    documents, or with one kind only, the model gives every text the same score.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -122,7 +124,9 @@ def train(
     kind = chosen.schema["_id"].dataType.simpleString()
     # At most ``most`` rows of two numbers.
     rows = (
-        texts.join(F.broadcast(chosen), "_id")
+        texts.join(F.broadcast(chosen.distinct()), "_id")
+        .groupBy("_id", "_label")
+        .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
         .select("_id", "_label", "_text")
         .mapInArrow(_statistics_rows, f"_id {kind}, _label int, x array<double>")
         .toArrow()
@@ -136,12 +140,12 @@ def train(
 def score(docs: DataFrame, model: Trees, text: str = "text", into: str = "score") -> DataFrame:
     """Add the probability of label 1, from the text alone.
 
-    Null is scored as the empty text, repeated rows each, and the column
-    replaces one of the same name.
+    Null is scored as the empty text, repeated rows each, a very long text whole, and
+    the column replaces one of the same name. No rows give no rows.
     """
     docs = docs.drop(into)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score_rows(model, text, into), f"{kinds}, `{into}` double")
+    kinds = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
+    return docs.mapInArrow(_score_rows(model, text, into), kinds)
 
 
 def _score_rows(model: Trees, text: str, into: str) -> Callable:

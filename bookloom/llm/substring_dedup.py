@@ -30,8 +30,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bookloom.llm.common import byte_rows, slices, stored
+from bookloom.llm.common import ROW, boxed, byte_rows, slices, stored, unboxed
 from bookloom.llm.suffix_automaton import SuffixAutomaton
 from bookloom.llm.word_hashes import hashes, mix
 
@@ -344,11 +345,11 @@ def _reduce(window: int, anchor: int) -> Callable:
 RESULTS = ("n_words", "n_removed")
 
 
-def _cut(text: str) -> Callable:
+def _cut() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for raw, lost in zip(byte_rows(batch.column(text)), batch.column("_lost").to_pylist()):
+            for raw, lost in zip(byte_rows(batch.column("_text")), batch.column("_lost").to_pylist()):
                 words = raw.split()
                 gone = np.zeros(len(words), bool)
                 for part in lost or ():
@@ -358,9 +359,12 @@ def _cut(text: str) -> Callable:
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "_lost"}
-            columns[text] = pa.array([k.decode(errors="replace") for k in kept], pa.string())
-            columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+            columns = {
+                ROW: batch.column(ROW),
+                "_text": pa.array([k.decode(errors="replace") for k in kept], pa.string()),
+                "n_words": pa.array(n_words, pa.int64()),
+                "n_removed": pa.array(n_removed, pa.int64()),
+            }
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -377,18 +381,18 @@ def drop_repeated_spans(
 
     Every row comes back with all its columns, the text replaced by the words
     that stay, joined by one space, and ``n_words`` (before) and ``n_removed``;
-    these replace input columns of those names. Ids are whole numbers.
+    these replace input columns of those names, in any case; other names are free.
+    Ids are whole numbers. A very long text is handled whole.
 
     A null text has no words. Rows without an id stay whole and take nothing from
     others. Rows of one id are one document and take nothing from each other. No
     rows give no rows.
     """
-    docs = docs.drop(*RESULTS)
-    body = F.coalesce(F.col(text), F.lit(""))
+    names, _ = boxed(docs, RESULTS)
+    _, row = boxed(docs, (*RESULTS, text))
+    body, key = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`").cast("bigint")
     tag = F.xxhash64(F.lit("text"), body)
-    narrow = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("bigint").alias("id"), tag.alias("tag"), body.alias("text")
-    )
+    narrow = docs.where(key.isNotNull()).select(key.alias("id"), tag.alias("tag"), body.alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     hot = hot_anchors(narrow, window, anchor)
@@ -401,9 +405,9 @@ def drop_repeated_spans(
     lost = stored(
         stored(judged, "spans-lost").groupBy("id", "tag").agg(F.collect_list("lost").alias("_lost")), "spans"
     )
-    whole = docs.withColumns({"_id": F.col(doc_id).cast("bigint"), "_tag": tag})
-    joined = whole.join(lost, (whole["_id"] == lost["id"]) & (whole["_tag"] == lost["tag"]), "left")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*[whole[f"`{c}`"] for c in docs.columns], "_lost").mapInArrow(
-        _cut(text), f"{kinds}, n_words bigint, n_removed bigint"
-    )
+    whole = docs.select(row, body.alias("_text"), key.alias("id"), tag.alias("tag"))
+    joined = whole.join(lost, ["id", "tag"], "left").select(ROW, "_text", "_lost")
+    kinds = T.StructType([*joined.schema.fields[:2], *[T.StructField(n, T.LongType()) for n in RESULTS]])
+    cut = joined.mapInArrow(_cut(), kinds)
+    kept = [F.col("_text").alias(c) if c.lower() == text.lower() else unboxed([c])[0] for c in names]
+    return cut.select(*kept, *RESULTS)

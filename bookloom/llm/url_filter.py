@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import ascii_lower, stored
+from bookloom.llm.common import ascii_lower, boxed, stored, unboxed
 
 # Characters before the one that is predicted.
 ORDER = 4
@@ -119,8 +119,9 @@ def _cut(scored: DataFrame) -> DataFrame:
     )
     below = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    lost = F.coalesce(F.sum("_good").over(below), F.lit(0)) / F.sum("_good").over(whole)
-    kept = 1 - F.coalesce(F.sum("_bad").over(below), F.lit(0)) / F.sum("_bad").over(whole)
+    # Without URLs of a verdict there is no error of that kind.
+    lost = F.try_divide(F.coalesce(F.sum("_good").over(below), F.lit(0)), F.sum("_good").over(whole))
+    kept = 1 - F.try_divide(F.coalesce(F.sum("_bad").over(below), F.lit(0)), F.sum("_bad").over(whole))
     errors = steps.select("_step", (F.coalesce(lost, F.lit(0)) + F.coalesce(kept, F.lit(0))).alias("_e"))
     best = F.min(F.struct(F.round("_e", 9), F.abs("_step"), F.col("_step").alias("at")))
     return errors.agg((F.coalesce(best["at"], F.lit(0)) / 1000).alias("_cut"))
@@ -131,16 +132,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> Da
 
     ``verdict`` is the longest fitting rule's, else allow if ``score``, the log
     of the likelihood ratio per character, is at least the calibrated cut. The
-    columns replace input columns of the same name.
+    columns replace input columns of the same name, in any case.
 
     A null URL is scored as the empty one; a URL without ``://`` has an empty
     host and path, so no rule fits. Repeated URLs are counted as often as they
     occur and get the same verdict. Where no rule has both verdicts among the
-    URLs, there is nothing to tell apart and the cut is as low as the scores.
+    URLs, there is nothing to tell apart and the cut is as low as the scores. Of
+    rules of equal length that fit, the last one counts. A very long URL is scored
+    whole. No rows give no rows.
     """
     added = ("host", "path", "rule", "verdict", "score")
-    rest = [c for c in pages.columns if c not in added]
-    sites = pages.select(F.coalesce(F.col(url), F.lit("")).alias("_url")).groupBy("_url").agg(F.count("*").alias("_n"))
+    names, row = boxed(pages, added)
+    body = F.coalesce(F.col(f"`{url}`"), F.lit(""))
+    sites = pages.select(body.alias("_url")).groupBy("_url").agg(F.count("*").alias("_n"))
     _, verdict = matching_rule(rules, host("_url"), path("_url"))
     label = F.when(verdict == "allow", 1).when(verdict == "block", 0)
     sites = stored(
@@ -178,5 +182,5 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> Da
         ).alias("verdict"),
         F.col("_score").alias("score"),
     )
-    keyed = pages.select(*[f"`{c}`" for c in rest], F.coalesce(F.col(url), F.lit("")).alias("_url"))
-    return keyed.join(stored(judged, "url-verdicts"), "_url").select(*[f"`{c}`" for c in rest], *added)
+    keyed = pages.select(row, body.alias("_url"))
+    return keyed.join(stored(judged, "url-verdicts"), "_url").select(*unboxed(names), *added)
