@@ -110,9 +110,9 @@ def train(
 
     ``labels`` holds the rows that may be learned from. If there are more, those
     with the smallest hash of the id are taken, so the choice is the same in
-    every run. Labels other than 0 and 1 or without an id are left out. Of rows of one
-    id one text is learned from, the one with the smallest hash. Without labels or
-    documents, or with one kind only, the model gives every text the same score.
+    every run. Labels other than 0 and 1 or without an id are left out. Rows of one id
+    are learned from each, as far as ``most`` allows. Without labels or documents, or
+    with one kind only, the model gives every text the same score.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -124,11 +124,12 @@ def train(
     kind = chosen.schema["_id"].dataType.simpleString()
     # At most ``most`` rows of two numbers.
     rows = (
-        texts.join(F.broadcast(chosen.distinct()), "_id")
-        .groupBy("_id", "_label")
-        .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+        texts.join(F.broadcast(chosen), "_id")
         .select("_id", "_label", "_text")
         .mapInArrow(_statistics_rows, f"_id {kind}, _label int, x array<double>")
+        # An id may occur many times.
+        .orderBy(F.xxhash64("_id"), "_id", "_label", "x")
+        .limit(most)
         .toArrow()
     )
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, WIDTH)
