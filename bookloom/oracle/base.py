@@ -17,17 +17,19 @@ shaped AS (
          concat('O', user_id, '-', CAST(ts AS DATE)) AS order_id,
          concat('STK', lpad(CAST(user_id % 23 AS VARCHAR), 2, '0'),
                 if(user_id % 23 < 19, '.E', '.V')) AS stock,
-         if(user_id % 2 = 0, 'A', 'S') AS side,
-         CASE hour(born) WHEN 17 THEN 'PAY_KAPANIS' WHEN 11 THEN 'PAY_ACS_EMR'
-              ELSE 'PAY_SUREKLI' END AS session,
+         CASE user_id % 31 WHEN 5 THEN 'X' WHEN 6 THEN NULL
+              ELSE if(user_id % 2 = 0, 'A', 'S') END AS side,
+         CASE WHEN user_id % 19 = 3 THEN NULL WHEN hour(born) = 17 THEN 'PAY_KAPANIS'
+              WHEN hour(born) = 11 THEN 'PAY_ACS_EMR' ELSE 'PAY_SUREKLI' END AS session,
          born AS entry_ts,
-         born + to_microseconds(date_diff('microsecond', born, ts)
-                                // CAST(pow(10, user_id % 7) AS BIGINT)) AS change_ts,
+         if(event_id % 97 = 0 AND rn > 1, NULL,
+            born + to_microseconds(date_diff('microsecond', born, ts)
+                                   // CAST(pow(10, user_id % 7) AS BIGINT))) AS change_ts,
          (user_id % 50 + 1) * 100e0
-           + if(rn > 1 AND event_type IN ('signup', 'view'), k * 10e0, 0e0) AS qty,
+           + if((rn > 1 OR user_id % 43 = 9) AND event_type IN ('signup', 'view'), k * 10e0, 0e0) AS qty,
          if(event_id % 37 = 0, NULL, value) AS price,
-         CAST(CASE WHEN rn = 1 THEN 6
-              WHEN event_type = 'purchase' THEN 3
+         CAST(CASE WHEN rn = 1 AND user_id % 43 <> 9 THEN 6
+              WHEN rn = 1 OR event_type = 'purchase' THEN 3
               WHEN event_type IN ('signup', 'view') THEN 5
               WHEN event_type = 'click' THEN 1
               WHEN event_id % 3 = 0 THEN 13

@@ -65,12 +65,15 @@ def _typed(opened: DataFrame) -> DataFrame:
             "event_id",
             "order_id",
             "concat('STK', lpad(user_id % 23, 2, '0'), if(user_id % 23 < 19, '.E', '.V')) AS stock",
-            f"if(user_id % 2 = 0, '{S.BUY}', '{S.SELL}') AS side",
-            "CASE hour(entry_ts) WHEN 17 THEN 'PAY_KAPANIS' WHEN 11 THEN 'PAY_ACS_EMR' "
-            "ELSE 'PAY_SUREKLI' END AS session",
+            f"CASE user_id % 31 WHEN 5 THEN 'X' WHEN 6 THEN NULL "
+            f"ELSE if(user_id % 2 = 0, '{S.BUY}', '{S.SELL}') END AS side",
+            "CASE WHEN user_id % 19 = 3 THEN NULL WHEN hour(entry_ts) = 17 THEN 'PAY_KAPANIS' "
+            "WHEN hour(entry_ts) = 11 THEN 'PAY_ACS_EMR' ELSE 'PAY_SUREKLI' END AS session",
             "entry_ts",
-            "timestampadd(MICROSECOND, delay, entry_ts) AS change_ts",
-            f"CASE WHEN opens THEN {S.NEW} WHEN event_type = 'purchase' THEN {S.TRADE} "
+            "if(event_id % 97 = 0 AND NOT opens, NULL, timestampadd(MICROSECOND, delay, entry_ts)) "
+            "AS change_ts",
+            f"CASE WHEN opens AND user_id % 43 <> 9 THEN {S.NEW} "
+            f"WHEN opens OR event_type = 'purchase' THEN {S.TRADE} "
             f"WHEN {resized} THEN {S.REPLACED} "
             f"WHEN event_type = 'click' THEN {S.CANCELLED_BY_USER} "
             f"WHEN event_id % 3 = 0 THEN 13 ELSE {S.EXPIRED} END AS change_reason",
