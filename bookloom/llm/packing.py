@@ -53,6 +53,27 @@ def _lower_ascii(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return np.where(np.cumsum(at[:-1], dtype=np.int8), raw, lower).tobytes()
 
 
+class Known:
+    """Ids of words by hash, as arrays: looked up for a whole block at once."""
+
+    def __init__(self, words: list[bytes], ids: list[bytes]):
+        raw = np.frombuffer(b"\n".join(words), np.uint8)
+        found = hashes(raw, *edges(raw)) if words else np.zeros(0, np.uint64)
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        order = np.argsort(found, kind="stable")
+        self.hash = found[order]
+        self.length = length[order]
+        self.offset = (np.cumsum(length) - length)[order]
+        self.flat = np.frombuffer(b"".join(ids), "<u4")
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Where sorted hashes stand, -1 for those that are not known."""
+        at = np.searchsorted(self.hash, found)
+        here = at < len(self.hash)
+        here[here] = self.hash[at[here]] == found[here]
+        return np.where(here, at, -1)
+
+
 class WordIds:
     """Ids of texts through the ids of their words.
 
@@ -63,17 +84,17 @@ class WordIds:
     it whole.
     """
 
-    def __init__(self, path: str, common: dict[bytes, bytes] | None = None, marks: bytes = b"<|"):
+    def __init__(self, path: str, common: Known | None = None, marks: bytes = b"<|"):
         # Spark has a task per core; threads of the tokenizer would only add memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.common = common or {}
+        self.common = common or Known([], [])
         self.marks = marks
         self.mark = int(self._whole([MARK])[0][0])
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -93,22 +114,18 @@ class WordIds:
             out += [raw[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:])]
         return out
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, from what is known or through the tokenizer."""
-        found = list(map(self.common.get, words))
-        rare = [i for i, x in enumerate(found) if x is None]
-        rest = [words[i] for i in rare]
-        known = list(map(self.young.get, rest))
-        known = [self.old.get(w) if x is None else x for w, x in zip(rest, known)]
+    def learn(self, found: list[int], words: Callable[[list[int]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct words by hash; ``words`` gives those that are new, by place."""
+        known = list(map(self.young.get, found))
+        known = [self.old.get(h) if x is None else x for h, x in zip(found, known)]
         fresh = [i for i, x in enumerate(known) if x is None]
-        for i, x in zip(fresh, self._encode([rest[i].decode(errors="replace") for i in fresh])):
+        new = self._encode([w.decode(errors="replace") for w in words(fresh)])
+        for i, x in zip(fresh, new):
             known[i] = x
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        self.young.update(zip(rest, known))
-        for i, x in zip(rare, known):
-            found[i] = x
-        return found
+        self.young.update(zip(found, known))
+        return known
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers.
@@ -121,12 +138,24 @@ class WordIds:
         starts, ends = edges(np.frombuffer(joined, np.uint8))
         joined = _lower_ascii(joined, starts, ends)
         raw = np.frombuffer(joined, np.uint8)
-        _, first, which = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        spans = zip(starts[first].tolist(), ends[first].tolist())
-        found = self.learn([joined[a:b] for a, b in spans])
-        lengths = np.array([len(x) // 4 for x in found], np.int64)
-        offsets = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(found), "<u4")
+        found, first, which = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        at = self.common.places(found)
+        rare = np.flatnonzero(at < 0)
+        where = first[rare]
+
+        def words(places: list[int]) -> list[bytes]:
+            spots = where[places]
+            return [joined[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist())]
+
+        learned = self.learn(found[rare].tolist(), words)
+        # Ids of the common words, then of the rest, one after another.
+        flat = np.concatenate([self.common.flat, np.frombuffer(b"".join(learned), "<u4")])
+        lengths = np.empty(len(found), np.int64)
+        offsets = np.empty(len(found), np.int64)
+        common = at >= 0
+        lengths[common], offsets[common] = self.common.length[at[common]], self.common.offset[at[common]]
+        lengths[rare] = [len(x) // 4 for x in learned]
+        offsets[rare] = len(self.common.flat) + np.cumsum(lengths[rare]) - lengths[rare]
         own = lengths[which]
         done = np.cumsum(own)
         at = np.arange(done[-1] if len(done) else 0) + np.repeat(offsets[which] - (done - own), own)
@@ -156,27 +185,29 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def common_words(docs: DataFrame, tokenizer: str, text: str = "text") -> dict[bytes, bytes]:
+def common_words(docs: DataFrame, tokenizer: str, text: str = "text") -> Known:
     """Ids of the most frequent words of some texts: at most COMMON_WORDS, of bounded length."""
     body = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     size = body.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     one_in = max(1, -(-size // COMMON_BYTES))
     some = body.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    counted = some.mapInArrow(_tally, "word binary, n bigint").where(F.octet_length("word") <= 64)
+    counted = some.mapInArrow(_tally, "word binary, n bigint").where(
+        (F.octet_length("word") <= 64) & ~F.contains("word", F.lit(b"<|"))
+    )
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     top = stored(top.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word"), "packing-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
         for batch in batches:
-            ids = words.learn(list(map(bytes, batch.column("word").to_pylist())))
+            ids = words.of(list(map(bytes, batch.column("word").to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"]
             )
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = top.repartition(min(parts, 16)).mapInArrow(run, "word binary, ids binary").toArrow()
-    return dict(zip(made["word"].to_pylist(), made["ids"].to_pylist()))
+    return Known(made["word"].to_pylist(), made["ids"].to_pylist())
 
 
 PIECES = "`{id}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, piece_key bigint"
