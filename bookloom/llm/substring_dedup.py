@@ -43,9 +43,8 @@ HASH_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 # Text a bucket of anchors stands for.
 BUCKET_BYTES = 16 << 20
-# At least so many, so that small inputs are spread as well and a document's
-# pieces meet in about as many buckets at every size.
-LEAST_BUCKETS = 64
+# Buckets whose losses meet in one part of the documents.
+BUCKETS_A_PART = 8
 # Different surroundings beyond which an anchor's windows are dealt out one by
 # one; at most a millionth of all anchors' number of anchors is listed.
 HOT = 2000
@@ -209,7 +208,53 @@ def _join(ranges: list[tuple[int, int]]) -> bytes:
     return np.array(out, np.uint32).tobytes()
 
 
-def _map(window: int, anchor: int, hot: set[int], buckets: int) -> Callable:
+def _parts_of(
+    lost: dict[tuple[int, int], list[tuple[int, int]]], parts: int
+) -> Iterator[tuple[int, bytes]]:
+    """What documents lose, packed per part of the documents: ids, tags, and ranges of words."""
+    if not lost:
+        return
+    ids, tags = (np.array([key[k] for key in lost], np.int64) for k in range(2))
+    ranges = [_join(r) for r in lost.values()]
+    part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    packer = zstandard.ZstdCompressor(level=3)
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        at = order[edges[k] : edges[k + 1]]
+        held = [ranges[i] for i in at.tolist()]
+        sizes = np.array([len(x) for x in held], np.int64)
+        head = np.array([len(at)], np.int64)
+        packed = b"".join(x.tobytes() for x in (head, ids[at], tags[at], sizes)) + b"".join(held)
+        yield k, packer.compress(packed)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task of a part of the documents: all that each of them loses."""
+    held: dict[tuple[int, int], list[bytes]] = {}
+    for batch in batches:
+        for packed in batch.column("payload").to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(packed)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            ids, tags, sizes = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n).tolist()
+            at = 8 + 24 * n
+            for key, size in zip(zip(ids, tags), sizes):
+                held.setdefault(key, []).append(raw[at : at + size])
+                at += size
+    keys = list(held)
+    for start in range(0, len(keys), 10_000):
+        some = keys[start : start + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in some], pa.int64()),
+                pa.array([k[1] for k in some], pa.int64()),
+                pa.array([held[k] for k in some], pa.list_(pa.binary())),
+            ],
+            names=["id", "tag", "_lost"],
+        )
+
+
+def _map(window: int, anchor: int, hot: set[int], buckets: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK_BYTES):
             # The smallest document comes first.
@@ -228,7 +273,13 @@ def _map(window: int, anchor: int, hot: set[int], buckets: int) -> Callable:
                         entry += (text, place)
                     else:
                         lost.setdefault(text, []).append((place, place + _words_in(piece[8:], anchor)))
-            rows = [{"bucket": int(ids[t]) % buckets, "id": int(ids[t]), "tag": int(tags[t]), "payload": _join(r)} for t, r in lost.items()]
+            own: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for t, r in lost.items():
+                own.setdefault((int(ids[t]), int(tags[t])), []).extend(r)
+            rows = [
+                {"bucket": part % buckets, "part": part, "payload": packed}
+                for part, packed in _parts_of(own, parts)
+            ]
             rows += _emit(held, ids, tags, buckets)
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
@@ -236,7 +287,7 @@ def _map(window: int, anchor: int, hot: set[int], buckets: int) -> Callable:
     return run
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("payload", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
 
 
 def _words_in(content: bytes, anchor: int) -> int:
@@ -316,22 +367,24 @@ def _judge_bucket(payloads: list[bytes], window: int, anchor: int) -> dict[tuple
     return out
 
 
-_LOST = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("lost", pa.binary())])
+_LOST = pa.schema([("part", pa.int64()), ("payload", pa.binary())])
 
 
-def _reduce(window: int, anchor: int) -> Callable:
+def _reduce(window: int, anchor: int, parts: int) -> Callable:
     def found(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         if payloads:
             lost = _judge_bucket(payloads, window, anchor)
-            rows = [{"id": i, "tag": t, "lost": _join(r)} for (i, t), r in lost.items()]
-            yield pa.RecordBatch.from_pylist(rows, schema=_LOST)
+            rows = [{"part": part, "payload": packed} for part, packed in _parts_of(lost, parts)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_LOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, doc, tag, payload in zip(*[c.to_pylist() for c in batch.columns]):
-                if doc is not None:
-                    yield pa.RecordBatch.from_pylist([{"id": doc, "tag": tag, "lost": payload}], schema=_LOST)
+            for bucket, part, payload in zip(*[c.to_pylist() for c in batch.columns]):
+                if part is not None:
+                    # Lost within its block already.
+                    yield pa.RecordBatch.from_pylist([{"part": part, "payload": payload}], schema=_LOST)
                     continue
                 if bucket != now:
                     yield from found(held)
@@ -394,16 +447,21 @@ def drop_repeated_spans(
     tag = F.xxhash64(F.lit("text"), body)
     narrow = docs.where(key.isNotNull()).select(key.alias("id"), tag.alias("tag"), body.alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    parts = -(-buckets // BUCKETS_A_PART)
     hot = hot_anchors(narrow, window, anchor)
-    packed = narrow.mapInArrow(_map(window, anchor, hot, buckets), "bucket bigint, id bigint, tag bigint, payload binary")
-    judged = (
-        packed.repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_reduce(window, anchor), "id bigint, tag bigint, lost binary")
+    packed = narrow.mapInArrow(
+        _map(window, anchor, hot, buckets, parts), "bucket bigint, part bigint, payload binary"
+    )
+    # Each bucket is one task's, and so is each part of the documents.
+    judged = packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(
+        _reduce(window, anchor, parts), "part bigint, payload binary"
     )
     lost = stored(
-        stored(judged, "spans-lost").groupBy("id", "tag").agg(F.collect_list("lost").alias("_lost")), "spans"
+        stored(judged, "spans-lost")
+        .repartitionById(parts, F.col("part").cast("int"))
+        .mapInArrow(_merge, "id bigint, tag bigint, _lost array<binary>"),
+        "spans",
     )
     whole = docs.select(row, body.alias("_text"), key.alias("id"), tag.alias("tag"))
     joined = whole.join(lost, ["id", "tag"], "left").select(ROW, "_text", "_lost")
