@@ -6,10 +6,11 @@ Learning is a few jobs over all training documents:
 2. the code of bytes, from the pairs;
 3. counts of zeros and ones per context slot: every task fills tables of fixed
    size, which are cut into slices, and each slice is summed in a stream;
-4. the mixing weights and the adaptive map, learned online by tasks from one
-   part of the training documents with tables that were counted without that
-   part, so that they fit unseen text; weights are averaged by what tasks saw.
-   The part's own counts are in the final tables.
+4. the mixing weights and the adaptive map, learned online from one part of the
+   training documents (one fold of the four) with tables that were counted without
+   that part, so that they fit unseen text. The part is dealt into units of fixed
+   size by a hash, whatever the table's partitions; weights are averaged over units
+   by what they saw. The part's own counts are in the final tables.
 
 The model has a fixed size however large the corpus is; everything in it comes
 from all training documents. Words are looked up in a table of the HEAD most
@@ -40,6 +41,8 @@ HEAD = 200_000
 # Distinct words a task counts before it hands them on.
 TALLY = 300_000
 BLOCK_BYTES = 8 << 20
+# Text from which one set of mixing weights is learned in order.
+UNIT_BYTES = 8 << 20
 SLICE = 1 << 16
 # No word holds white space.
 END_WORD = b"\n"
@@ -173,6 +176,21 @@ def _learn(handle, code: tuple) -> Callable:
     return run
 
 
+def _units(texts: DataFrame) -> DataFrame:
+    """The texts in units of about UNIT_BYTES, one per partition, each in an order of its own.
+
+    Both follow from hashes of the texts, so what is learned online does not depend on
+    how the table was partitioned.
+    """
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    units = max(1, -(-size // UNIT_BYTES))
+    hashed = texts.select(
+        "text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("unit"), "text").alias("_h2")
+    )
+    unit = F.pmod("_h1", F.lit(units)).cast("int")
+    return hashed.repartitionById(units, unit).sortWithinPartitions("_h2", "_h1").select("text")
+
+
 @dataclass
 class Model:
     code: tuple
@@ -211,7 +229,7 @@ def train(docs: DataFrame, mixing: str = "mixing") -> Model:
     )
     # Fixed size: one byte per slot.
     handle = context.broadcast(_tables(summed.select("slice", "mixing").collect(), "mixing"))
-    learned = parts[1].mapInArrow(_learn(handle, code), "cell int, value double, weight double")
+    learned = _units(parts[1]).mapInArrow(_learn(handle, code), "cell int, value double, weight double")
     learned = learned.groupBy("cell").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
     mixer = M.Mixer.start()
     cells = mixer.weights.size
@@ -271,7 +289,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null is the empty text: its end alone. Rows without an id count as those
     with an empty one, so they are learned from. Repeated rows are learned from
-    and scored each. Without training documents every word is unknown.
+    and scored each. Without training documents every word is unknown. A text of
+    more than 256 KiB is scored in pieces of that size, each with contexts of its own.
+    Other columns play no part, whatever their names. Scores do not depend on how the
+    table is partitioned, beyond the order in which doubles are added.
     """
     narrow = docs.select(
         F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"), fold(doc_id, FOLDS).alias("_fold")

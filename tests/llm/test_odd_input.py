@@ -13,6 +13,7 @@ from bookloom.llm import (
     decontamination,
     licenses,
     line_dedup,
+    lm_scoring,
     merkle,
     packing,
     phrases,
@@ -208,6 +209,15 @@ def test_ids_do_not_depend_on_known_words(spark):
     assert packing.pieces(docs, TOKENIZER).count() == 6
 
 
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = [
+        {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs.repartition(n)).collect()}
+        for n in (1, 7)
+    ]
+    assert found[0] == pytest.approx(found[1], rel=1e-6)
+
+
 def test_search_visits_blocks_until_the_bound(spark):
     """Scores of pruned shards equal those of plain sums over all documents."""
     rng = np.random.default_rng(4)
