@@ -60,6 +60,10 @@ def improves_queue_entry_sql(side: str = "side") -> str:
     """
 
 
+def improves_queue_entry() -> Column:
+    return F.expr(improves_queue_entry_sql())
+
+
 # Lots of the order traded up to a TRADE event, NULL for other events.
 TRADED_SO_FAR = f"if(change_reason = {S.TRADE}, qty - remaining, NULL)"
 
