@@ -28,8 +28,8 @@ SEQUENCE = 4096
 END = 2
 GROUP_PIECES = 8192
 # Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 120_000
-BLOCK_BYTES = 1 << 20
+CACHE_WORDS = 80_000
+BLOCK_BYTES = 1 << 19
 # Text, chosen by a hash, that names the words every worker knows from the start, and
 # how many those are. They save time; no id depends on them.
 COMMON_BYTES = 64 << 20
@@ -171,7 +171,7 @@ class WordIds:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 * BLOCK_BYTES):
+    for batch in slices(batches, "text", 16 * BLOCK_BYTES):
         seen: Counter = Counter()
         for text in byte_rows(batch.column("text")):
             seen.update(text.split())
