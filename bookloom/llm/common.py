@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,9 +71,10 @@ def boxed(docs: DataFrame, results: Iterable[str] = ()) -> tuple[list[str], Colu
     return names, F.struct(*fields).alias(ROW)
 
 
-def unboxed(names: Iterable[str]) -> list[Column]:
-    """The columns of ``_row`` again."""
-    return [F.col(f"{ROW}.`{c}`").alias(c) for c in names]
+def unboxed(names: Iterable[str], own: Mapping[str, Column] | None = None) -> list[Column]:
+    """The columns of ``_row`` again, but those given by name, in any case."""
+    given = {name.lower(): column for name, column in (own or {}).items()}
+    return [given.get(c.lower(), F.col(f"{ROW}.`{c}`")).alias(c) for c in names]
 
 
 def ascii_lower(text: Column | str) -> Column:

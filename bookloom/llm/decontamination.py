@@ -195,6 +195,7 @@ def contaminated(min_share: int = 20) -> F.Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
     text = options.pop("text", "text")
-    names, row = boxed(docs)
+    names, _ = boxed(docs)
+    _, row = boxed(docs, [text])
     found = find_items(docs.select(row, F.col(f"`{text}`").alias("text")), items, **options)
-    return found.where(~contaminated()).select(*unboxed(names))
+    return found.where(~contaminated()).select(*unboxed(names, {text: F.col("text")}))

@@ -103,7 +103,7 @@ def drop_repeated_lines(
         F.array_join(F.transform(kept, lambda at: F.get("_lines", at)), "\n")
     )
     return split.join(drops, ["_doc", "_tag"], "left").select(
-        *[left.alias(c) if c.lower() == text.lower() else unboxed([c])[0] for c in names],
+        *unboxed(names, {text: left}),
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -467,5 +467,4 @@ def drop_repeated_spans(
     joined = whole.join(lost, ["id", "tag"], "left").select(ROW, "_text", "_lost")
     kinds = T.StructType([*joined.schema.fields[:2], *[T.StructField(n, T.LongType()) for n in RESULTS]])
     cut = joined.mapInArrow(_cut(), kinds)
-    kept = [F.col("_text").alias(c) if c.lower() == text.lower() else unboxed([c])[0] for c in names]
-    return cut.select(*kept, *RESULTS)
+    return cut.select(*unboxed(names, {text: F.col("_text")}), *RESULTS)
