@@ -27,9 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     model = quality.train(docs, labels)
-    names, row = boxed(docs)
+    names, _ = boxed(docs)
+    _, row = boxed(docs, ["text"])
     scored = quality.score(docs.select("text", row), model, into="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*unboxed(names))
+    kept = scored.where(F.col("_quality") >= LEAST_QUALITY)
+    return kept.select(*unboxed(names, {"text": F.col("text")}))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +40,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays, also one that loses all its lines; a null text becomes empty. Rows
     without an id stay as they are, rows of one id are one document.
     """
-    names, row = boxed(docs)
+    names, _ = boxed(docs)
+    _, row = boxed(docs, ["text"])
     kept = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", row))
-    left = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
-    own = {"text": F.col("text").alias("text")}
-    if left is not None:
-        own["n_chars"] = left.alias("n_chars")
-    return kept.select(*[own.get(c, unboxed([c])[0]) for c in names])
+    own = {"text": F.col("text")}
+    if "n_chars" in names:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*unboxed(names, own))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
