@@ -427,3 +427,54 @@ def test_empty_table(spark, name):
 def test_empty_items_table(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_items(frame(spark, [], 1), items).collect() == []
+
+
+def test_search_carries_the_kth_into_the_next_round(spark):
+    """Shards of later rounds give only what ranks before the k-th so far; copies are ranked each."""
+    import random
+    from collections import Counter
+
+    random.seed(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(random.choices(words, k=40))) for i in range(400)]
+    rows += [(1000, rows[0][1])] * 25 + [(1001 + i, rows[20][1]) for i in range(30)]
+    docs = frame(spark, rows)
+    asked = docs.where("doc_id < 200 AND doc_id % 20 = 0")
+    shards = -(-sum(len(t) for _, t in rows) // 3000)
+    made = []
+    kept = search.stored
+
+    def watched(found, name):
+        out = kept(found, name)
+        if name == "bm25-found":
+            made.append(out.count())
+        return out
+
+    search.stored = watched
+    try:
+        found = search.search(docs, asked, k=10, shard_bytes=3000).collect()
+    finally:
+        search.stored = kept
+    assert shards > 20 and len(made) == 4
+    # A round's rows and the best before them, cut at k: never k rows for each shard.
+    assert made[-1] == 100
+    want = search.search(docs, asked, k=10).collect()
+    assert Counter(found) == Counter(want)
+    assert [r["doc_id"] for r in found if r["query_id"] == 0].count(1000) == 9
+
+
+def test_search_gives_only_what_ranks_before_the_kth():
+    import numpy as np
+    import pyarrow as pa
+
+    ids = pa.array(range(50), pa.int64())
+    texts = pa.array([f"a b{i % 5} c{i}" for i in range(50)])
+    docs = pa.RecordBatch.from_arrays([ids, texts, pa.array([0] * 50, pa.int32())], names=["id", "text", "shard"])
+    sent = [p for b in search._pack_docs(10)(iter([docs])) for p in b.column("payload").to_pylist()]
+    shard = search.Shard(sent, 3.0)
+    query, at = np.zeros(len(shard.terms), np.int64), np.arange(len(shard.terms))
+    weight = np.ones(len(at))
+    _, first, scores = shard.best(query, at, weight, 10, np.zeros(1), np.zeros(1, np.int64))
+    assert len(first) == 10
+    _, rest, _ = shard.best(query, at, weight, 10, scores[4:5], first[4:5])
+    assert rest.tolist() == first[:4].tolist()
