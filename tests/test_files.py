@@ -329,6 +329,27 @@ def test_lives_day_by_day(spark, sf_dir, tmp_path):
     events.unpersist()
 
 
+def test_lives_day_by_day_of_events_with_a_time(spark, sf_dir, tmp_path):
+    """Events without a time belong to no day; of all others the days give the same lives."""
+    events = (
+        load_order_events(spark, sf_dir)
+        .withColumn("order_id", F.substring_index("order_id", "-", 1))
+        .withColumn("day", F.to_date("change_ts").cast("string"))
+        .where(F.col("day").isNotNull())
+        .cache()
+    )
+    days = sorted(r.day for r in events.select("day").distinct().collect())[:3]
+    base = str(tmp_path / "daily")
+    daily.first_day(events.where(F.col("day") == days[0]), base, days[0])
+    for before, day in zip(days, days[1:]):
+        daily.add_day(events.where(F.col("day") == day), base, day, before)
+    so_far = events.where(F.col("day") <= days[-1])
+    found, want = daily.lives_until(spark, base, days[-1]), lifecycle_table(so_far)
+    assert found.count() == want.count() > 0
+    assert found.exceptAll(want).isEmpty()
+    events.unpersist()
+
+
 def test_reports(spark, sf_dir, tmp_path):
     events = load_order_events(spark, sf_dir)
     first = reports.write_overview(events, str(tmp_path / "o"))
