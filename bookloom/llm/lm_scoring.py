@@ -222,7 +222,10 @@ def train(docs: DataFrame, mixing: str = "mixing") -> Model:
 
     parts = [docs.where(~F.col(mixing)).select("text"), docs.where(F.col(mixing)).select("text")]
     kinds = "slice int, part int, dense boolean, payload binary"
-    filled = parts[0].mapInArrow(_fill(code, 0), kinds).union(parts[1].mapInArrow(_fill(code, 1), kinds))
+    # Each task sends whole tables. The mixing part is about a quarter of the texts, so a task of it
+    # takes the partitions of four.
+    rest = parts[1].coalesce(max(1, -(-parts[1].rdd.getNumPartitions() // (FOLDS - 1))))
+    filled = parts[0].mapInArrow(_fill(code, 0), kinds).union(rest.mapInArrow(_fill(code, 1), kinds))
     summed = stored(
         filled.repartition("slice").mapInArrow(_sum_slices, "slice int, mixing binary, final binary"),
         "lm-tables",

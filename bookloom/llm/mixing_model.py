@@ -25,6 +25,8 @@ CODES = 256 + (len(COMMON) + 1) ** 2
 # Longer texts are read in pieces of this many bytes; contexts begin anew.
 PIECE = 1 << 18
 BLOCK = 1 << 16
+# Where nothing is learned in order, blocks are smaller, so that their arrays stay in a core's cache.
+SMALL_BLOCK = 1 << 14
 PAD = 4
 # Bits of the number of slots of each hashed context's table.
 BITS = {"order2": 20, "order3": 21, "order4": 22, "word": 23, "two words": 22}
@@ -42,8 +44,9 @@ BUCKETS = 33
 RANGE = 8.0
 RATE = 0.03
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+# White space, and what stands before a text.
+_BREAK = np.zeros(256, bool)
+_BREAK[[0, 9, 10, 11, 12, 13, 32]] = True
 _PLACE = np.zeros(256, np.int32)
 _PLACE[list(COMMON)] = np.arange(1, len(COMMON) + 1)
 _rng = np.random.Generator(np.random.PCG64(20))
@@ -60,14 +63,14 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes, bool]]:
             yield i, text[start : start + PIECE], start + PIECE >= len(text)
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[bytes, bool]]]]:
-    """Groups of pieces of about BLOCK bytes, with the number of each one's text."""
+def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[np.ndarray, list[tuple[bytes, bool]]]]:
+    """Groups of pieces of about so many bytes, with the number of each one's text."""
     rows, held, size = [], [], 0
     for i, part, last in pieces(texts):
         rows.append(i)
         held.append((part, last))
         size += len(part)
-        if size >= BLOCK:
+        if size >= most:
             yield np.array(rows), held
             rows, held, size = [], [], 0
     if rows:
@@ -77,7 +80,7 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[bytes, b
 def pair_counts(texts: list[bytes]) -> np.ndarray:
     """How often each symbol follows what chooses its code."""
     total = np.zeros(CODES * SYMBOLS, np.int64)
-    for _, held in blocks(texts):
+    for _, held in blocks(texts, SMALL_BLOCK):
         s = Stream(held)
         total += np.bincount(s.code() * SYMBOLS + s.symbol, minlength=len(total))
     return total
@@ -94,17 +97,17 @@ class Stream:
         starts = np.cumsum(sizes + PAD) - sizes
         self.sizes = sizes
         self.at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        self.symbol = self.bytes[self.at].astype(np.int32)
+        self.symbol = self.bytes.take(self.at).astype(np.int32)
         ends = np.cumsum(sizes)[[last for _, last in held]] - 1
         self.symbol[ends] = END
 
     def before(self, n: int) -> np.ndarray:
-        return self.bytes[self.at - n]
+        return self.bytes.take(self.at - n)
 
     def code(self) -> np.ndarray:
         """Which code each symbol is written in."""
         one, two = self.before(1), self.before(2)
-        first, second = _PLACE[one], _PLACE[two]
+        first, second = _PLACE.take(one), _PLACE.take(two)
         both = (first > 0) & (second > 0)
         return np.where(both, 256 + second * (len(COMMON) + 1) + first, one).astype(np.int64)
 
@@ -117,13 +120,14 @@ class Stream:
             out.append((h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) * np.uint32(0xC2B2AE35))
         n = len(self.bytes)
         powers, inverses = _powers(n + 1)
-        summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH[self.bytes] * powers[:n])])
-        breaks = np.where(_WHITE[self.bytes] | (self.bytes == 0), np.arange(1, n + 1), 0)
-        start = np.maximum.accumulate(breaks)[self.at - 1]
-        word = (summed[self.at] - summed[start]) * inverses[start]
+        summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH.take(self.bytes) * powers[:n])])
+        breaks = np.where(_BREAK.take(self.bytes), np.arange(1, n + 1), 0)
+        breaks = np.maximum.accumulate(breaks)
+        here, start = summed.take(self.at), breaks.take(self.at - 1)
+        word = (here - summed.take(start)) * inverses.take(start)
         # The break before the last one; a run of white space counts as words of no length.
-        start = np.maximum.accumulate(breaks)[np.maximum(start - 2, 0)]
-        two = (summed[self.at] - summed[start]) * inverses[start]
+        start = breaks.take(np.maximum(start - 2, 0))
+        two = (here - summed.take(start)) * inverses.take(start)
         for x in (word, two + np.uint64(1)):
             mixed = (x ^ (x >> np.uint64(29))) * np.uint64(_MULTIPLIER)
             out.append((mixed >> np.uint64(32)).astype(np.uint32))
@@ -208,21 +212,24 @@ class Decisions:
 def decisions(stream: Stream, code: Code) -> Decisions:
     before, chosen = stream.before(1), stream.code()
     pair = chosen * SYMBOLS + stream.symbol
-    length = code.length[pair]
+    length = code.length.take(pair)
     ends = np.cumsum(length)
     # The symbol of each decision.
     of = np.repeat(np.arange(len(length)), length)
-    entry = np.arange(len(of)) + (code.start[pair] - (ends - length)).take(of)
-    node = code.node[entry]
+    entry = np.arange(len(of)) + (code.start.take(pair) - (ends - length)).take(of)
+    node = code.node.take(entry)
     bytes_before = before.take(of)
     # Nodes of different codes have nothing in common.
     own = (chosen.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     salt = (own.take(of) + node) * np.uint32(0x01000193)
     slots = [((chosen << 8).take(of) | node).astype(np.intp, copy=False)]
     for hashed, bits in zip(stream.contexts(), BITS.values()):
-        mixed = (hashed.take(of) ^ salt) * np.uint32(0x2C1B3C6D)
-        slots.append((mixed >> np.uint32(32 - bits)).astype(np.intp))
-    return Decisions(slots, code.bit[entry], bytes_before, node == 0, length)
+        mixed = hashed.take(of)
+        mixed ^= salt
+        mixed *= np.uint32(0x2C1B3C6D)
+        mixed >>= np.uint32(32 - bits)
+        slots.append(mixed.astype(np.intp))
+    return Decisions(slots, code.bit.take(entry), bytes_before, node == 0, length)
 
 
 def empty_counts() -> list[np.ndarray]:
@@ -231,11 +238,13 @@ def empty_counts() -> list[np.ndarray]:
 
 
 def count(texts: list[bytes], code: Code, into: list[np.ndarray]) -> None:
-    for _, held in blocks(texts):
+    for _, held in blocks(texts, SMALL_BLOCK):
         d = decisions(Stream(held), code)
         bit = d.bit.astype(np.intp)
         for table, slot in zip(into, d.slots):
-            np.add.at(table, 2 * slot + bit, np.uint32(1))
+            slot <<= 1
+            slot |= bit
+            np.add.at(table, slot, np.uint32(1))
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -278,7 +287,9 @@ def mixed(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndar
     columns = np.ascontiguousarray(weights.T)
     total = columns[0].take(gate) * x[0]
     for column, values in zip(columns[1:], x[1:]):
-        total += column.take(gate) * values
+        part = column.take(gate)
+        part *= values
+        total += part
     limit = np.float32(RANGE - 1e-3)
     return np.clip(total, -limit, limit, out=total)
 
@@ -317,7 +328,7 @@ def learn(texts: list[bytes], code: Code, tables: list[np.ndarray], mixer: Mixer
 def score(texts: list[bytes], code: Code, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Log10 probability of each text with its end."""
     out = np.zeros(len(texts))
-    for rows, held in blocks(texts):
+    for rows, held in blocks(texts, SMALL_BLOCK):
         stream = Stream(held)
         d = decisions(stream, code)
         x, gate = inputs(d, tables)

@@ -478,3 +478,42 @@ def test_search_gives_only_what_ranks_before_the_kth():
     assert len(first) == 10
     _, rest, _ = shard.best(query, at, weight, 10, scores[4:5], first[4:5])
     assert rest.tolist() == first[:4].tolist()
+
+
+def test_mixing_counts_and_scores_do_not_depend_on_the_blocks(monkeypatch):
+    import numpy as np
+
+    from bookloom.llm import mixing_model as M
+
+    texts = [f"{SEA} {i} \x00 {'é' * (i % 5)}\n".encode() * (i % 40) for i in range(60)]
+    found = []
+    for size in (1 << 10, M.SMALL_BLOCK, M.BLOCK):
+        monkeypatch.setattr(M, "SMALL_BLOCK", size)
+        code = M.huffman(M.pair_counts(texts))
+        counts = M.empty_counts()
+        M.count(texts[:40], code, counts)
+        tables = [M.log_odds(c) for c in counts]
+        mixer = M.Mixer.start()
+        found.append((counts, M.score(texts, code, tables, mixer.weights, mixer.refined())))
+    for counts, scores in found[1:]:
+        assert all((a == b).all() for a, b in zip(counts, found[0][0]))
+        assert np.allclose(scores, found[0][1], rtol=1e-9, atol=0)
+
+
+def test_mixing_part_is_counted_by_fewer_tasks(spark, monkeypatch):
+    """A task sends whole tables, so the smaller part is not dealt to as many tasks as the larger."""
+    import re
+
+    docs = spark.range(0, 64, 1, 16).selectExpr("id AS doc_id", f"concat('{SEA} ', id) AS text")
+    sent = []
+    kept = lm_scoring.stored
+
+    def watched(found, name):
+        if name == "lm-tables":
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            sent.extend(re.findall(r"Coalesce (\d+)", plan))
+        return kept(found, name)
+
+    monkeypatch.setattr(lm_scoring, "stored", watched)
+    assert lm_scoring.score_documents(docs).count() == 64
+    assert sent == ["4"]
